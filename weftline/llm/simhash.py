@@ -126,5 +126,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return common.hot_join(own, named, ["fp"], "n", total).select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE) -> DataFrame:
+    """docs without near duplicates, with its columns: of each component, the row of the smallest doc_id (one of them, if several rows have it). Rows without doc_id can't be named as representatives and all stay."""
+    found = near_duplicates(docs.filter(F.col(f"`{id_col}`").isNotNull()), id_col, text_col, dense)
+    best = common.checkpoint(found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("__n")))
+    kept = docs.join(best.select(F.col("doc_id").alias("__id")), F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left_semi")
+    if not best.filter("__n > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col])
+    return kept.unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
+
+
 def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
