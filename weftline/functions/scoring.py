@@ -43,28 +43,23 @@ def evidence_score(evidence_type: Column) -> Column:
     return lookup(evidence_type, EVIDENCE)
 
 
-def significant(x: Column, digits: int = 12) -> Column:
-    """A decimal in [0, 1] rounded half up to so many significant digits."""
-    size = F.floor(F.log10(F.when(x > 0, x.cast("double")))).cast("int")
-    out = F.round(x, 18)
-    for zeros in range(0, 18 - digits):
-        out = F.when(size == -1 - zeros, F.round(x, digits + zeros)).otherwise(out)
-    return F.when(x == 1, x).otherwise(out).cast(D)
+def significant(x: Column) -> Column:
+    """A decimal in [0, 1] rounded half up to 12 significant digits."""
+    return F.when(x >= 0.1, F.round(x, 12)).when(x >= 0.01, F.round(x, 13)).when(x >= 0.001, F.round(x, 14)).otherwise(F.round(x, 15)).cast(D)
 
 
 def noisy_or(scores: Column, has_metadata_key: Column | None = None) -> Column:
     """(1 - product of 1 - positive scores) * product of 1 + negative scores, of an array of decimals; with a metadata key at least 0.95; between 0 and 0.99; 4 decimals, half up.
 
-    Null and empty arrays give 0. Products are kept to 12 significant digits.
+    Null and empty arrays give 0; null scores are ignored. Products are kept to 12 significant digits.
     """
     one = F.lit("1").cast(D)
-    scores = F.filter(F.coalesce(scores, F.array().cast(f"array<{D}>")).cast(f"array<{D}>"), lambda s: s.isNotNull())
-    misses = F.aggregate(F.filter(scores, lambda s: s > 0), one, lambda p, s: significant((p * (one - s)).cast(D)))
-    damps = F.aggregate(F.filter(scores, lambda s: s < 0), one, lambda p, s: significant((p * F.greatest(F.lit(0).cast(D), one + s)).cast(D)))
-    value = significant(((one - misses) * damps).cast(D))
-    if has_metadata_key is not None:
-        value = F.when(has_metadata_key, F.greatest(value, F.lit("0.95").cast(D))).otherwise(value)
-    return F.round(F.least(F.greatest(value, F.lit(0).cast(D)), F.lit("0.99").cast(D)), 4).cast("decimal(5,4)")
+    scores = scores.cast(f"array<{D}>")
+    misses = F.aggregate(scores, one, lambda p, s: significant((p * F.when(s > 0, one - s).otherwise(one)).cast(D)))
+    damps = F.aggregate(scores, one, lambda p, s: significant((p * F.when(s < 0, one + s).otherwise(one)).cast(D)))
+    least = F.lit("0").cast(D) if has_metadata_key is None else F.when(has_metadata_key, F.lit("0.95").cast(D)).otherwise(F.lit("0").cast(D))
+    value = F.coalesce(F.round(((one - misses) * damps).cast(D), 12), F.lit("0").cast(D))
+    return F.round(F.least(F.greatest(value, least), F.lit("0.99").cast(D)), 4).cast("decimal(5,4)")
 
 
 def repeat_score(locations: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..operators import catalog, evidence, graph, lineage, naming, profile, semantic
+from ..session import checkpoint
 from ..sources import logs, results, scripts
 from . import examples, relational, scan
 
@@ -217,7 +218,7 @@ found AS (SELECT * FROM p WHERE hops >= 2 AND NOT EXISTS (SELECT 1 FROM e WHERE
 
 
 def _paths(spark: SparkSession, d: str) -> DataFrame:
-    return graph.paths(_edges(spark, d))
+    return graph.paths(checkpoint(_edges(spark, d)), checkpoint=checkpoint)
 
 
 def edges_aggregate(spark: SparkSession, d: str) -> DataFrame:
@@ -244,12 +245,12 @@ def paths_per_pair_limit(spark: SparkSession, d: str) -> DataFrame:
 def paths_reverse_bridge(spark: SparkSession, d: str) -> DataFrame:
     """Derived relationships over the keys between the folder's tables."""
     fk = spark.createDataFrame([(s, t) for s, t in PAIRS[:7]], "src string, tgt string").withColumn("confidence", F.lit("0.9000").cast("decimal(5,4)"))
-    return graph.derived_relationships(fk).select("src", "tgt", F.array_join("path", ">").alias("path"), F.col("path_length").cast("long").alias("path_length"), F.col("confidence").cast("double").alias("confidence"))
+    return graph.derived_relationships(fk, checkpoint=checkpoint).select("src", "tgt", F.array_join("path", ">").alias("path"), F.col("path_length").cast("long").alias("path_length"), F.col("confidence").cast("double").alias("confidence"))
 
 
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
     pairs = _t(spark, d, "lineitem").filter("l_quantity >= 49").select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("tgt"))
-    return graph.components(pairs, checkpoint=lambda df: df.cache())
+    return graph.components(pairs, checkpoint=checkpoint)
 
 
 # lineage and semantic layer

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import evidence_score
 from ..operators import catalog, evidence, graph, lineage, naming, profile
+from ..session import checkpoint
 from ..sources import logs, scripts
 from .sqlfacts import analyse
 
@@ -119,28 +120,28 @@ def used_columns(read: DataFrame) -> DataFrame:
 
 def scan_statements(statements: DataFrame, config: Config = Config(), extra_evidence: DataFrame | None = None) -> dict[str, DataFrame]:
     """relationships, lineage, naming, derived_relationships, derived_lineage, diagnostics and evidence of a table of statements."""
-    read = logs.without_noise(analysed(statements, config.dialect)).checkpoint() if statements.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else logs.without_noise(analysed(statements, config.dialect))
+    read = checkpoint(logs.without_noise(analysed(statements, config.dialect)))
     found = pair_evidence(read)
     if extra_evidence is not None:
         found = found.unionByName(extra_evidence, allowMissingColumns=True)
     columns, unique = used_columns(read), ddl_unique(read)
     pairs = found.select("src_key", "tgt_key").distinct()
-    hints = naming.first_match(naming.table_id(columns).unionByName(naming.id_suffix(pairs, columns)).unionByName(naming.self_role(pairs, columns)))
+    hints = checkpoint(naming.first_match(naming.table_id(columns).unionByName(naming.id_suffix(pairs, columns)).unionByName(naming.self_role(pairs, columns))))
     names = naming.merged(hints)
-    directed = evidence.directed(evidence.fold_co_occurrence(found), unique, hints)
+    directed = checkpoint(evidence.directed(evidence.fold_co_occurrence(found), unique, hints))
     key = ["src_key", "tgt_key", "relation_type"]
     more = catalog.ddl_evidence(directed.select("src_key", "tgt_key").distinct(), _inventory(read)).groupBy("src_key", "tgt_key", "evidence_type").agg(F.min("observation").alias("detail"))
     more = more.join(directed.select(*key).distinct(), ["src_key", "tgt_key"]).select(*key, "evidence_type", evidence_score(F.col("evidence_type")).alias("score"), "detail")
     named = directed.select(*key).distinct().join(hints.select("src_key", "tgt_key", F.col("rule").alias("detail")), ["src_key", "tgt_key"]).select(*key, F.lit("NAMING_MATCH").alias("evidence_type"), evidence_score(F.lit("NAMING_MATCH")).alias("score"), "detail")
-    every = directed.unionByName(more.unionByName(named), allowMissingColumns=True)
-    relationships = evidence.relationships(every, config.min_confidence)
+    every = checkpoint(directed.unionByName(more.unionByName(named), allowMissingColumns=True))
+    relationships = checkpoint(evidence.relationships(every, config.min_confidence))
     flows = read.select("source_name", "source_type", "object_name", F.coalesce("ordinal", F.lit(0)).alias("o"), F.posexplode("lineage").alias("i", "l")).select("source_name", "source_type", "object_name", "l.*", (F.col("o") * 1000 + F.col("i")).cast("long").alias("ordinal"))
-    flows = lineage.merged(lineage.scored(flows))
+    flows = checkpoint(lineage.merged(lineage.scored(flows)))
     values = lineage.edges(flows.filter("flow = 'VALUE'"))
     return {
         "evidence": every, "relationships": relationships, "lineage": flows, "naming": names,
-        "derived_relationships": graph.derived_relationships(relationships.filter("relation_type = 'FK_LIKE'").select(F.col("src_key").alias("src"), F.col("tgt_key").alias("tgt"), "confidence"), longest=config.longest_path),
-        "derived_lineage": graph.derived_lineage(values, longest=config.longest_path),
+        "derived_relationships": graph.derived_relationships(relationships.filter("relation_type = 'FK_LIKE'").select(F.col("src_key").alias("src"), F.col("tgt_key").alias("tgt"), "confidence"), longest=config.longest_path, checkpoint=checkpoint),
+        "derived_lineage": graph.derived_lineage(values, longest=config.longest_path, checkpoint=checkpoint),
         "diagnostics": read.filter("diagnostic IS NOT NULL").select(F.lit("PARSE_WARNING").alias("type"), F.col("source_name").alias("source"), F.coalesce("ordinal", F.lit(0)).alias("line"), F.col("diagnostic").alias("message")),
     }
 
