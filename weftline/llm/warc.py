@@ -73,13 +73,13 @@ def damaged(pages: DataFrame) -> DataFrame:
 
 
 def fixity(pages: DataFrame, replica: DataFrame) -> DataFrame:
-    """One row for each record of pages: page_id, file, ordinal, start, length, hash, root (of its file's tree), corrupt (the replica's record at its place differs).
+    """One row for each record of pages: page_id, file, ordinal, start, length, hash, root (of its file's tree), corrupt (the replica's record at its place has other bytes or is missing; one that only lies at another offset is whole).
 
     Columns page_id, url and html are read. Records of an id, url and payload that occur several times are ordered by hash, so a damaged copy of one may change places with its twin: both then count as corrupt or neither.
     """
     own = common.checkpoint(manifest(pages))
     mine, theirs = levels(own), levels(common.checkpoint(manifest(replica)))
-    bad = audit(mine, theirs).filter("kind <> 'extra'")
+    bad = audit(mine, theirs).filter("kind IN ('changed', 'missing')")
     roots = mine[-1].select("file", F.col("hash").alias("root"))
     found = own.join(bad.select("file", F.col("node").alias("ordinal"), F.lit(True).alias("corrupt")), ["file", "ordinal"], "left").join(roots, "file")
     return found.select("page_id", "file", "ordinal", "start", "length", "hash", "root", F.coalesce("corrupt", F.lit(False)).alias("corrupt"))
