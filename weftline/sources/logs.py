@@ -24,8 +24,8 @@ def mysql_general(rows: DataFrame) -> DataFrame:
 def mysql_slow(files: DataFrame) -> DataFrame:
     """Statements of slow logs (source_name, text), without # lines, SET timestamp and USE lines: each file's text is split at the semicolons that end a line."""
     text = F.regexp_replace("text", r"(?im)^(#.*|\s*SET\s+timestamp\s*=.*|\s*USE\s+\S+;\s*)$", "")
-    sql = F.explode(F.split(text, r";[ \t]*(?=\r?\n|$)"))
-    return files.select("source_name", F.trim(F.regexp_replace(sql, r"^\s+|\s+$", "")).alias("sql")).filter("sql <> ''").select("source_name", "sql", F.lit("NATIVE_LOG").alias("source_type"))
+    parts = files.select("source_name", F.explode(F.split(text, r";[ \t]*(?=\r?\n|$)")).alias("sql"))
+    return parts.select("source_name", F.regexp_replace("sql", r"^\s+|\s+$", "").alias("sql")).filter("sql <> ''").select("source_name", "sql", F.lit("NATIVE_LOG").alias("source_type"))
 
 
 def postgres(rows: DataFrame) -> DataFrame:

@@ -14,9 +14,8 @@ NAMING = "id string, src_key string, tgt_key string, rule string, direction_hint
 def read_scan_result(spark: SparkSession, path: str, sections: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """The sections of scan results (JSON documents, one for each file) as DataFrames, each with source_name. A document that breaks the schema fails the read."""
     sections = sections or {"relationships": RELATIONSHIP, "lineage": LINEAGE, "naming": NAMING}
-    schema = StructType()
-    for name, fields in sections.items():
-        schema = schema.add(name, f"array<struct<{','.join(f'{p.split(' ')[0]}:{p.split(' ', 1)[1]}' for p in fields.split(', '))}>>")
+    fields = lambda text: ",".join(f"{p.split(' ')[0]}:{p.split(' ', 1)[1]}" for p in text.split(", "))
+    schema = ", ".join(f"{name} array<struct<{fields(text)}>>" for name, text in sections.items())
     read = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("source_name", F.col("_metadata.file_path"))
     return {name: read.select("source_name", F.explode(name).alias("x")).select("source_name", "x.*") for name in sections}
 
