@@ -160,3 +160,38 @@ def packed(docs: DataFrame, cut: DataFrame, id_col: str = "doc_id", text_col: st
     grouped = parts.groupBy("shard", "slot").agg(F.array_sort(F.collect_list(F.struct("first", "low", "w"))).alias("p"))
     flat = F.flatten(F.transform("p", lambda x: x["w"]))
     return grouped.select("shard", "slot", F.size(flat).alias("n_words"), F.array_join(flat, " ").alias("text"))
+
+
+def _mixed(x: str, n: int) -> str:
+    """mix() in SQL: each round is a one-element list's transform, so that its argument is computed once; n tells apart the lambdas of one statement."""
+    seed = f"(({x}) % {P} + (({x}) // {P}) * 7919 + 104729) % {P}"
+    for a, c in ((48271, 12345), (69621, 67890), (39373, 13579)):
+        seed = f"list_transform([{seed}], lambda x{n}: (x{n} * x{n} + x{n} * {a} + {c}) % {P})[1]"
+    return seed
+
+
+ORACLE = rf"""
+WITH d0 AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS key, md5(coalesce(doc_id::VARCHAR, '')) AS place, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+d AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY key ORDER BY place, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM d0),
+s0 AS (SELECT key, source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d0 GROUP BY key, source),
+s1 AS (SELECT *, ([5, 2, 1])[rank % 3 + 1]::DOUBLE AS w, source_size * 2.0::DOUBLE AS cap FROM s0),
+s2 AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level FROM s1 WINDOW b AS (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s3 AS (SELECT *, max(CASE WHEN level <= cap / w THEN level END) OVER () AS top FROM s2),
+s AS (SELECT key, rank, source_size, least(cap, coalesce(top * w, cap)) AS target FROM s3),
+o0 AS (SELECT *, source_size // {BLOCK} AS full_, greatest(0, least(round(target)::BIGINT, source_size * 2) - source_size * epoch) AS due FROM s, (VALUES (0), (1)) e(epoch)),
+o1 AS (SELECT *, least(source_size, due) AS words FROM o0),
+o2 AS (SELECT *, least(full_, words // {BLOCK}) AS whole, words - least(full_, words // {BLOCK}) * {BLOCK} AS rest FROM o1),
+o AS (SELECT *, whole + (rest > 0)::BIGINT AS slots, coalesce(sum(whole + (rest > 0)::BIGINT) OVER (PARTITION BY key ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_ FROM o2),
+p AS (SELECT key, rank, sum(slots)::BIGINT AS slots FROM o GROUP BY 1, 2 HAVING sum(slots) > 0),
+line AS (SELECT *, coalesce(sum(slots) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS low, (sum(slots) OVER ())::BIGINT AS total FROM p),
+n AS (SELECT coalesce(max(total), 0) AS total, (coalesce(max(total), 0) + {SHARD - 1}) // {SHARD} AS shards FROM line),
+u AS (SELECT id // {SHARD} AS shard, floor({_mixed("id + 1000003", 1)} / {P} * total)::BIGINT AS u FROM (SELECT unnest(range(shards * {SHARD})) AS id, total FROM n)),
+c AS (SELECT shard, key, count(*) AS c FROM u JOIN line ON u >= low AND u < low + slots GROUP BY 1, 2),
+g AS (SELECT shard, key, start, least(c, slots - start) AS n FROM (SELECT shard, key, c, coalesce(sum(c) OVER (PARTITION BY key ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM c) JOIN p USING (key) WHERE slots > start),
+q AS (SELECT key, unnest(range(start::BIGINT, (start + n)::BIGINT)) AS q FROM g UNION ALL SELECT key, unnest(range(had::BIGINT, slots)) FROM (SELECT p.key, p.slots, coalesce(sum(g.n), 0) AS had FROM p LEFT JOIN g USING (key) GROUP BY 1, 2)),
+t AS (SELECT o.*, q - before_ AS pos FROM q JOIN o ON o.key = q.key AND q >= before_ AND q < before_ + slots),
+b AS (SELECT key, CASE WHEN pos < full_ THEN (([{", ".join(map(str, PRIMES))}])[(rank + epoch) % {len(PRIMES)} + 1] % greatest(full_, 1) * pos + {_mixed("rank * 31 + epoch + 1", 2)}) % greatest(full_, 1) ELSE full_ END AS block, CASE WHEN pos < whole THEN {BLOCK} ELSE rest END AS words FROM t),
+x AS (SELECT d.key, d.first, unnest(range(first // {BLOCK}, (first + size - 1) // {BLOCK} + 1)) AS block, size FROM d WHERE size > 0),
+got AS (SELECT x.key, x.first, sum(greatest(0, least(size, x.block * {BLOCK} + words - first) - greatest(0, x.block * {BLOCK} - first)))::BIGINT AS taken FROM x JOIN b ON b.key = x.key AND b.block = x.block GROUP BY 1, 2)
+SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE coalesce(taken, 0) END AS taken FROM d JOIN s ON s.key = d.key LEFT JOIN got ON got.key = d.key AND got.first = d.first
+"""

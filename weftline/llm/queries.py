@@ -58,4 +58,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_preference, op3_merkle_fingerprints, op4_sentence_spans, op5_importance_resampling, op6_toxicity, op7_mixing, op8_pii, op9_simhash, op10_warc_fixity, pipeline)}
-ORACLES = {"op2_preference": preference.ORACLE, "op10_warc_fixity": warc.ORACLE}
+ORACLES = {"op2_preference": preference.ORACLE, "op7_mixing": mixing.ORACLE, "op10_warc_fixity": warc.ORACLE}
