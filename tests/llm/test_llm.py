@@ -158,10 +158,13 @@ def brute_spans(rows):
     for k, t in sorted({(k, t) for k, t in rows}, key=lambda r: (r[0] is None, r[0] or 0)):
         own = spans.sentences(t)
         keys = [" ".join(t[a:b].split()) for a, b in own]
-        for i in range(len(own) - spans.RUN + 1):
-            first = seen.setdefault(tuple(keys[i : i + spans.RUN]), (k, i))
+        n = [len(x.split()) for x in keys]
+        every = [(i, j) for i in range(len(own)) for j in range(i + spans.RUN, len(own) + 1) if sum(n[i:j]) >= spans.WORDS]
+        short = {(i, j) for i, j in every if (i, j - 1) not in every} | {(i, j) for i, j in every if (i + 1, j) not in every}
+        for i, j in sorted(short):
+            first = seen.setdefault(tuple(keys[i:j]), (k, i))
             if first != (k, i):
-                cut[k] |= set(range(i, i + spans.RUN))
+                cut[k] |= set(range(i, j))
     return cut
 
 
@@ -169,7 +172,7 @@ def brute_spans(rows):
 def test_spans(spark, docs, none, floor):
     rng = random.Random(8)
     passage = prose(rng, 60)
-    rows = [r[:2] for r in corpus()] + [(200 + i, prose(rng, 30) + " " + passage + " " + prose(rng, 20)) for i in range(12)] + [(300, "na " * 400)]
+    rows = [r[:2] for r in corpus() if r[0] != 107] + [(200 + i, prose(rng, 30) + " " + passage + " " + prose(rng, 20)) for i in range(12)] + [(300, "na " * 400)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h1", F.lit("clash")).withColumn("at", F.lit(0))
     got = {r["doc_id"]: r for r in spans.repeated(df, floor=floor).collect()}
     want = brute_spans([(k, t or "") for k, t in rows])
@@ -180,7 +183,7 @@ def test_spans(spark, docs, none, floor):
     for i in range(1, 12):
         t = dict(rows)[200 + i]
         left = re.sub(r"\s+", " ", spans.cut(t, got[200 + i]["removed"]))
-        assert len(left) < len(t) - 0.7 * len(inner)
+        assert len(left) < len(t) - 0.8 * len(inner)
     assert got[200]["n_removed"] == 0
     out = spans.deduplicated(df.filter("doc_id <> 5 OR doc_id IS NULL"))
     assert out.columns == df.columns and out.filter("doc_id = 100").first()["text"] is None

@@ -13,47 +13,84 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Consecutive sentences in a span; words after which a long sentence is cut, so that unpunctuated text has spans as well.
-RUN, LONG = 3, 25
+#: A span is a run of at least RUN consecutive sentences with at least WORDS words: a passage of that size is found wherever it stands, and shared headings are left alone.
+RUN, WORDS = 2, 25
+#: A sentence of more than LONG words is cut after words whose hash is divisible by CUT: where it begins doesn't matter, so unpunctuated passages align as well.
+LONG, CUT = 25, 8
 END = re.compile(r"[.!?]+\s+|\n+")
 WORD = re.compile(r"\S+")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Code-point ranges of the sentences: each ends after . ! ? and white space, or at a newline; one of more than LONG words is cut after every LONG words."""
+    """Code-point ranges of the sentences: each ends after . ! ? and white space, or at a newline; those of more than LONG words are cut by content."""
     out, at = [], 0
     for end in [m.end() for m in END.finditer(text)] + [len(text)]:
         piece = text[at:end]
         if len(piece) > 2 * LONG and len(piece.split(None, LONG)) > LONG:
-            words = [m.span() for m in WORD.finditer(piece)]
-            for i in range(0, len(words), LONG):
-                out.append((at + words[i][0], at + words[min(i + LONG, len(words)) - 1][1]))
+            first = None
+            for m in WORD.finditer(piece):
+                first = m.start() if first is None else first
+                if xxhash.xxh32_intdigest(m.group()) % CUT == 0:
+                    out.append((at + first, at + m.end()))
+                    first = None
+            if first is not None:
+                out.append((at + first, at + len(piece.rstrip())))
         elif piece.strip():
             out.append((at + len(piece) - len(piece.lstrip()), at + len(piece.rstrip())))
         at = end
     return out
 
 
+def runs(words: list[int]) -> list[tuple[int, int]]:
+    """(first, number) of the spans, by the sentences' numbers of words: from each sentence on, and up to each sentence, the shortest run that is long enough. Every sentence of a passage that is long enough lies in one of them."""
+    found, total, low = set(), 0, 0
+    n = len(words)
+    for high in range(n):  # the shortest run that ends at each sentence
+        total += words[high]
+        while high - low + 1 > RUN and total - words[low] >= WORDS:
+            total -= words[low]
+            low += 1
+        if total >= WORDS and high - low + 1 >= RUN:
+            found.add((low, high - low + 1))
+    total, high = 0, n - 1
+    for low in range(n - 1, -1, -1):  # the shortest run that begins at each sentence
+        total += words[low]
+        while high - low + 1 > RUN and total - words[high] >= WORDS:
+            total -= words[high]
+            high -= 1
+        if total >= WORDS and high - low + 1 >= RUN:
+            found.add((low, high - low + 1))
+    return sorted(found)
+
+
+SPANS = "h1 long, h2 long, doc_id long, at int, size int, start int, stop int"
+
+
 def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each span, with its 128-bit hash; and one for each document, with no hash and the number of sentences as `at`."""
-    types = {"h1": pa.int64(), "h2": pa.int64(), "doc_id": pa.int64(), "at": pa.int32(), "start": pa.int32(), "stop": pa.int32()}
+    """A row for each span, with its 128-bit hash; and one for each document, with no hash and the number of sentences as `size`."""
     for batch in batches:
-        hashes, ids, at, start, stop = [], [], [], [], []
+        hashes, ids, at, size, start, stop = [], [], [], [], [], []
         for doc_id, text in zip(common.column(batch, "doc_id").to_pylist(), common.strings(batch, "text")):
             own = sentences(text)
-            keys = [" ".join(text[a:b].split()).encode("utf-8", "surrogatepass") for a, b in own]
-            n = max(0, len(own) - RUN + 1)
+            words = [text[a:b].split() for a, b in own]
+            keys = [" ".join(w).encode("utf-8", "surrogatepass") for w in words]
             hashes.append(None)
-            hashes += [xxhash.xxh3_128_digest(b"\n".join(keys[i : i + RUN])) for i in range(n)]
-            ids += [doc_id] * (n + 1)
-            at += [len(own), *range(n)]
-            start += [0, *(own[i][0] for i in range(n))]
-            stop += [0, *(own[i + RUN - 1][1] for i in range(n))]
-        blank = np.array([h is None for h in hashes])
+            ids.append(doc_id)
+            at.append(0)
+            size.append(len(own))
+            start.append(0)
+            stop.append(0)
+            for i, n in runs([len(w) for w in words]):
+                hashes.append(xxhash.xxh3_128_digest(b"\n".join(keys[i : i + n])))
+                ids.append(doc_id)
+                at.append(i)
+                size.append(n)
+                start.append(own[i][0])
+                stop.append(own[i + n - 1][1])
+        blank = np.array([h is None for h in hashes], dtype=bool)
         both = np.frombuffer(b"".join(h or b"\0" * 16 for h in hashes), dtype="<i8").reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(both[:, 0], mask=blank), pa.array(both[:, 1], mask=blank), pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=list(types)
-        )
+        ints = [pa.array(x, pa.int32()) for x in (at, size, start, stop)]
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0], mask=blank), pa.array(both[:, 1], mask=blank), pa.array(ids, pa.int64()), *ints], names=["h1", "h2", "doc_id", "at", "size", "start", "stop"])
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,8 +99,8 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, ranges = [], []
         for spans in common.column(batch, "spans").to_pylist():
             gone, out = set(), []
-            for s in sorted(spans or [], key=lambda s: s["at"]):
-                gone.update(range(s["at"], s["at"] + RUN))
+            for s in sorted(spans or [], key=lambda s: (s["at"], s["size"])):
+                gone.update(range(s["at"], s["at"] + s["size"]))
                 if out and s["start"] <= out[-1]["stop"]:
                     out[-1]["stop"] = max(out[-1]["stop"], s["stop"])
                 else:
@@ -76,22 +113,22 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", floor: int = common.HOT_ROWS) -> DataFrame:
     """(doc_id, n_sentences, n_removed, removed): for each document, the merged code-point ranges of the sentences covered by a repeated span that isn't the span's first.
 
-    A span is RUN consecutive sentences, compared by the 128-bit hash of their words, white space normalised. Of equal spans, the one with the smallest (doc_id, sentence) is first and stays; null ids
+    A span is a run of sentences (see runs()), compared by the 128-bit hash of their words, white space normalised. Of equal spans, the one with the smallest (doc_id, sentence) is first and stays; null ids
     come last. Rows of equal doc_id count as one document (the sentences of one of them are counted, repeats between them don't count as such if at equal places); rows without id likewise. Documents
-    of fewer than RUN sentences, null and empty ones have no span and lose nothing. Every span of every text is hashed and joined; a span that many documents share is found by a
+    of fewer than RUN sentences or WORDS words, null and empty ones have no span and lose nothing. Every span of every text is hashed and joined; a span that many documents share is found by a
     pre-aggregated minimum and joined by hot_join.
     """
-    rows = common.written(common.named(docs, id_col, text_col).mapInArrow(_span_rows, "h1 long, h2 long, doc_id long, at int, start int, stop int"), "spans")
+    rows = common.written(common.named(docs, id_col, text_col).mapInArrow(_span_rows, SPANS), "spans")
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("at"))
     seen = rows.filter("h1 IS NOT NULL")
     firsts = common.checkpoint(seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"))
     later = (
         common.hot_join(seen, firsts, ["h1", "h2"], "n", rows.count(), floor=floor)
         .filter((F.coalesce("doc_id", F.lit((1 << 63) - 1)) != F.col("first.d")) | (F.col("at") != F.col("first.at")))
-        .select("doc_id", F.struct("at", "start", "stop").alias("span"), F.lit(None).cast("int").alias("size"))
+        .select("doc_id", F.struct("at", "size", "start", "stop").alias("span"), F.lit(None).cast("int").alias("n"))
     )
-    each = rows.filter("h1 IS NULL").select("doc_id", F.lit(None).cast("struct<at:int,start:int,stop:int>").alias("span"), F.col("at").alias("size"))
-    per = later.unionByName(each).groupBy("doc_id").agg(F.max("size").alias("n_sentences"), F.collect_set("span").alias("spans"))
+    each = rows.filter("h1 IS NULL").select("doc_id", F.lit(None).cast("struct<at:int,size:int,start:int,stop:int>").alias("span"), F.col("size").alias("n"))
+    per = later.unionByName(each).groupBy("doc_id").agg(F.max("n").alias("n_sentences"), F.collect_set("span").alias("spans"))
     return per.mapInArrow(_merged, "doc_id long, n_sentences int, n_removed int, removed array<struct<start:int,stop:int>>")
 
 
