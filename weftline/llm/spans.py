@@ -42,25 +42,17 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def runs(words: list[int]) -> list[tuple[int, int]]:
-    """(first, number) of the spans, by the sentences' numbers of words: from each sentence on, and up to each sentence, the shortest run that is long enough. Every sentence of a passage that is long enough lies in one of them."""
-    found, total, low = set(), 0, 0
-    n = len(words)
-    for high in range(n):  # the shortest run that ends at each sentence
-        total += words[high]
-        while high - low + 1 > RUN and total - words[low] >= WORDS:
-            total -= words[low]
-            low += 1
-        if total >= WORDS and high - low + 1 >= RUN:
-            found.add((low, high - low + 1))
-    total, high = 0, n - 1
-    for low in range(n - 1, -1, -1):  # the shortest run that begins at each sentence
-        total += words[low]
-        while high - low + 1 > RUN and total - words[high] >= WORDS:
-            total -= words[high]
-            high -= 1
-        if total >= WORDS and high - low + 1 >= RUN:
-            found.add((low, high - low + 1))
-    return sorted(found)
+    """(first, number) of the spans, by the sentences' numbers of words: from each sentence on, the shortest run that is long enough. In a passage, only sentences after its last span, fewer than WORDS words, lie in none."""
+    found, total, high = [], 0, 0
+    for low in range(len(words)):
+        while high < len(words) and (total < WORDS or high - low < RUN):
+            total += words[high]
+            high += 1
+        if total < WORDS or high - low < RUN:
+            break
+        found.append((low, high - low))
+        total -= words[low]
+    return found
 
 
 SPANS = "h1 long, h2 long, doc_id long, at int, size int, start int, stop int"
