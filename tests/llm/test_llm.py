@@ -190,6 +190,36 @@ def test_spans(spark, docs, none, floor):
     assert spans.repeated(none).count() == 0
 
 
+def whole_spans(rows):
+    """As brute_spans, with the spans that end at each sentence as well."""
+    seen, cut = {}, defaultdict(set)
+    for k, t in sorted({(k, t) for k, t in rows}, key=lambda r: (r[0] is None, r[0] or 0)):
+        own = spans.sentences(t)
+        keys = [" ".join(t[a:b].split()) for a, b in own]
+        n = [len(x.split()) for x in keys]
+        every = [(i, j) for i in range(len(own)) for j in range(i + spans.RUN, len(own) + 1) if sum(n[i:j]) >= spans.WORDS]
+        some = set(every)
+        for i, j in every:
+            if ((i, j - 1) not in some or (i + 1, j) not in some) and seen.setdefault(tuple(keys[i:j]), (k, i)) != (k, i):
+                cut[k] |= set(range(i, j))
+    return cut
+
+
+@pytest.mark.parametrize("floor, most", [(1_000_000, 1 << 27), (1, 1 << 10)])
+def test_spans_up_to_each_sentence(spark, monkeypatch, floor, most):
+    monkeypatch.setattr(spans, "MOST", most)
+    rng = random.Random(8)
+    passage = " ".join(" ".join(rng.choice(WORDS) for _ in range(n)) + "." for n in (20, 24, 1, 8, 8, 7))
+    rows = [r[:2] for r in corpus() if r[0] != 107] + [(200 + i, prose(rng, 30) + " " + passage + " " + prose(rng, 20)) for i in range(12)] + [(300, "na " * 400)]
+    got = {r["doc_id"]: r for r in spans.repeated(spark.createDataFrame(rows, "doc_id long, text string"), floor=floor).collect()}
+    want = whole_spans([(k, t or "") for k, t in rows])
+    assert {k: r["n_removed"] for k, r in got.items()} == {k: len(want[k]) for k in got}
+    inner = re.sub(r"\s+", " ", passage)
+    for i in range(1, 12):
+        t = dict(rows)[200 + i]
+        assert len(re.sub(r"\s+", " ", spans.cut(t, got[200 + i]["removed"]))) < len(t) - 0.8 * len(inner)
+
+
 # 5
 def test_resample(spark):
     rng = random.Random(5)

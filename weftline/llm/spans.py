@@ -19,6 +19,8 @@ RUN, WORDS = 2, 25
 LONG, CUT = 25, 8
 END = re.compile(r"[.!?]+\s+|\n+")
 WORD = re.compile(r"\S+")
+#: Bits of the filter over repeated hashes: so many for each, MOST in all (16 MB).
+BITS, MOST = 8, 1 << 27
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -42,17 +44,25 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def runs(words: list[int]) -> list[tuple[int, int]]:
-    """(first, number) of the spans, by the sentences' numbers of words: from each sentence on, the shortest run that is long enough. In a passage, only sentences after its last span, fewer than WORDS words, lie in none."""
-    found, total, high = [], 0, 0
-    for low in range(len(words)):
-        while high < len(words) and (total < WORDS or high - low < RUN):
-            total += words[high]
-            high += 1
-        if total < WORDS or high - low < RUN:
-            break
-        found.append((low, high - low))
-        total -= words[low]
-    return found
+    """(first, number) of the spans, by the sentences' numbers of words: from each sentence on, and up to each sentence, the shortest run that is long enough. Every sentence of a passage that is long enough lies in one of them."""
+    found, total, low = set(), 0, 0
+    n = len(words)
+    for high in range(n):  # the shortest run that ends at each sentence
+        total += words[high]
+        while high - low + 1 > RUN and total - words[low] >= WORDS:
+            total -= words[low]
+            low += 1
+        if total >= WORDS and high - low + 1 >= RUN:
+            found.add((low, high - low + 1))
+    total, high = 0, n - 1
+    for low in range(n - 1, -1, -1):  # the shortest run that begins at each sentence
+        total += words[low]
+        while high - low + 1 > RUN and total - words[high] >= WORDS:
+            total -= words[high]
+            high -= 1
+        if total >= WORDS and high - low + 1 >= RUN:
+            found.add((low, high - low + 1))
+    return sorted(found)
 
 
 SPANS = "h1 long, h2 long, doc_id long, at int, size int, start int, stop int"
@@ -102,20 +112,37 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([common.column(batch, "doc_id"), common.column(batch, "n_sentences"), pa.array(counts, pa.int32()), pa.array(ranges, type=kind)], names=["doc_id", "n_sentences", "n_removed", "removed"])
 
 
+def _maybe(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose h1 may be one of keys: all that are, and few others, so that only they are shuffled. A full filter passes more rows, never fewer."""
+    bits = min(MOST, max(1 << 10, 1 << (BITS * keys.count()).bit_length()))
+    word = F.shiftrightunsigned("h1", 6).bitwiseAND(F.lit(bits // 64 - 1)).cast("int")
+    parts = keys.groupBy(word.alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(h1 & 63 AS int)))").alias("set")).toArrow()
+    filled = np.zeros(bits // 64, dtype=np.uint64)
+    filled[parts["word"].to_numpy()] = parts["set"].to_numpy().view(np.uint64)
+    shared = rows.sparkSession.sparkContext.broadcast(filled)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = common.column(batch, "h1").to_numpy().view(np.uint64)
+            yield batch.filter(pa.array((shared.value[(h >> np.uint64(6)) & np.uint64(bits // 64 - 1)] >> (h & np.uint64(63))) & np.uint64(1) == 1))
+
+    return rows.mapInArrow(each, SPANS)
+
+
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", floor: int = common.HOT_ROWS) -> DataFrame:
     """(doc_id, n_sentences, n_removed, removed): for each document, the merged code-point ranges of the sentences covered by a repeated span that isn't the span's first.
 
     A span is a run of sentences (see runs()), compared by the 128-bit hash of their words, white space normalised. Of equal spans, the one with the smallest (doc_id, sentence) is first and stays; null ids
     come last. Rows of equal doc_id count as one document (the sentences of one of them are counted, repeats between them don't count as such if at equal places); rows without id likewise. Documents
     of fewer than RUN sentences or WORDS words, null and empty ones have no span and lose nothing. Every span of every text is hashed and joined; a span that many documents share is found by a
-    pre-aggregated minimum and joined by hot_join.
+    pre-aggregated minimum and joined by hot_join, after a filter of fixed size has dropped most spans that aren't repeated.
     """
     rows = common.written(common.named(docs, id_col, text_col).mapInArrow(_span_rows, SPANS), "spans")
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("at"))
     seen = rows.filter("h1 IS NOT NULL")
     firsts = common.checkpoint(seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"))
     later = (
-        common.hot_join(seen, firsts, ["h1", "h2"], "n", rows.count(), floor=floor)
+        common.hot_join(_maybe(seen, firsts), firsts, ["h1", "h2"], "n", rows.count(), floor=floor)
         .filter((F.coalesce("doc_id", F.lit((1 << 63) - 1)) != F.col("first.d")) | (F.col("at") != F.col("first.at")))
         .select("doc_id", F.struct("at", "size", "start", "stop").alias("span"), F.lit(None).cast("int").alias("n"))
     )
