@@ -220,6 +220,20 @@ def test_spans_up_to_each_sentence(spark, monkeypatch, floor, most):
         assert len(re.sub(r"\s+", " ", spans.cut(t, got[200 + i]["removed"]))) < len(t) - 0.8 * len(inner)
 
 
+def test_spans_of_short_sentences(spark):
+    rng = random.Random(12)
+    say = lambda *sizes: " ".join(" ".join(rng.choice(WORDS) for _ in range(n)) + "." for n in sizes)
+    inner, heading = say(2, 6, 1, 3), say(4, 5)
+    # the passage begins and ends within sentences of its neighbours
+    around = [say(9)[:-1] + " " + say(7) + " " + inner + " " + say(8)[:-1] + " " + say(5) for _ in range(6)]
+    rows = list(enumerate(around)) + [(10 + i, say(12) + " " + heading + " " + say(11)) for i in range(4)]
+    got = {r["doc_id"]: r for r in spans.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["n_removed"] for i in range(6)] == [0] + [4] * 5
+    for i in range(1, 6):
+        assert inner not in spans.cut(rows[i][1], got[i]["removed"])
+    assert all(got[10 + i]["n_removed"] == 0 for i in range(4))
+
+
 # 5
 def test_resample(spark):
     rng = random.Random(5)

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A span is a run of at least RUN consecutive sentences with at least WORDS words: a passage of that size is found wherever it stands, and shared headings are left alone.
-RUN, WORDS = 2, 25
+#: A span is a run of at least RUN consecutive sentences with at least WORDS words, or of SHORT sentences whatever their words: a passage of that size is found wherever it stands, and single shared headings are left alone.
+RUN, WORDS, SHORT = 2, 25, 3
 #: A sentence of more than LONG words is cut after words whose hash is divisible by CUT: where it begins doesn't matter, so unpunctuated passages align as well.
 LONG, CUT = 25, 8
 END = re.compile(r"[.!?]+\s+|\n+")
@@ -44,7 +44,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def runs(words: list[int]) -> list[tuple[int, int]]:
-    """(first, number) of the spans, by the sentences' numbers of words: from each sentence on, and up to each sentence, the shortest run that is long enough. Every sentence of a passage that is long enough lies in one of them."""
+    """(first, number) of the spans, by the sentences' numbers of words: from each sentence on, and up to each sentence, the shortest run that is long enough; and each run of SHORT sentences with fewer words, as one with more is covered by those. Every sentence of a passage that is long enough lies in one of them."""
     found, total, low = set(), 0, 0
     n = len(words)
     for high in range(n):  # the shortest run that ends at each sentence
@@ -62,6 +62,7 @@ def runs(words: list[int]) -> list[tuple[int, int]]:
             high -= 1
         if total >= WORDS and high - low + 1 >= RUN:
             found.add((low, high - low + 1))
+    found.update((i, SHORT) for i in range(n - SHORT + 1) if sum(words[i : i + SHORT]) < WORDS)
     return sorted(found)
 
 
@@ -134,7 +135,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fl
 
     A span is a run of sentences (see runs()), compared by the 128-bit hash of their words, white space normalised. Of equal spans, the one with the smallest (doc_id, sentence) is first and stays; null ids
     come last. Rows of equal doc_id count as one document (the sentences of one of them are counted, repeats between them don't count as such if at equal places); rows without id likewise. Documents
-    of fewer than RUN sentences or WORDS words, null and empty ones have no span and lose nothing. Every span of every text is hashed and joined; a span that many documents share is found by a
+    of fewer than RUN sentences, or of fewer than SHORT sentences and WORDS words, null and empty ones have no span and lose nothing. Every span of every text is hashed and joined; a span that many documents share is found by a
     pre-aggregated minimum and joined by hot_join, after a filter of fixed size has dropped most spans that aren't repeated.
     """
     rows = common.written(common.named(docs, id_col, text_col).mapInArrow(_span_rows, SPANS), "spans")
