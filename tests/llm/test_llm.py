@@ -153,84 +153,78 @@ def test_merkle_tree(spark, docs):
 
 
 # 4
-def brute_spans(rows):
-    seen, cut = {}, defaultdict(set)
-    for k, t in sorted({(k, t) for k, t in rows}, key=lambda r: (r[0] is None, r[0] or 0)):
+def brute_spans(rows, words=spans.WORDS):
+    """The words removed from each row, by hashing every run of two and more sentences: row -> set of sentences."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, (xxhash.xxh3_64_intdigest((rows[i][1] or "").encode()) + (1 << 63)) % (1 << 64), i))
+    seen, cut, sizes = {}, {i: set() for i in order}, {}
+    for i in order:
+        t = rows[i][1] or ""
         own = spans.sentences(t)
-        keys = [" ".join(t[a:b].split()) for a, b in own]
-        n = [len(x.split()) for x in keys]
-        every = [(i, j) for i in range(len(own)) for j in range(i + spans.RUN, len(own) + 1) if sum(n[i:j]) >= spans.WORDS]
-        short = {(i, j) for i, j in every if (i, j - 1) not in every}
-        for i, j in sorted(short):
-            first = seen.setdefault(tuple(keys[i:j]), (k, i))
-            if first != (k, i):
-                cut[k] |= set(range(i, j))
-    return cut
-
-
-@pytest.mark.parametrize("floor", [1_000_000, 1])
-def test_spans(spark, docs, none, floor):
-    rng = random.Random(8)
-    passage = prose(rng, 60)
-    rows = [r[:2] for r in corpus() if r[0] != 107] + [(200 + i, prose(rng, 30) + " " + passage + " " + prose(rng, 20)) for i in range(12)] + [(300, "na " * 400)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h1", F.lit("clash")).withColumn("at", F.lit(0))
-    got = {r["doc_id"]: r for r in spans.repeated(df, floor=floor).collect()}
-    want = brute_spans([(k, t or "") for k, t in rows])
-    assert len(got) == len({k for k, _ in rows})
-    for k, r in got.items():
-        assert r["n_removed"] == len(want[k])
-    inner = re.sub(r"\s+", " ", passage)
-    for i in range(1, 12):
-        t = dict(rows)[200 + i]
-        left = re.sub(r"\s+", " ", spans.cut(t, got[200 + i]["removed"]))
-        assert len(left) < len(t) - 0.6 * len(inner)
-    assert got[200]["n_removed"] == 0
-    out = spans.deduplicated(df.filter("doc_id <> 5 OR doc_id IS NULL"))
-    assert out.columns == df.columns and out.filter("doc_id = 100").first()["text"] is None
-    assert spans.repeated(none).count() == 0
-
-
-def whole_spans(rows):
-    """As brute_spans, with the spans that end at each sentence as well."""
-    seen, cut = {}, defaultdict(set)
-    for k, t in sorted({(k, t) for k, t in rows}, key=lambda r: (r[0] is None, r[0] or 0)):
-        own = spans.sentences(t)
-        keys = [" ".join(t[a:b].split()) for a, b in own]
-        n = [len(x.split()) for x in keys]
-        every = [(i, j) for i in range(len(own)) for j in range(i + spans.RUN, len(own) + 1) if sum(n[i:j]) >= spans.WORDS]
-        some = set(every)
-        for i, j in every:
-            if ((i, j - 1) not in some or (i + 1, j) not in some) and seen.setdefault(tuple(keys[i:j]), (k, i)) != (k, i):
-                cut[k] |= set(range(i, j))
-    return cut
-
-
-@pytest.mark.parametrize("floor, most", [(1_000_000, 1 << 27), (1, 1 << 10)])
-def test_spans_up_to_each_sentence(spark, monkeypatch, floor, most):
+        keys = [tuple(t[a:b].split()) for a, b in own]
+        covered = set()  # pairs of neighbours that lie in one repeated run
+        for a in range(len(own)):
+            for b in range(a + 2, min(len(own), a + 12) + 1):
+                if seen.setdefault(tuple(keys[a:b]), (i, a)) != (i, a):
+                    covered |= {(x, x + 1) for x in range(a, b - 1)}
+        x = 0
+        while x < len(own) - 1:
+            y = x
+            while (y, y + 1) in covered:
+                y += 1
+            if y > x and (sum(map(len, keys[x : y + 1])) >= words or y - x + 1 == len(own)):
+                cut[i] |= set(range(x, y + 1))
+            x = max(y, x + 1)
+        sizes[i] = len(own)
+    return cut, sizes
+
+
+@pytest.mark.parametrize("floor, most, words", [(1_000_000, 1 << 27, spans.WORDS), (1, 1 << 10, spans.WORDS), (1_000_000, 1 << 27, 0)])
+def test_spans(spark, none, monkeypatch, floor, most, words):
     monkeypatch.setattr(spans, "MOST", most)
     rng = random.Random(8)
-    passage = " ".join(" ".join(rng.choice(WORDS) for _ in range(n)) + "." for n in (20, 24, 1, 8, 8, 7))
+    passage = prose(rng, 60)
     rows = [r[:2] for r in corpus() if r[0] != 107] + [(200 + i, prose(rng, 30) + " " + passage + " " + prose(rng, 20)) for i in range(12)] + [(300, "na " * 400)]
-    got = {r["doc_id"]: r for r in spans.repeated(spark.createDataFrame(rows, "doc_id long, text string"), floor=floor).collect()}
-    want = whole_spans([(k, t or "") for k, t in rows])
-    assert {k: r["n_removed"] for k, r in got.items()} == {k: len(want[k]) for k in got}
+    rows += [(400, "Short one. Two."), (401, "Short one.  Two."), (402, "Other. Short one. Two. More."), (403, "single"), (404, "single")]
+    rows += [(None, "Quite another text here. It is unlike all. " + passage), (None, "A third text that has no id. It shares nothing."), (2, "The id is taken. But not the text. " + passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h1", F.lit("clash")).withColumn("at", F.lit(0)).withColumn("row", F.lit("clash"))
+    got = spans.repeated(df, floor=floor, words=words).collect()
+    want, sizes = brute_spans(rows, words)
+    assert Counter((r["doc_id"], r["n_sentences"], r["n_removed"]) for r in got) == Counter((rows[i][0], sizes[i], len(want[i])) for i in want)
+    if words == 0:
+        return
+    # the texts, each cut at its own repeats only
+    out = spans.deduplicated(df)
+    texts_ = Counter()
+    for i, gone in want.items():
+        t, left, last = rows[i][1], "", 0
+        own = spans.sentences(t or "")
+        for x, (a, b) in enumerate(own):
+            if x in gone:
+                left += t[last : a if x - 1 not in gone else last]
+                last = b
+        texts_[rows[i][0], t if t is None else left + t[last:]] += 1
+    assert out.columns == df.columns and Counter((r["doc_id"], r["text"]) for r in out.collect()) == texts_
     inner = re.sub(r"\s+", " ", passage)
-    for i in range(1, 12):
-        t = dict(rows)[200 + i]
-        assert len(re.sub(r"\s+", " ", spans.cut(t, got[200 + i]["removed"]))) < len(t) - 0.8 * len(inner)
+    for k, t in rows:
+        if k is not None and 200 < k < 212:
+            left = re.sub(r"\s+", " ", next(x for (d, x) in texts_ if d == k))
+            assert len(left) < len(t) - 0.8 * len(inner)
+    assert (401, "") in texts_ and (402, rows[[r[0] for r in rows].index(402)][1]) in texts_ and (404, "single") in texts_
+    assert (105, "") in {(k, (t or "").strip()) for k, t in texts_}  # an exact copy
+    assert spans.repeated(none).count() == 0 and spans.deduplicated(none).count() == 0
 
 
-def test_spans_of_short_sentences(spark):
+def test_spans_begin_anywhere(spark):
     rng = random.Random(12)
     say = lambda *sizes: " ".join(" ".join(rng.choice(WORDS) for _ in range(n)) + "." for n in sizes)
-    inner, heading = say(2, 6, 1, 3), say(4, 5)
+    inner, heading = say(24, 9, 17), say(4, 5)
     # the passage begins and ends within sentences of its neighbours
-    around = [say(9)[:-1] + " " + say(7) + " " + inner + " " + say(8)[:-1] + " " + say(5) for _ in range(6)]
+    around = [say(9)[:-1] + " " + say(7) + " " + inner[:-1] + " " + say(8)[:-1] + " " + say(5) for _ in range(6)]
     rows = list(enumerate(around)) + [(10 + i, say(12) + " " + heading + " " + say(11)) for i in range(4)]
     got = {r["doc_id"]: r for r in spans.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [got[i]["n_removed"] for i in range(6)] == [0] + [4] * 5
+    assert got[0]["n_removed"] == 0
     for i in range(1, 6):
-        assert inner not in spans.cut(rows[i][1], got[i]["removed"])
+        assert inner[len(inner) // 3 : -len(inner) // 3] not in spans.cut(rows[i][1], got[i]["removed"]) and got[i]["n_removed"] > 1
     assert all(got[10 + i]["n_removed"] == 0 for i in range(4))
 
 
@@ -492,24 +486,56 @@ def test_components(spark):
 
 
 # 10
-def test_warc(spark):
-    rows = [(i, f"http://x/{i}", f"<p>page {i}</p>" * (i % 7)) for i in range(700)] + [(None, None, None), (3, "http://x/3", "<p>page 3</p>" * 3), (900, "http://x/é", "日本")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("hash", F.lit("clash"))
-    m = warc.manifest(pages, file_records=64).orderBy("file", "ordinal").collect()
-    assert len(m) == len(rows)
-    bodies = sorted(((i is not None, i or 0), u or "", hashlib.sha256(b).hexdigest(), len(b)) for i, u, h in rows for b in [f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: {u or ''}\r\nContent-Type: text/html\r\nContent-Length: {len((h or '').encode())}\r\n\r\n{h or ''}\r\n\r\n".encode()])
-    assert [(r["hash"], r["length"]) for r in m] == [(h, n) for _, _, h, n in bodies]
-    at = 0
-    for i, r in enumerate(m):
-        at = 0 if i % 64 == 0 else at
-        assert (r["file"], r["ordinal"], r["start"]) == (i // 64, i % 64, at)
+def _laid(spark, order):
+    """A manifest of one file that holds (page_id, url, payload) in this order, with nodes as their keys say."""
+    rows, at, n1, n2 = [], 0, 0, 0
+    for i, (k, u, h) in enumerate(order):
+        body = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: {u}\r\nContent-Type: text/html\r\nContent-Length: {len(h.encode())}\r\n\r\n{h}\r\n\r\n".encode()
+        key = hashlib.md5(f"{k}:{u}".encode()).hexdigest()
+        rows.append((k, u, key, 0, n2, n1, i, at, len(body), hashlib.sha256(body).hexdigest()))
+        at, n1, n2 = at + len(body), n1 + key.startswith("0"), n2 + key.startswith("00")
+    return spark.createDataFrame(rows, "page_id long, url string, key string, file long, node2 long, node1 long, ordinal int, start long, length long, hash string")
+
+
+def test_warc_manifest(spark):
+    rows = [(i, f"http://x/{i}", f"<p>page {i}</p>" * (i % 7)) for i in range(700)] + [(None, None, None)] * 40 + [(3, "http://x/3", "<p>page 3</p>" * 3), (900, "http://x/é", "日本")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("hash", F.lit("clash")).withColumn("file", F.lit("clash"))
+    m = warc.manifest(pages).orderBy("file", "ordinal").collect()
+    bodies = sorted(((i is not None, i or 0), u or "", hashlib.sha256(b).hexdigest(), len(b), i) for i, u, h in rows for b in [f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: {u or ''}\r\nContent-Type: text/html\r\nContent-Length: {len((h or '').encode())}\r\n\r\n{h or ''}\r\n\r\n".encode()])
+    assert [(r["hash"], r["length"]) for r in m] == [b[2:4] for b in bodies]
+    at, file, seen = 0, 0, set()
+    for r, (*_, i), (_, u, *_) in zip(m, bodies, bodies):
+        assert (r["file"], r["start"]) == (file, at)
         at += r["length"]
-    bad = pages.withColumn("html", F.when(F.col("page_id").isin(5, 77, 650), F.concat(F.lit("#"), F.expr("substring(html, 2)"))).otherwise(F.col("html")))
-    got = warc.fixity(pages, bad).filter("corrupt").collect()
-    assert {r["page_id"] for r in got} == {5, 77, 650}  # page 77 has no payload: it grows, and the records after it only move
-    a, b = (warc.levels(warc.manifest(x, file_records=64)) for x in (pages, pages.filter("page_id < 690")))
-    assert {r["kind"] for r in warc.audit(a, b).collect()} >= {"missing"}
-    assert warc.audit(a, a).count() == 0
+        again = (i, u) in seen
+        seen.add((i, u))
+        if not again and hashlib.md5(f"{'' if i is None else i}:{u}".encode()).hexdigest().startswith("000"):
+            at, file = 0, file + 1
+    assert max(Counter(r["node1"] for r in m).values()) < 120  # the 40 equal records don't make one node
+
+
+def test_warc_audit(spark):
+    base = [(i, f"u{i}", f"payload {i}") for i in range(300)]
+    tree = warc.levels(_laid(spark, base))
+    variants = {
+        "missing": (base[:41] + base[42:], {(41, "missing")}), "first": (base[1:], {(0, "missing")}), "extra": (base[:100] + [(1000, "new", "x")] + base[100:], {(1000, "extra")}),
+        "longer": (base[:77] + [(77, "u77", "payload 77 and more")] + base[78:], {(77, "changed")}), "moved": (base[:20] + base[21:200] + [base[20]] + base[200:], {(20, "moved")}), "same": (base, set()),
+        "all": ([(k, u, h + "!") for k, u, h in base], {(i, "changed") for i in range(300)}), "none": ([], {(i, "missing") for i in range(300)}),
+    }
+    for name, (order, want) in variants.items():
+        assert {(r["page_id"], r["kind"]) for r in warc.audit(tree, warc.levels(_laid(spark, order))).collect()} == want, name
+
+
+def test_warc_fixity(spark):
+    rows = [(i, f"http://x/{i}", f"<p>page {i}</p>" * (i % 7)) for i in range(400)] + [(None, None, None)] * 5 + [(None, "u", None), (3, "http://x/3", "<p>page 3</p>" * 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit("clash"))
+    changed = lambda r: (r[0], r[1], "#" + (r[2] or "")) if r[0] in (5, 77, 350) else r
+    bad = spark.createDataFrame([changed(r) for i, r in enumerate(rows) if r[0] != 41 and i != 402] + [(7, "http://other", "y")], "page_id long, url string, html string")
+    got = warc.fixity(pages, bad).collect()
+    assert len(got) == len(rows) + 1
+    assert {(r["page_id"], r["kind"]) for r in got if r["kind"] != "whole"} == {(5, "changed"), (77, "changed"), (350, "changed"), (41, "missing"), (7, "extra"), (None, "missing")}
+    assert sum(r["corrupt"] for r in got if r["page_id"] is None) == 5  # one of five equal records is missing
+    assert warc.fixity(pages, pages).filter("corrupt OR kind <> 'whole'").count() == 0
     assert warc.fixity(pages.limit(0), pages.limit(0)).count() == 0
 
 
