@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import pyarrow as pa
 import xxhash
@@ -16,12 +17,14 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: A term discloses an entity if the pointwise mutual information of both is at least this share of the entity's information content, seen in at least SUPPORT different texts.
-DISCLOSURE, SUPPORT = 0.8, 3
-#: Words on either side of a mention that are its context; rows of candidate terms or disclosing pairs that may be broadcast.
-WINDOW, BROADCAST = 8, 50_000
-#: A term wholly specific to an entity is removed, others are generalised.
-REMOVE = 0.999
+#: A term discloses an entity if the pointwise mutual information of both, as a share of the entity's information content and weighted n / (n + PRIOR) by the number of documents that have both, is at least this.
+DISCLOSURE, PRIOR = 0.97, 0.02
+#: A word that stands within so many words of a mention is a candidate; rows of candidate or disclosing terms that may be broadcast.
+WINDOW, BROADCAST = 8, 200_000
+#: Bits of the filter over more terms than that, which lets all of them pass and few others (16 MB).
+FILTER_BITS = 1 << 27
+#: What a term is generalised to.
+CLASSES = ("NUMBER", "NAME", "WORD")
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -76,130 +79,178 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else NOT_DIGIT.sub('', value)}"
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end): the words of at least 3 letters within WINDOW words of a mention and outside every mention, in lower case."""
-    if not spans:
-        return []
-    words = [m.span() for m in WORD.finditer(text)]
-    starts = [a for a, _ in words]
-    from bisect import bisect_left
+def class_of(word: str) -> str:
+    return "NUMBER" if DIGITS.search(word) else "NAME" if word[:1].isupper() else "WORD"
+
+
+def terms(text: str) -> set[str]:
+    """The words of at least 3 letters, in lower case."""
+    return {w.lower() for w in set(WORD.findall(text)) if len(w) > 2}
 
-    busy = sorted((a, b) for _, a, b in spans)
+
+def _outside(words: list[tuple[int, int]], spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    busy, ends, out = sorted((a, b) for _, a, b in spans), [], []
+    for a, b in busy:  # spans of different kinds may overlap; ends keep the furthest so far
+        ends.append(max(b, ends[-1]) if ends else b)
+    for s, t in words:
+        i = bisect_left(busy, (t, 0)) - 1
+        if i < 0 or ends[i] <= s:
+            out.append((s, t))
+    return out
+
+
+def candidates(text: str, spans: list[tuple[str, int, int]]) -> set[tuple[str, str]]:
+    """(entity, term): the terms within WINDOW words of a mention and outside every mention."""
+    words = [m.span() for m in WORD.finditer(text)]
+    starts, free = [a for a, _ in words], set(_outside(words, spans))
     out = set()
     for kind, a, b in spans:
         e, lo, hi = entity(kind, text[a:b]), bisect_left(starts, a), bisect_left(starts, b)
-        for s, t in words[max(0, lo - WINDOW) : lo] + words[hi : hi + WINDOW]:
-            i = bisect_left(busy, (t, 0)) - 1
-            near = busy[i][1] > s if i >= 0 else False
-            if t - s >= 3 and not near and not text[s:t].isdigit():
-                out.add((e, text[s:t].lower(), s, t))
-    return sorted(out, key=lambda x: x[2:] + x[:2])
+        out.update((e, text[s:t].lower()) for s, t in words[max(0, lo - WINDOW) : lo] + words[hi : hi + WINDOW] if t - s > 2 and (s, t) in free)
+    return out
 
 
-_KIND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-_CONTEXT = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-FOUND = "doc_id long, row long, text_hash long, base array<struct<kind:string,start:int,end:int>>, context array<struct<entity:string,term:string,start:int,end:int>>"
+_BASE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+_TERM = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("disclosure", pa.float64()), ("ic", pa.float64())]))
+_NEAR = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string())]))
+FOUND = "entities array<string>, near array<struct<entity:string,term:string>>, words array<string>"
+TERM = "array<struct<start:int,end:int,disclosure:double,ic:double>>"
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text with a base span: its entities, candidate pairs and all its terms."""
     for batch in batches:
-        base, context, hashes = [], [], []
+        entities, near, words = [], [], []
         for text in common.strings(batch, "text"):
-            spans = base_spans(text)
-            base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-            context.append([{"entity": e, "term": t, "start": a, "end": b} for e, t, a, b in contexts(text, spans)])
-            hashes.append(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63) if spans else None)
-        yield pa.RecordBatch.from_arrays([common.column(batch, "doc_id"), pa.array(hashes, pa.int64()), pa.array(base, _KIND), pa.array(context, _CONTEXT)], names=["doc_id", "text_hash", "base", "context"])
+            if spans := base_spans(text):
+                entities.append(sorted({entity(k, text[a:b]) for k, a, b in spans}))
+                near.append([{"entity": e, "term": t} for e, t in sorted(candidates(text, spans))])
+                words.append(sorted(terms(text)))
+        yield pa.RecordBatch.from_arrays([pa.array(entities, pa.list_(pa.string())), pa.array(near, _NEAR), pa.array(words, pa.list_(pa.string()))], names=["entities", "near", "words"])
 
 
-def _frequency(terms, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Terms:
+    """Which terms to look for: exactly, or by a bit filter that may let others pass."""
+
+    def __init__(self, exact: dict[str, tuple[float, float]] | None, bits: bytes | None = None):
+        self.exact, self.bits = exact, bits
+
+    def of(self, words: set[str]) -> set[str]:
+        if self.exact is not None:
+            return words & self.exact.keys()
+        n = len(self.bits) * 8
+        return {w for w in words if self.bits[(h := xxhash.xxh64_intdigest(w) % n) >> 3] >> (h & 7) & 1}
+
+
+def _lookup(rows: DataFrame, most: int, bits: int = FILTER_BITS):
+    """Terms of rows (term, and disclosure and ic if there), broadcast: exact if at most `most`, else the filter, whose set bytes are made on the executors. Second: whether it is exact."""
+    spark, valued = rows.sparkSession, "ic" in rows.columns
+    n = rows.count()
+    if n <= most:
+        return spark.sparkContext.broadcast(Terms({r[0]: (r[1], r[2]) if valued else (0.0, 0.0) for r in rows.collect()})), True
+    bits = min(bits, 1 << (16 * n).bit_length())
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [xxhash.xxh64_intdigest(t) % bits for t in common.column(batch, "term").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x >> 3 for x in at], pa.int32()), pa.array([1 << (x & 7) for x in at], pa.int32())], names=["byte", "bit"])
+
+    filled = bytearray(bits // 8)
+    for byte, value in zip(*(c.to_pylist() for c in rows.select("term").mapInArrow(places, "byte int, bit int").groupBy("byte").agg(F.bit_or("bit").alias("v")).toArrow().columns)):
+        filled[byte] = value
+    return spark.sparkContext.broadcast(Terms(None, bytes(filled))), False
+
+
+def _frequency(chosen, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n): in how many of the texts each chosen term occurs, summed up by worker; and each class of words, as a space and its name."""
     counts: Counter[str] = Counter()
     for batch in batches:
         for text in common.strings(batch, "text"):
-            words = set(WORD.findall(text.lower()))
-            counts.update(words if terms is None else words & terms)
+            words = set(WORD.findall(text))
+            counts.update(chosen.value.of({w.lower() for w in words if len(w) > 2}))
+            counts.update({" " + class_of(w) for w in words})
         if len(counts) > 300_000:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
             counts.clear()
     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, base, context) of every row, written to the shared folder; no text is kept."""
-    return common.written(common.named(docs, id_col, text_col).mapInArrow(_found, FOUND.replace("row long, ", "")), "pii")
-
-
-def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", threshold: float = DISCLOSURE, support: int = SUPPORT, most: int = BROADCAST) -> DataFrame:
-    """(entity, term, disclosure, n): disclosure is PMI(entity, term) / IC(entity), with document frequencies over the whole corpus; n is the number of their mentions.
+def pairs(docs: DataFrame, text_col: str = "text", most: int = BROADCAST) -> tuple[DataFrame, dict[str, float]]:
+    """((entity, term, n_et, n_e, n_t, disclosure, ic), share of the documents that have a word of each class): every candidate pair with document frequencies over the whole corpus.
 
-    A pair counts once for each document, and needs `support` different texts, so that copies of one document disclose nothing. Term frequencies of the corpus are summed by worker
-    before they are shuffled; if at most `most` candidate terms exist they are broadcast and only they are counted, else all terms are.
+    A row of docs is a document: n_e, n_t and n_et are the documents with a mention of the entity, with the term anywhere, and with both. PMI = ln(n_et N / (n_e n_t)), ic = ln(N / n_e); disclosure is
+    PMI / ic * n_et / (n_et + PRIOR), 0 for an entity in all documents. Counts are summed by worker before they are shuffled, so a term or an entity that a third of the rows have costs no task more than others.
     """
-    spark = docs.sparkSession
-    mentions = found.filter(F.size("context") > 0).select("doc_id", "text_hash", F.explode("context").alias("c")).select("text_hash", "c.entity", "c.term", "c.start")
+    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
+    found = common.written(texts.mapInArrow(_found, FOUND), "pii")
     documents = docs.count()
-    # Mentions of an entity and a pair in a text of which there are m copies weigh m, through the join-free count of rows.
-    per_text = mentions.groupBy("entity", "term", "text_hash").agg(F.count("*").alias("m"), F.countDistinct("start").alias("places"))
-    pairs = common.checkpoint(per_text.groupBy("entity", "term").agg(F.sum(F.col("m") / F.col("places")).cast("long").alias("n_et"), F.sum("m").alias("n"), F.count("*").alias("texts")).filter(F.col("texts") >= support))
-    terms = pairs.select("term").distinct()
-    n_terms = terms.count()
-    if not n_terms:
-        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"), "n").limit(0)
-    words = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    chosen = spark.sparkContext.broadcast(frozenset(r[0] for r in terms.collect())) if n_terms <= most else None
-    counts = words.mapInArrow(lambda it: _frequency(chosen and chosen.value, it), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    entities = found.filter(F.size("base") > 0).select("text_hash", F.explode(F.array_distinct(F.transform("context", lambda c: c["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    p = lambda c: F.col(c) / F.lit(float(documents))
-    share = F.when(F.col("n_e") < documents, F.log(p("n_et") / (p("n_e") * p("n_t"))) / -F.log(p("n_e"))).otherwise(0.0)
-    return pairs.join(entities, "entity").join(counts, "term").select("entity", "term", share.alias("disclosure"), "n").filter(F.col("disclosure") >= threshold)
-
-
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = DISCLOSURE, support: int = SUPPORT, most: int = BROADCAST) -> DataFrame:
-    """(doc_id, base, terms): a row for each row of docs; base spans (kind, start, end) and the spans of disclosing terms near a mention of their entity (start, end, disclosure), by start.
-
-    Null texts count as empty and have no span; repeated rows give equal rows. Terms are looked up by their pair: by broadcast if at most `most` pairs disclose, else by hot_join.
-    """
-    found = scan(docs, id_col, text_col)
-    risky = common.checkpoint(disclosing(docs, found, text_col, threshold, support, most))
-    return _with_terms(found, risky, most)
+    near = common.checkpoint(found.select(F.explode("near").alias("p")).select("p.entity", "p.term").distinct())
+    chosen, _ = _lookup(near.select("term").distinct(), most)
+    counts = common.checkpoint(texts.mapInArrow(lambda it: _frequency(chosen, it), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t")))
+    shares = {r[0][1:]: r[1] / documents for r in counts.filter(F.col("term").startswith(" ")).collect()}
+    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    both = found.select(F.explode("entities").alias("entity"), "words").select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et"))
+    ic = F.log(F.lit(float(documents)) / F.col("n_e"))
+    pmi = F.log(F.col("n_et") * F.lit(float(documents)) / (F.col("n_e") * F.col("n_t")))
+    disclosure = F.when(F.col("n_e") < documents, pmi / ic * F.col("n_et") / (F.col("n_et") + PRIOR)).otherwise(0.0)
+    return near.join(both, ["entity", "term"]).join(entities, "entity").join(counts, "term").select("entity", "term", "n_et", "n_e", "n_t", disclosure.alias("disclosure"), ic.alias("ic")), shares
 
 
-def _with_terms(found: DataFrame, risky: DataFrame, most: int) -> DataFrame:
-    n = risky.count()
-    none = F.array().cast("array<struct<start:int,end:int,disclosure:double>>")
-    if not n:
-        return found.select("doc_id", "base", none.alias("terms"))
-    if n <= most:
-        spark = found.sparkSession
-        pairs = spark.sparkContext.broadcast({(r[0], r[1]): r[2] for r in risky.select("entity", "term", "disclosure").collect()})
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("disclosure", pa.float64())]))
+def disclosing(docs: DataFrame, text_col: str = "text", threshold: float = DISCLOSURE, most: int = BROADCAST) -> tuple[DataFrame, dict[str, float]]:
+    """((term, disclosure, ic, n), shares): the terms that disclose an entity, with the largest disclosure and the least information content of these, and the number of documents that have the term."""
+    found, shares = pairs(docs, text_col, most)
+    return common.checkpoint(found.filter(F.col("disclosure") >= threshold).groupBy("term").agg(F.max("disclosure").alias("disclosure"), F.min("ic").alias("ic"), F.max("n_t").alias("n"))), shares
 
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                made = [merged([(c["start"], c["end"], pairs.value[c["entity"], c["term"]]) for c in cs if (c["entity"], c["term"]) in pairs.value]) for cs in common.column(batch, "context").to_pylist()]
-                yield pa.RecordBatch.from_arrays([common.column(batch, "doc_id"), common.column(batch, "base"), pa.array(made, kind)], names=["doc_id", "base", "terms"])
-
-        return found.mapInArrow(each, "doc_id long, base array<struct<kind:string,start:int,end:int>>, terms array<struct<start:int,end:int,disclosure:double>>")
-    rows = common.checkpoint(found.withColumn("row", F.monotonically_increasing_id()))
-    mentions = rows.select("row", F.explode("context").alias("c")).select("row", "c.entity", "c.term", "c.start", "c.end")
-    hits = common.hot_join(mentions, risky, ["entity", "term"], "n", mentions.count())
-    best = hits.groupBy("row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    terms = best.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
-    return rows.join(terms, "row", "left").select("doc_id", "base", F.coalesce("terms", none).alias("terms"))
-
-
-def merged(hits: list[tuple[int, int, float]]) -> list[dict]:
-    best: dict[tuple[int, int], float] = {}
-    for a, b, d in hits:
-        best[a, b] = max(d, best.get((a, b), 0.0))
-    return [{"start": a, "end": b, "disclosure": d} for (a, b), d in sorted(best.items())]
-
-
-def sanitised(text: str, pairs: dict[tuple[str, str], float]) -> str:
-    """text with base spans replaced by their kind, and disclosing terms near their entity removed or generalised. Where spans overlap, the first and longest counts."""
-    base = base_spans(text)
-    all_ = [(a, b, f"[{k.upper()}]") for k, a, b in base]
-    all_ += [(h["start"], h["end"], "" if h["disclosure"] >= REMOVE else "[TERM]") for h in merged([(a, b, pairs[e, t]) for e, t, a, b in contexts(text, base) if (e, t) in pairs])]
+
+def _places(text: str, spans: list[tuple[str, int, int]], wanted: Terms) -> list[tuple[int, int]]:
+    hits = wanted.of(terms(text))
+    return _outside([m.span() for m in WORD.finditer(text) if m.group().lower() in hits], spans) if hits else []
+
+
+def _marked(keyed: DataFrame, risky: DataFrame, most: int) -> DataFrame:
+    """(row, doc_id, base, terms) of keyed (row, doc_id, text): by broadcast if at most `most` terms disclose, else by hot_join on the terms that pass a filter."""
+    wanted, exact = _lookup(risky.select("term", "disclosure", "ic"), most)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            base, marks = [], []
+            for text in common.strings(batch, "text"):
+                spans = base_spans(text)
+                base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
+                places = _places(text, spans, wanted.value)
+                if exact:
+                    marks.append([{"start": a, "end": b, **dict(zip(("disclosure", "ic"), wanted.value.exact[text[a:b].lower()]))} for a, b in places])
+                else:
+                    marks.append([{"term": text[a:b].lower(), "start": a, "end": b} for a, b in places])
+            kind = _TERM if exact else pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([common.column(batch, "row"), common.column(batch, "doc_id"), pa.array(base, _BASE), pa.array(marks, kind)], names=["row", "doc_id", "base", "terms"])
+
+    schema = "row long, doc_id long, base array<struct<kind:string,start:int,end:int>>, terms "
+    rows = keyed.select("row", "doc_id", "text")
+    if exact:
+        return rows.mapInArrow(each, schema + TERM)
+    made = common.written(rows.mapInArrow(each, schema + "array<struct<term:string,start:int,end:int>>"), "pii-marks")
+    places = made.select("row", F.explode("terms").alias("t")).select("row", "t.*")
+    hits = common.hot_join(places, risky.select("term", "disclosure", "ic", "n"), ["term"], "n", made.count())
+    own = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure", "ic"))).alias("own"))  # a text's words at most
+    return made.join(own, "row", "left").select("row", "doc_id", "base", F.coalesce("own", F.array().cast(TERM)).alias("terms"))
+
+
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = DISCLOSURE, most: int = BROADCAST) -> DataFrame:
+    """(doc_id, base, terms): a row for each row of docs; base spans (kind, start, end), and the spans of disclosing terms (start, end, disclosure, ic), by start, wherever they stand in any text but within base spans.
+
+    Null texts count as empty and have no span; ids may be null or repeat; repeated rows give equal rows, and count as documents of their own. An empty table gives an empty result.
+    """
+    risky, _ = disclosing(docs, text_col, threshold, most)
+    return _marked(common.named(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), risky, most).drop("row")
+
+
+def sanitised(text: str, marks: list[dict], shares: dict[str, float], threshold: float = DISCLOSURE) -> str:
+    """text with base spans replaced by their kind, and disclosing terms by their class, or by nothing where even the class would disclose: where ln(1 / share of its documents) is `threshold` of the entity's information or more. Where spans overlap, the first and longest counts."""
+    all_ = [(a, b, f"[{k.upper()}]") for k, a, b in base_spans(text)]
+    for m in marks:
+        kind = class_of(text[m["start"] : m["end"]])
+        all_.append((m["start"], m["end"], "" if -math.log(shares.get(kind, 1.0)) >= threshold * m["ic"] else f"[{kind}]"))
     out, at = [], 0
     for a, b, mark in sorted(all_, key=lambda s: (s[0], -s[1])):
         if a >= at:
@@ -210,37 +261,37 @@ def sanitised(text: str, pairs: dict[tuple[str, str], float]) -> str:
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", threshold: float = DISCLOSURE, support: int = SUPPORT, most: int = BROADCAST) -> DataFrame:
-    """docs with sanitised texts (null stays null) and, if it exists, count_col set to their code points; other columns stay.
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", threshold: float = DISCLOSURE, most: int = BROADCAST) -> DataFrame:
+    """docs with sanitised texts (null stays null, empty stays empty) and, if it exists, count_col set to their code points; other columns stay, and no row is dropped.
 
-    With at most `most` disclosing pairs they are broadcast and texts are rewritten in place. With more, each document's own pairs are joined to it by a hash of its text.
+    With at most `most` disclosing terms they are broadcast and texts are rewritten in place. With more, the rows are written with a number each, and each text's own marks are joined to it by that.
     """
-    found = scan(docs, id_col, text_col)
-    risky = common.checkpoint(disclosing(docs, found, text_col, threshold, support, most))
+    risky, shares = disclosing(docs, text_col, threshold, most)
     kept = docs.columns
     if risky.count() <= most:
-        shared = docs.sparkSession.sparkContext.broadcast({(r[0], r[1]): r[2] for r in risky.select("entity", "term", "disclosure").collect()})
+        wanted, _ = _lookup(risky.select("term", "disclosure", "ic"), most)
 
         def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield _rewritten(batch, kept, text_col, count_col, repeat(shared.value))
+                marks = []
+                for text in common.strings(batch, text_col):
+                    places = _places(text, base_spans(text), wanted.value)
+                    marks.append([{"start": a, "end": b, "ic": wanted.value.exact[text[a:b].lower()][1]} for a, b in places])
+                yield _rewritten(batch, kept, text_col, count_col, marks, shares, threshold)
 
         return docs.mapInArrow(rewrite, docs.schema)
-    mentions = found.filter(F.size("context") > 0).dropDuplicates(["text_hash"]).select("text_hash", F.explode("context").alias("c")).select("text_hash", "c.entity", "c.term").distinct()
-    own = common.hot_join(mentions, risky, ["entity", "term"], "n", mentions.count()).groupBy("text_hash").agg(F.collect_list(F.struct("entity", "term", "disclosure")).alias("__pairs"))
-    hashed = docs.mapInArrow(lambda it: (b.append_column("__hash", pa.array([xxhash.xxh64_intdigest(t) - (1 << 63) for t in common.raw(b, text_col)], pa.int64())) for b in it), f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, __hash long")
-    joined = hashed.join(own.withColumnRenamed("text_hash", "__hash"), "__hash", "left")
+    keyed = common.written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    marked = _marked(common.named(keyed, id_col, text_col, row="__row"), risky, most).select(F.col("row").alias("__row"), F.col("terms").alias("__marks"))
 
     def with_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [{(p["entity"], p["term"]): p["disclosure"] for p in ps or ()} for ps in common.column(batch, "__pairs").to_pylist()]
-            yield _rewritten(batch, kept, text_col, count_col, pairs)
+            yield _rewritten(batch, kept, text_col, count_col, [m or [] for m in common.column(batch, "__marks").to_pylist()], shares, threshold)
 
-    return joined.mapInArrow(with_own, docs.schema)
+    return keyed.join(marked, "__row").mapInArrow(with_own, docs.schema)
 
 
-def _rewritten(batch: pa.RecordBatch, kept: list[str], text_col: str, count_col: str | None, pairs) -> pa.RecordBatch:
-    texts = [None if t is None else sanitised(t, p) for t, p in zip(common.column(batch, text_col).to_pylist(), pairs)]
+def _rewritten(batch: pa.RecordBatch, kept: list[str], text_col: str, count_col: str | None, marks: list[list[dict]], shares: dict[str, float], threshold: float) -> pa.RecordBatch:
+    texts = [None if t is None else sanitised(t, m, shares, threshold) for t, m in zip(common.column(batch, text_col).to_pylist(), marks)]
     arrays = []
     for c in kept:
         old = common.column(batch, c)

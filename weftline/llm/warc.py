@@ -139,7 +139,7 @@ def fixity(pages: DataFrame, replica: DataFrame) -> DataFrame:
 _BODY = "'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html)::VARCHAR || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10)"
 ORACLE = rf"""
 WITH rec AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, ((page_id % 1000003) * 2654435761) % 1009 AS h FROM pages),
-hashed AS (SELECT page_id, url, html, h, sha256({_BODY}) AS hash, strlen({_BODY}) AS length, md5(page_id || ':' || url) AS key FROM rec),
+hashed AS (SELECT page_id, url, html, h, sha256({_BODY}) AS hash, strlen({_BODY}) AS length, md5(coalesce(page_id::VARCHAR, '') || ':' || url) AS key FROM rec),
 numbered AS (SELECT *, row_number() OVER o AS number, coalesce(sum((key[1:1] = '0')::INT) OVER b, 0) AS n1, coalesce(sum((key[1:2] = '00')::INT) OVER b, 0) AS n2, coalesce(sum((key[1:3] = '000')::INT) OVER b, 0)::BIGINT AS file
   FROM hashed WINDOW o AS (ORDER BY page_id NULLS FIRST, url, hash), b AS (ORDER BY page_id NULLS FIRST, url, hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l0 AS (SELECT *, (row_number() OVER (PARTITION BY file ORDER BY number) - 1)::INTEGER AS ordinal, coalesce(sum(length) OVER (PARTITION BY file ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS low FROM numbered),
