@@ -14,7 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one source in one task when word offsets are summed up.
 TASK_ROWS = 500_000
 P = 2147483647
-PRIMES = (2147483629, 2147483587, 2147483579, 2147483563)
+#: Rounds of the permutation; shards of one source in one task when their draws are summed up; slots that one task makes.
+ROUNDS, SHARD_RANGE, TASK_SLOTS = 12, 4096, 100_000
 #: Cells by which a slot's draw finds its source.
 CELLS = 4096
 
@@ -96,8 +97,11 @@ def draws(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, repeats: i
     cells = per.select("key", "low", (F.col("low") + F.col("slots")).alias("high"), F.explode(F.sequence(F.floor(F.col("low") / cell), F.floor((F.col("low") + F.col("slots") - 1) / cell))).alias("cell"))
     slots = per.sparkSession.range(0, shards * shard).select(F.floor(F.col("id") / shard).alias("shard"), (F.floor(mix(F.col("id") + seed * 1_000_003) / P * total)).cast("long").alias("u")).withColumn("cell", F.floor(F.col("u") / cell))
     drawn = slots.join(cells, "cell").filter("u >= low AND u < high").groupBy("shard", "key").agg(F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(W.partitionBy("key").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    drawn = common.checkpoint(drawn.withColumn("start", before).join(per.select("key", "slots"), "key").withColumn("n", F.least("c", F.col("slots") - F.col("start"))).filter("n > 0").select("shard", "key", "start", "n"))
+    # What a source's earlier shards have drawn is summed up in two levels, so that a source's shards aren't one task.
+    drawn = common.checkpoint(drawn.withColumn("range", F.floor(F.col("shard") / SHARD_RANGE)))
+    sums = drawn.groupBy("key", "range").agg(F.sum("c").alias("s")).select("key", "range", F.coalesce(F.sum("s").over(W.partitionBy("key").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.coalesce(F.sum("c").over(W.partitionBy("key", "range").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    drawn = common.checkpoint(drawn.withColumn("within", within).join(sums, ["key", "range"]).withColumn("start", F.col("within") + F.col("before")).join(per.select("key", "slots"), "key").withColumn("n", F.least("c", F.col("slots") - F.col("start"))).filter("n > 0").select("shard", "key", "start", "n"))
     lacking = per.join(drawn.groupBy("key").agg(F.sum("n").alias("had")), "key", "left").select("key", "rank", (F.col("slots") - F.coalesce("had", F.lit(0))).alias("n"), F.coalesce("had", F.lit(0)).alias("start")).filter("n > 0")
     rest = lacking.withColumn("q", F.coalesce(F.sum("n").over(line), F.lit(0)))
     # The slots that are left fill further shards in order: a source's run is cut where a shard ends.
@@ -106,18 +110,28 @@ def draws(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, repeats: i
     return drawn.unionByName(rest.select((F.col("k") + shards).alias("shard"), "key", (F.col("start") + lo - F.col("q")).alias("start"), (hi - lo).alias("n")))
 
 
+def permuted(pos: Column, size: Column, keys: Column, tag: Column) -> Column:
+    """The image of pos under a keyed permutation of 0 ... size - 1 (a swap-or-not shuffle): in each round, x and key - x modulo size change places or not, as a digest of the larger of them says."""
+    def turn(x: Column, r: Column) -> Column:
+        other = F.pmod(F.element_at(keys, r) - x, size)
+        return F.when(F.ascii(F.md5(F.concat_ws(":", tag, r, F.greatest(x, other)))) % 2 == 1, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), pos.cast("long"), turn)
+
+
 def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, repeats: int = REPEATS, seed: int = 1) -> DataFrame:
     """(shard, slot, key, block, words): every slot with the index of the block that it takes and how many of the block's first words.
 
-    A source's epochs each go through its full blocks in their own pseudorandom order, an affine permutation by a prime stride; the short last block comes last.
+    A source's epochs each go through its full blocks in their own pseudorandom order, see permuted(); the short last block comes last. Draws are spread over tasks of about TASK_SLOTS slots before they become rows.
     """
-    orders = _orders(sources, block, repeats)
-    each = draws(sources, block, shard, repeats, seed).select("shard", "key", F.posexplode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("i", "q"))
-    found = each.join(orders.filter("slots > 0"), "key").filter((F.col("q") >= F.col("at")) & (F.col("q") < F.col("at") + F.col("slots"))).withColumn("pos", F.col("q") - F.col("at"))
-    stride = F.element_at(F.array(*[F.lit(p) for p in PRIMES]), ((F.col("rank") + F.col("epoch")) % len(PRIMES) + 1).cast("int")).cast("long")
-    modulus = F.greatest(F.col("full"), F.lit(1))
-    turned = ((stride % modulus) * F.col("pos") + mix(F.col("rank") * 31 + F.col("epoch") + seed)) % modulus
-    at = F.when(F.col("pos") < F.col("full"), turned).otherwise(F.col("full"))
+    modulus, tag = F.greatest(F.col("full"), F.lit(1)).cast("long"), F.concat_ws(":", F.lit(seed), "rank", "epoch")
+    keys = F.transform(F.sequence(F.lit(1), F.lit(ROUNDS)), lambda r: F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", tag, r)), 1, 12), 16, 10).cast("long"), modulus))
+    orders = common.checkpoint(_orders(sources, block, repeats).filter("slots > 0").withColumn("keys", keys).withColumn("tag", tag))
+    drawn = draws(sources, block, shard, repeats, seed).select("shard", "key", "start", "n")
+    tasks = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(orders.agg(F.sum("slots")).first()[0] or 0) // TASK_SLOTS))
+    each = drawn.repartition(tasks, "shard", "key").select("shard", "key", F.posexplode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("i", "q"))
+    found = each.join(orders, "key").filter((F.col("q") >= F.col("at")) & (F.col("q") < F.col("at") + F.col("slots"))).withColumn("pos", F.col("q") - F.col("at"))
+    at = F.when(F.col("pos") < F.col("full"), permuted(F.col("pos"), modulus, F.col("keys"), F.col("tag"))).otherwise(F.col("full"))
     return found.select("shard", F.concat_ws(":", "key", "i").alias("slot"), "key", at.cast("long").alias("block"), F.when(F.col("pos") < F.col("whole"), F.lit(block)).otherwise(F.col("rest")).cast("long").alias("words"))
 
 
@@ -190,7 +204,8 @@ c AS (SELECT shard, key, count(*) AS c FROM u JOIN line ON u >= low AND u < low
 g AS (SELECT shard, key, start, least(c, slots - start) AS n FROM (SELECT shard, key, c, coalesce(sum(c) OVER (PARTITION BY key ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM c) JOIN p USING (key) WHERE slots > start),
 q AS (SELECT key, unnest(range(start::BIGINT, (start + n)::BIGINT)) AS q FROM g UNION ALL SELECT key, unnest(range(had::BIGINT, slots)) FROM (SELECT p.key, p.slots, coalesce(sum(g.n), 0) AS had FROM p LEFT JOIN g USING (key) GROUP BY 1, 2)),
 t AS (SELECT o.*, q - before_ AS pos FROM q JOIN o ON o.key = q.key AND q >= before_ AND q < before_ + slots),
-b AS (SELECT key, CASE WHEN pos < full_ THEN (([{", ".join(map(str, PRIMES))}])[(rank + epoch) % {len(PRIMES)} + 1] % greatest(full_, 1) * pos + {_mixed("rank * 31 + epoch + 1", 2)}) % greatest(full_, 1) ELSE full_ END AS block, CASE WHEN pos < whole THEN {BLOCK} ELSE rest END AS words FROM t),
+k AS (SELECT DISTINCT key, epoch, greatest(full_, 1)::BIGINT AS m, '1:' || rank || ':' || epoch AS tag, list_transform(range(1, {ROUNDS + 1}), lambda r3: ('0x' || substr(md5('1:' || rank || ':' || epoch || ':' || r3), 1, 12))::BIGINT % greatest(full_, 1)::BIGINT) AS keys FROM o),
+b AS (SELECT t.key, CASE WHEN pos < full_ THEN list_reduce([pos::BIGINT, {", ".join(map(str, range(1, ROUNDS + 1)))}], lambda x4, r4: CASE WHEN ascii(md5(tag || ':' || r4 || ':' || greatest(x4, ((keys[r4] - x4) % m + m) % m))) % 2 = 1 THEN ((keys[r4] - x4) % m + m) % m ELSE x4 END) ELSE full_ END AS block, CASE WHEN pos < whole THEN {BLOCK} ELSE rest END AS words FROM t JOIN k ON k.key = t.key AND k.epoch = t.epoch),
 x AS (SELECT d.key, d.first, unnest(range(first // {BLOCK}, (first + size - 1) // {BLOCK} + 1)) AS block, size FROM d WHERE size > 0),
 got AS (SELECT x.key, x.first, sum(greatest(0, least(size, x.block * {BLOCK} + words - first) - greatest(0, x.block * {BLOCK} - first)))::BIGINT AS taken FROM x JOIN b ON b.key = x.key AND b.block = x.block GROUP BY 1, 2)
 SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE coalesce(taken, 0) END AS taken FROM d JOIN s ON s.key = d.key LEFT JOIN got ON got.key = d.key AND got.first = d.first
