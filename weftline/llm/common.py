@@ -65,9 +65,9 @@ def map_rows(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(each, schema)
 
 
-def named(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only what an operator reads, under fixed names, so further columns of df can't clash with its own."""
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+def named(df: DataFrame, id_col: str, text_col: str, **more: str) -> DataFrame:
+    """Only what an operator reads, under fixed names (more: name=column), so further columns of df can't clash with its own."""
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(k) for k, c in more.items()])
 
 
 def hot_join(left: DataFrame, right: DataFrame, key: list[str], weight: str, total: int, how: str = "inner", floor: int = HOT_ROWS, share: float = HOT_SHARE) -> DataFrame:
