@@ -352,6 +352,20 @@ def test_mixing(spark, docs, none, task_rows, floor):
     assert mixing.mixed(none)[0].count() == 0
 
 
+def test_permutation(spark):
+    """Every size gives a permutation, and neighbours don't keep one distance."""
+    sizes = [1, 2, 3, 10, 1024]
+    keys = F.transform(F.sequence(F.lit(1), F.lit(mixing.ROUNDS)), lambda r: F.pmod(F.xxhash64(r, F.lit(3)), F.col("n")))
+    df = spark.createDataFrame([(n, i) for n in sizes for i in range(n)], "n long, i long")
+    by = defaultdict(dict)
+    for r in df.select("n", "i", mixing.permuted(F.col("i"), F.col("n"), keys, F.lit("t")).alias("x")).collect():
+        by[r["n"]][r["i"]] = r["x"]
+    for n in sizes:
+        assert sorted(by[n].values()) == list(range(n))
+    steps = Counter((by[1024][i + 1] - by[1024][i]) % 1024 for i in range(1023))
+    assert steps.most_common(1)[0][1] < 40
+
+
 # 8
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP, CARD, PHONE = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -375,35 +389,63 @@ def test_pii_base():
     assert pii.base_spans(long) == []
 
 
+def brute_pairs(rows):
+    """(entity, term) -> disclosure and ic, by counting documents."""
+    n, texts_ = len(rows), [r[1] or "" for r in rows]
+    mentions = [{pii.entity(k, t[a:b]) for k, a, b in brute_base(t)} for t in texts_]
+    words = [{w.lower() for w in re.findall(r"\w+", t) if len(w) >= 3} for t in texts_]
+    out = {}
+    for t, own in zip(texts_, mentions):
+        every = [m.span() for m in re.finditer(r"\w+", t)]
+        inside = lambda s, e, t=t: any(a < e and s < b for _, a, b in brute_base(t))
+        for k, a, b in brute_base(t):
+            e = pii.entity(k, t[a:b])
+            before, after = [w for w in every if w[0] < a], [w for w in every if w[0] >= b]
+            for s, x in before[-pii.WINDOW :] + after[: pii.WINDOW]:
+                term = t[s:x].lower()
+                if x - s >= 3 and not inside(s, x):
+                    n_e, n_t, n_et = (sum(1 for m, w in zip(mentions, words) if f(m, w)) for f in (lambda m, w, e=e: e in m, lambda m, w, x=term: x in w, lambda m, w, e=e, x=term: e in m and x in w))
+                    ic = math.log(n / n_e)
+                    out[e, term] = (math.log(n_et * n / (n_e * n_t)) / ic * n_et / (n_et + pii.PRIOR) if n_e < n else 0.0, ic)
+    return out
+
+
 def test_pii(spark, none):
     rng = random.Random(9)
     rows = [(i, prose(rng, 30), "en", "s", 0) for i in range(60)]
-    rows += [(100 + i, f"{prose(rng, 12)} ask Zebulonix at zeb@corp.example today {prose(rng, 10)} {i}", "en", "s", 0) for i in range(5)]
-    rows += [(200, None, "en", "s", None), (201, "", "en", "s", 0), (202, "copy Marquist: m@x.org", "en", "s", 0), (203, "copy Marquist: m@x.org", "en", "s", 0), (None, "call +1 555 123 4567", "en", "s", 0)]
-    docs = spark.createDataFrame(rows, DOC).withColumn("base", F.lit("clash"))
+    rows += [(100 + i, f"{prose(rng, 12)} ask Zebulonix at zeb@corp.example today {prose(rng, 30)} {i} says Zebulonix.", "en", "s", 0) for i in range(5)]
+    rows += [(150, "Zebulonix came alone.", "en", "s", 0), (152, "copy that today for me", "en", "s", 0), (151, "Room B7731 is hers: +1 555 123 4567", "en", "s", 0)]
+    rows += [(200, None, "en", "s", None), (201, "", "en", "s", 0), (202, "copy Marquist: m@x.org", "en", "s", 0), (203, "copy Marquist: m@x.org", "en", "s", 0), (None, "call +1 555 123 4567", "en", "s", 0), (None, "no id, 1.2.3.4 though", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOC).withColumn("base", F.lit("clash")).withColumn("row", F.lit("clash")).withColumn("terms", F.lit("clash"))
+    want = brute_pairs(rows)
+    risky = {t for (_, t), (d, _) in want.items() if d >= 0.9}
+    assert {"zebulonix", "marquist", "b7731"} <= risky
     results = []
     for most in (50_000, 0):  # by broadcast, and by join
-        got = pii.digest(pii.spans(docs, most=most)).collect()
+        found, _ = pii.pairs(docs, most=most)
+        assert {(r["entity"], r["term"]): (round(r["disclosure"], 9), round(r["ic"], 9)) for r in found.collect()} == {k: (round(d, 9), round(c, 9)) for k, (d, c) in want.items()}
+        got = pii.digest(pii.spans(docs, most=most, threshold=0.9)).collect()
         assert len(got) == len(rows)
         results.append(sorted(map(str, map(tuple, got))))
-        by = defaultdict(list)
-        for r in got:
-            by[r["doc_id"]].append(r)
+        expected = Counter()
         for k, t, *_ in rows:
-            base = [f"{a}:{b}:{c}" for a, b, c in brute_base(t or "")]
-            r = by[k][0]
-            assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest() and r["spans"].split(",")[: len(base)] == (base or [""])[: len(base)]
-            words = [(t or "")[int(s.split(":")[1]) : int(s.split(":")[2])] for s in r["spans"].split(",") if s.startswith("term")]
-            assert ("Zebulonix" in words) == (k is not None and 100 <= k < 105)
-            assert not words or k is not None and 100 <= k < 105  # one text's copies disclose nothing
+            t = t or ""
+            base = brute_base(t)
+            marks = [m.span() for m in re.finditer(r"\w+", t) if m.group().lower() in risky and not any(a < m.end() and m.start() < b for _, a, b in base)]
+            own = [f"{a}:{b}:{c}" for a, b, c in base]
+            expected[k, hashlib.sha256(",".join(own).encode()).hexdigest(), ",".join(own + [f"term:{a}:{b}" for a, b in marks]), len(marks)] += 1
+        assert Counter((r["doc_id"], r["base_sha256"], r["spans"], r["n_term"]) for r in got) == expected
     assert results[0] == results[1]
     for most in (50_000, 0):
-        clean = pii.sanitise(docs, most=most)
+        clean = pii.sanitise(docs, most=most, threshold=0.9)
         out = {r["doc_id"]: r for r in clean.collect()}
         assert clean.columns == docs.columns and clean.count() == len(rows)
-        assert out[200]["text"] is None and out[0]["text"] == rows[0][1] and out[202]["text"] == "copy Marquist: [EMAIL]"
+        assert out[200]["text"] is None and out[201]["text"] == "" and out[0]["text"] == rows[0][1] and out[202]["text"] == "copy [NAME]: [EMAIL]"
+        assert out[151]["text"].endswith("[PHONE]") and "B7731" not in out[151]["text"]
+        assert out[150]["text"] == "[NAME] came alone."  # the name, where the entity isn't
         assert "Zebulonix" not in out[100]["text"] and "@" not in out[100]["text"] and out[100]["n_chars"] == len(out[100]["text"])
-    assert pii.digest(pii.spans(none)).count() == 0
+    assert pii.sanitised("x Q9", [{"start": 2, "end": 4, "ic": 5.0}], {"NUMBER": 0.001}) == "x "  # so rare a class would disclose as well
+    assert pii.digest(pii.spans(none)).count() == 0 and pii.sanitise(none).count() == 0
 
 
 # 9
