@@ -57,16 +57,17 @@ def swaps(text: str, identity=IDENTITY) -> list[tuple[set[str], set[str]]]:
     return out
 
 
-def fit(rows: list[tuple[np.ndarray, int]], n: int, pairs: list[tuple[np.ndarray, np.ndarray]], ridge: float = RIDGE, counterfactual: float = COUNTERFACTUAL, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and intercept that minimise mean log loss + ridge |w|^2 + counterfactual * mean (w . (x - swapped x))^2, by Adam on the whole sample (deterministic)."""
+def fit(rows: list[tuple[np.ndarray, int]], n: int, pairs: list[tuple[np.ndarray, np.ndarray, int]], ridge: float = RIDGE, counterfactual: float = COUNTERFACTUAL, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and intercept that minimise mean log loss + ridge |w|^2 + counterfactual * mean (w . (x - swapped x))^2, by Adam on the whole sample (deterministic). pairs: (features lost, features gained, how often)."""
     lengths = np.array([len(x) for x, _ in rows])
     flat = np.concatenate([np.zeros(0, dtype=np.int64), *(x for x, _ in rows)])
     at = np.repeat(np.arange(len(rows)), lengths)
     y = np.array([t for _, t in rows], dtype=float)
-    lost = np.concatenate([np.zeros(0, dtype=np.int64), *(a for a, _ in pairs)])
-    lost_at = np.repeat(np.arange(len(pairs)), [len(a) for a, _ in pairs])
-    gained = np.concatenate([np.zeros(0, dtype=np.int64), *(b for _, b in pairs)])
-    gained_at = np.repeat(np.arange(len(pairs)), [len(b) for _, b in pairs])
+    lost = np.concatenate([np.zeros(0, dtype=np.int64), *(a for a, _, _ in pairs)])
+    lost_at = np.repeat(np.arange(len(pairs)), [len(a) for a, _, _ in pairs])
+    gained = np.concatenate([np.zeros(0, dtype=np.int64), *(b for _, b, _ in pairs)])
+    gained_at = np.repeat(np.arange(len(pairs)), [len(b) for _, b, _ in pairs])
+    often = np.array([k for _, _, k in pairs], dtype=float)
     w, b = np.zeros(n), math.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, steps + 1):
@@ -76,7 +77,7 @@ def fit(rows: list[tuple[np.ndarray, int]], n: int, pairs: list[tuple[np.ndarray
         g = np.bincount(flat, weights=r[at], minlength=n) + 2 * ridge * w
         if pairs:
             d = np.bincount(lost_at, weights=w[lost], minlength=len(pairs)) - np.bincount(gained_at, weights=w[gained], minlength=len(pairs))
-            e = 2 * counterfactual * d / len(pairs)
+            e = 2 * counterfactual * d * often / often.sum()
             g += np.bincount(lost, weights=e[lost_at], minlength=n) - np.bincount(gained, weights=e[gained_at], minlength=n)
         full = np.append(g, r.sum())
         m, v = 0.9 * m + 0.1 * full, 0.999 * v + 0.001 * full * full
@@ -114,30 +115,21 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     """A model fitted on at most about `most` labelled documents (chosen by a hash of the id) for which learn_from holds (default: all).
 
     The features are words and word prefixes, present or not. Executors count in how many documents of either label each occurs; the FEATURES ones of largest z-score of the log odds, and all those of the identity
-    terms, stay. Only they reach the driver. Labels null or of unknown documents are ignored. Without labels of both kinds the model is an intercept.
+    terms, stay. Only they, and the swaps' feature differences with their counts, reach the driver. Null labels, labels of unknown documents, and those of documents whose labels disagree are ignored; each row of a
+    repeated id counts. Without labels of both kinds the model is an intercept.
     """
     spark = docs.sparkSession
     rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
-    rows = (rows.filter(learn_from) if learn_from is not None else rows).dropDuplicates(["doc_id"])
+    rows = (rows.filter(learn_from) if learn_from is not None else rows).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").drop("most")
     share = min(1.0, most / max(rows.count(), 1))
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000))
-    known = {r[0]: int(r[1] == 1) for r in chosen.collect()}  # bounded by `most`
-    n = [sum(v == y for v in known.values()) for y in (0, 1)]
+    chosen = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000)).withColumn("label", (F.col("label") == 1).cast("int"))
+    # at most about `most` ids and labels are broadcast, so the corpus is filtered where it is read
+    sample = common.written(common.named(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label"), "toxicity")
+    found = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
+    n = [found.get(0, 0), found.get(1, 0)]
     terms = {f for g in identity for t in g for f in features_of(t)}
     if not min(n):
         return Model({}, np.zeros(0), math.log((n[1] + 0.01) / (n[0] + 0.01)) if any(n) else 0.0)
-    sent = spark.sparkContext.broadcast(known)
-    source = common.named(docs, id_col, text_col)
-
-    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = sent.value
-        for batch in batches:
-            ids = common.column(batch, "doc_id").to_pylist()
-            some = batch.filter(pa.array([i in keep for i in ids], pa.bool_()))
-            if some.num_rows:
-                yield some.append_column("label", pa.array([keep[i] for i in common.column(some, "doc_id").to_pylist()], pa.int32()))
-
-    sample = common.written(source.mapInArrow(only, "doc_id long, text string, label int"), "toxicity")
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
@@ -170,10 +162,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
                 [common.column(batch, "doc_id"), common.column(batch, "label"), pa.array(made, pa.list_(pa.int32())), pa.array(pairs, pa.list_(pa.list_(pa.list_(pa.int32()))))], names=["doc_id", "label", "bits", "pairs"]
             )
 
-    rows_, pairs_ = [], []
-    for r in sorted(sample.mapInArrow(encode, "doc_id long, label int, bits array<int>, pairs array<array<array<int>>>").toLocalIterator(), key=lambda r: (r[0], r[2])):
-        rows_.append((np.array(r[2], dtype=np.int64), r[1]))
-        pairs_ += [(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)) for a, b in r[3]]
+    encoded = common.written(sample.mapInArrow(encode, "doc_id long, label int, bits array<int>, pairs array<array<array<int>>>"), "toxicity-bits")
+    rows_ = [(np.array(r[2], dtype=np.int64), r[1]) for r in sorted(encoded.select("doc_id", "label", "bits").toLocalIterator(), key=lambda r: (r[0], r[2]))]
+    swapped = encoded.select(F.explode("pairs").alias("p")).groupBy("p").count()  # equal swaps are one row: as many as terms, their others and what a sentence shares with them
+    pairs_ = [(np.array(p[0], dtype=np.int64), np.array(p[1], dtype=np.int64), k) for p, k in sorted((tuple(map(tuple, r[0])), r[1]) for r in swapped.collect())]
     w, b = fit(rows_, len(index), pairs_, counterfactual=counterfactual)
     return Model(index, w, b)
 
