@@ -18,7 +18,7 @@ BUCKETS = 10_000
 LABELLED = 20_000
 #: Words that a worker remembers the hash of.
 CACHE = 500_000
-#: A document weighs as if it had at most this many n-grams of its mean log ratio. Untempered, a ratio of nearly 1 on each of a long text's thousands of n-grams (a language that the labels
+#: By default a document weighs as if it had at most this many n-grams of its mean log ratio (temper=None: as many as it has, which is the plain ratio of the two models). Untempered, a ratio of nearly 1 on each of a long text's thousands of n-grams (a language that the labels
 #: have a little too rarely) would outweigh any junk.
 TEMPER = 256
 #: Share of the good documents of the unseen labelled sample that the cut leaves above it.
@@ -60,9 +60,9 @@ def _counts(target_ids, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def labelled(labels: DataFrame, id_col: str, label_col: str, most: int) -> DataFrame:
-    """At most about `most` rows of labels (a hash of the id decides, so reruns agree): distinct (doc_id, label) with neither null."""
-    rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna().dropDuplicates(["doc_id"])
-    n = labels.count()
+    """At most about `most` rows of labels (a hash of the id decides, so reruns agree): (doc_id, label) with neither null, one for each id; ids whose labels disagree are left out."""
+    rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").drop("most")
+    n = rows.count()
     share = min(1.0, most / max(n, 1))
     return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000))
 
@@ -90,29 +90,31 @@ def gumbel(doc_id: int | None, text: bytes, seed: int) -> float:
     return -math.log(-math.log(u / (1 << 53)))
 
 
-def scorer(log_ratio: np.ndarray, seed: int):
+def scorer(log_ratio: np.ndarray, seed: int, temper: int | None = TEMPER):
+    """(log ratio of the two models, log weight, log weight plus noise) of a document."""
     seen = _Hashes()
 
-    def one(doc_id: int | None, text: bytes) -> tuple[float, float]:
+    def one(doc_id: int | None, text: bytes) -> tuple[float, float, float]:
         grams = ngrams(text, seen)
-        weight = round(float(log_ratio[grams].mean()) * min(len(grams), TEMPER), 9) if len(grams) else 0.0
-        return weight, weight + gumbel(doc_id, text, seed)
+        plain = float(log_ratio[grams].sum()) if len(grams) else 0.0
+        weight = round(plain * min(1.0, temper / len(grams)) if temper and len(grams) else plain, 9)
+        return round(plain, 9), weight, weight + gumbel(doc_id, text, seed)
 
     return one
 
 
-def scores(docs: DataFrame, log_ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """(doc_id, log_weight, perturbed): the tempered log importance weight, alone and with Gumbel noise."""
+def scores(docs: DataFrame, log_ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, temper: int | None = TEMPER) -> DataFrame:
+    """(doc_id, log_ratio, log_weight, perturbed): the log importance ratio, the (tempered) log weight, and that with Gumbel noise."""
     shared = docs.sparkSession.sparkContext.broadcast(log_ratio)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = scorer(shared.value, seed)
+        one = scorer(shared.value, seed, temper)
         for batch in batches:
             ids = common.column(batch, "doc_id")
             got = [one(i, t) for i, t in zip(ids.to_pylist(), common.raw(batch, "text"))]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([w for w, _ in got], pa.float64()), pa.array([p for _, p in got], pa.float64())], names=["doc_id", "log_weight", "perturbed"])
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([x[i] for x in got], pa.float64()) for i in range(3))], names=["doc_id", "log_ratio", "log_weight", "perturbed"])
 
-    return common.named(docs, id_col, text_col).mapInArrow(each, "doc_id long, log_weight double, perturbed double")
+    return common.named(docs, id_col, text_col).mapInArrow(each, "doc_id long, log_ratio double, log_weight double, perturbed double")
 
 
 def best_cut(scored: DataFrame, sample: dict[int, int]) -> float:
@@ -142,16 +144,16 @@ def kth_largest(scored: DataFrame, k: int, column: str = "perturbed", few: int =
             return values[k - 1]
 
 
-def resampled(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", k: int | None = None, seed: int = SEED, most: int = LABELLED) -> tuple[DataFrame, float, np.ndarray]:
-    """((doc_id, log_weight, perturbed, selected), the least selected perturbed weight, log ratios): importance resampling without replacement.
+def resampled(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", k: int | None = None, seed: int = SEED, most: int = LABELLED, temper: int | None = TEMPER) -> tuple[DataFrame, float, np.ndarray]:
+    """((doc_id, log_ratio, log_weight, perturbed, selected), the least selected perturbed weight, log ratios): importance resampling without replacement.
 
     Target model: n-grams of the documents labelled 1; raw model: n-grams of all documents. The k documents of largest log weight plus Gumbel noise are a draw without
     replacement in proportion to the weights. k defaults to the number of documents whose weight reaches best_cut(), so it follows the data.
-    Equal perturbed weights at the border are all selected (repeated rows share their noise). Null and empty texts have weight 0. Labels of unknown documents and null labels are ignored;
+    Equal perturbed weights at the border are all selected (repeated rows share their noise). Null and empty texts have weight 0. Labels of unknown documents, null labels and labels of an id that disagree are ignored;
     without labels every weight is 0. An empty table gives an empty result; k above the number of rows selects all.
     """
     log_ratio, sample = weights(docs, labels, label_col, id_col, text_col, most)
-    scored = common.checkpoint(scores(docs, log_ratio, id_col, text_col, seed))
+    scored = common.checkpoint(scores(docs, log_ratio, id_col, text_col, seed, temper))
     n = scored.count()
     if k is None:
         cut = best_cut(scored, sample)
@@ -166,9 +168,9 @@ def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     shared, seed = docs.sparkSession.sparkContext.broadcast(log_ratio), options.get("seed", SEED)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = scorer(shared.value, seed)
+        one = scorer(shared.value, seed, options.get("temper", TEMPER))
         for batch in batches:
             ids = common.column(batch, id_col).cast(pa.int64()).to_pylist()
-            yield batch.filter(pa.array([one(i, t)[1] >= least for i, t in zip(ids, common.raw(batch, text_col))], pa.bool_()))
+            yield batch.filter(pa.array([one(i, t)[2] >= least for i, t in zip(ids, common.raw(batch, text_col))], pa.bool_()))
 
     return docs.mapInArrow(each, docs.schema)
