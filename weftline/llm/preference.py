@@ -29,13 +29,14 @@ def preferences(chosen: DataFrame, rejected: DataFrame, pair_col: str = "conv_id
 
     n_common is the length of the longest common turn prefix (role and text equal); these turns are rendered once as the prompt, what follows on either side is that side's completion, and its mask
     lists the code-point ranges of assistant turns. Turns are ordered by turn number, null first, ties by role and text, so repeated rows are turns of their own. A null role counts as "unknown", a null
-    text as empty; rows of null pair id form one pair; a side without turns has an empty completion; equal sides have two empty ones. Both sides meet in one shuffle. A row is as large as its conversation.
+    text as empty; a row of null pair id belongs to no other, so it is a pair of its own (with the other side empty); a side without turns has an empty completion; equal sides have two empty ones. Both sides meet in one shuffle. A row is as large as its conversation.
     """
     def side(df: DataFrame, name: str) -> DataFrame:
         turn = F.struct(F.col(f"`{turn_col}`").cast("long").alias("turn"), F.coalesce(F.col(f"`{role_col}`"), F.lit("unknown")).alias("role"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-        return df.select(F.col(f"`{pair_col}`").cast("long").alias("pair_id"), F.lit(name).alias("side"), turn.alias("t"))
+        alone = F.when(F.col(f"`{pair_col}`").isNull(), F.concat(F.lit(name), F.monotonically_increasing_id()))
+        return df.select(F.col(f"`{pair_col}`").cast("long").alias("pair_id"), alone.alias("alone"), F.lit(name).alias("side"), turn.alias("t"))
 
-    both = side(chosen, "c").unionByName(side(rejected, "r")).groupBy("pair_id").agg(
+    both = side(chosen, "c").unionByName(side(rejected, "r")).groupBy("pair_id", "alone").agg(
         *[F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("t")))).alias(s) for s in "cr"]
     )
     shorter = F.least(F.size("c"), F.size("r"))
