@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -37,14 +36,14 @@ def rolling(ids: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def tiles(runs: list[tuple[int, int, int]], k: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling of matches (doc position, item position, length): the longest match first (ties: smaller item, then document position); what is left of an overlapped match waits its turn."""
+def tiles(runs: list[tuple[int, int, int]], k: int, size: int) -> list[tuple[int, int, int]]:
+    """Greedy tiling of matches (doc position, item position, length): the longest match first (ties: smaller item, then document position); what is left of an overlapped match waits its turn. size: the item's tokens; it ends when fewer than k of them are free."""
     heap = [(-n, i, d) for d, i, n in runs if n >= k]
     heapq.heapify(heap)
     in_doc: set[int] = set()
     in_item: set[int] = set()
     found = []
-    while heap:
+    while heap and size - len(in_item) >= k:
         n, i, d = heapq.heappop(heap)
         free = [j for j in range(-n) if d + j not in in_doc and i + j not in in_item]
         if len(free) == -n:
@@ -69,71 +68,84 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], k: int):
         self.k, self.vocabulary, self.ids, self.size = k, {}, [], []
         rng = np.random.default_rng(7)
-        where, hashes = [], []
+        where, words, self.short = [], [], {}
         for i, (item_id, text) in enumerate(items):
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens(text)]
+            own = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens(text)]
+            words.append(np.array(own, dtype=np.int64))
             self.ids.append(item_id)
-            self.size.append(len(words))
-            where += [(i, j) for j in range(len(words) - k + 1)]
+            self.size.append(len(own))
+            where += [(i, j) for j in range(len(own) - k + 1)]
+            if 0 < len(own) < k:
+                self.short.setdefault(len(own), {}).setdefault(tuple(own), []).append(i)
         #: Random codes make the window hash behave like a random one.
         self.codes = np.concatenate([np.zeros(1, dtype=np.uint64), rng.integers(1, 2**63, len(self.vocabulary) + 1, dtype=np.uint64)])
-        for _, text in items:
-            hashes.append(rolling(self.codes[[self.vocabulary[w] for w in tokens(text)] or [0]], k) if len(tokens(text)) >= k else np.zeros(0, dtype=np.uint64))
-        flat = np.concatenate([np.zeros(0, dtype=np.uint64), *hashes])
-        order = np.argsort(flat, kind="stable")
-        self.sorted = flat[order]
+        self.flat = np.concatenate([np.zeros(0, dtype=np.int64), *words])
+        self.start = np.cumsum([0, *self.size])
+        hashes = np.concatenate([np.zeros(0, dtype=np.uint64), *(rolling(self.codes[w], k) for w in words)])
+        order = np.argsort(hashes, kind="stable")
+        self.sorted = hashes[order]
         self.where = np.array(where, dtype=np.int64).reshape(-1, 2)[order]
-        self.words = [tokens(text) for _, text in items]
         self.bits = np.zeros(1 << 22, dtype=bool)
-        self.bits[(flat >> np.uint64(42)).astype(np.int64)] = True
+        self.bits[(hashes >> np.uint64(42)).astype(np.int64)] = True
 
     def matches(self, words: list[str]) -> dict[int, tuple[float, list[tuple[int, int, int]]]]:
-        """item -> (coverage, tiles), for the items that share a seed."""
-        if len(words) < self.k or not len(self.sorted):
-            return {}
-        h = rolling(self.codes[np.fromiter(map(self.vocabulary.get, words, repeat(0)), dtype=np.int64, count=len(words))], self.k)
+        """Number of the item -> (coverage, tiles), for the items that share a seed, and those too short for one that occur whole."""
+        doc = np.fromiter(map(self.vocabulary.get, words, repeat(0)), dtype=np.int64, count=len(words))
+        out = {}
+        for n, items in self.short.items():
+            windows = list(zip(*(doc[i:].tolist() for i in range(n))))
+            for own in items.keys() & set(windows):
+                at = windows.index(own)
+                out |= {i: (1.0, [(at, 0, n)]) for i in items[own]}
+        k = self.k
+        if len(words) < k or not len(self.sorted):
+            return out
+        h = rolling(self.codes[doc], k)
         at = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
-        if not len(at):
-            return {}
         lo, hi = np.searchsorted(self.sorted, h[at], "left"), np.searchsorted(self.sorted, h[at], "right")
-        diagonals: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for p, a, b in zip(at.tolist(), lo.tolist(), hi.tolist()):
-            for i, j in self.where[a:b].tolist():
-                if words[p : p + self.k] == self.words[i][j : j + self.k]:
-                    diagonals[i][p - j].append(p)
-        out = {}
-        for i, by in diagonals.items():
-            runs = []
-            for shift, places in by.items():
-                start = last = places[0]
-                for p in places[1:] + [None]:
-                    if p is None or p != last + 1:
-                        runs.append((start, start - shift, last - start + self.k))
-                        start = p
-                    last = p
-            found = tiles(runs, self.k)
-            out[self.ids[i]] = (sum(n for *_, n in found) / self.size[i], found)
+        n = hi - lo
+        if not n.sum():
+            return out
+        # All (place in the document, seed) pairs of equal hash, checked token by token; neighbours on a diagonal of an item are one match.
+        p = np.repeat(at, n)
+        i, j = self.where[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())].T
+        same = np.ones(len(p), dtype=bool)
+        for t in range(k):
+            same &= doc[p + t] == self.flat[self.start[i] + j + t]
+        p, i, j = p[same], i[same], j[same]
+        if not len(p):
+            return out
+        order = np.lexsort((p, p - j, i))
+        p, i, j = p[order], i[order], j[order]
+        first = np.concatenate([[True], (i[1:] != i[:-1]) | (p[1:] - j[1:] != p[:-1] - j[:-1]) | (p[1:] != p[:-1] + 1)])
+        begins = np.flatnonzero(first)
+        lengths = np.diff([*begins, len(p)]) + k - 1
+        runs: dict[int, list[tuple[int, int, int]]] = {}
+        for item, d, s, length in zip(i[begins].tolist(), p[begins].tolist(), j[begins].tolist(), lengths.tolist()):
+            runs.setdefault(item, []).append((d, s, length))
+        for item, own in runs.items():
+            found = tiles(own, k, self.size[item])
+            out[item] = (sum(x for *_, x in found) / self.size[item], found)
         return out
 
 
-def indexes(benchmark: DataFrame, id_col: str, text_col: str, k: int, block_chars: int) -> list[Callable]:
-    """Broadcast indexes of blocks of the benchmark, each of about block_chars characters: the only data that is broadcast, and its size is checked here first."""
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, k: int, block_chars: int) -> Iterator[Index]:
+    """Indexes of blocks of the benchmark, each of about block_chars characters, made one at a time: the only data that is broadcast, and its size is checked here first."""
     rows = common.named(benchmark, id_col, text_col)
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-chars // block_chars))
-    made = []
     for block in range(n):
         part = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)) == block) if n > 1 else rows
-        items = sorted(((r[0], r[1] or "") for r in part.toLocalIterator()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        made.append(benchmark.sparkSession.sparkContext.broadcast(Index(items, k)))
-    return made
+        yield Index(sorted(((r[0], r[1] or "") for r in part.toLocalIterator()), key=lambda x: (x[0] is None, x[0] or 0, x[1])), k)
 
 
 RESULT = "n_tokens long, n_candidates long, best_item long, coverage double, tiles array<struct<doc_at:int,item_at:int,length:int>>, items array<bigint>, contaminated boolean"
 
 
 def _judge(words: list[str], index: Index, least: float, old: dict | None) -> dict:
-    found = index.matches(words)
+    found: dict = {}
+    for i, own in index.matches(words).items():  # items of equal id count as the better one
+        found[index.ids[i]] = max(found.get(index.ids[i], (-1.0, [])), own, key=lambda x: x[0])
     best = max(found.items(), key=lambda x: (x[1][0], -(x[0] if x[0] is not None else 1 << 62)), default=None)
     out = {"n_tokens": len(words), "n_candidates": len(found), "best_item": best and best[0], "coverage": best[1][0] if best else 0.0, "tiles": [dict(zip(("doc_at", "item_at", "length"), t)) for t in best[1][1]] if best else []}
     items = [i for i, (c, _) in found.items() if c >= least and i is not None]
@@ -151,16 +163,16 @@ def tiled(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """docs with a struct column `tiling`: n_tokens, n_candidates (items sharing a seed of min_match tokens), best_item, coverage (share of its tokens in tiles), its tiles, items (all whose coverage reaches `coverage`), contaminated.
 
     Tokens are runs of word characters in lower case, so reordered passages, case and punctuation don't matter. Each document meets every item in one pass, without a shuffle: items
-    are indexed by block and broadcast. Null and empty texts have no tokens and no match. An item with fewer than min_match tokens has no seed and never matches. Ties of the best
+    are indexed by block and broadcast. Null and empty texts have no tokens and no match. An item with fewer than min_match tokens has no seed, and matches where it occurs whole (its one tile is shorter); one without tokens never matches. Ties of the best
     item go to the smaller id. Items of null id contaminate, but aren't listed. Repeated documents each get their row; a column `tiling` of docs is replaced.
     """
-    blocks = indexes(benchmark, item_col, item_text, min_match, block_chars)
-    kept = docs.drop("tiling")
-    out = kept
-    for n, shared in enumerate(blocks):
+    out, shared = docs.drop("tiling"), None
+    for index in blocks(benchmark, item_col, item_text, min_match, block_chars):
+        if shared is not None:  # the block before is done with: one block at a time is in memory
+            out = common.checkpoint(out)
+            shared.unpersist()
+        shared = docs.sparkSession.sparkContext.broadcast(index)
         out = _pass(out, text_col, shared, coverage)
-        if n < len(blocks) - 1:
-            out = common.checkpoint(out)  # so that one block at a time is in a worker's memory
     return out
 
 
