@@ -83,19 +83,20 @@ def test_decontaminate(spark):
             half = len(w) // 2
             t = t[:10] + w[half:] + t[10:20] + w[:half] + t[20:]  # reordered
         rows.append((i, " ".join(t).upper() if i % 8 else ", ".join(t), "en", "s", 0))
-    rows += [(50, None, "en", "s", 0), (51, "", "en", "s", 0), rows[0]]
+    rows += [(50, None, "en", "s", 0), (51, "", "en", "s", 0), rows[0], (52, "it is Too-short, this one", "en", "s", 0), (53, "na " * 3000, "en", "s", 0)]
+    items.append((30, "na " * 60))
     docs, bench = spark.createDataFrame(rows, DOC).withColumn("tiling", F.lit(1)), spark.createDataFrame(items, "item_id long, text string")
     for chars in (1 << 24, 300):  # one block, and several
         got = decontaminate.tiled(docs, bench, block_chars=chars).collect()
         assert len(got) == len(rows)
         for r in got:
-            words = decontaminate.tokens(r["text"] or "")
-            want = {i: brute_tiles(words, decontaminate.tokens(t), decontaminate.MIN_MATCH) for i, t in items if t and len(decontaminate.tokens(t)) >= decontaminate.MIN_MATCH}
+            words = decontaminate.tokens(r["text"] or "")[:200]
+            want = {i: brute_tiles(words, decontaminate.tokens(t), min(decontaminate.MIN_MATCH, len(decontaminate.tokens(t)))) for i, t in items if t and decontaminate.tokens(t)}
             assert r["tiling"]["coverage"] == pytest.approx(max([0.0, *want.values()]))
             assert r["tiling"]["items"] == sorted(i for i, c in want.items() if c >= decontaminate.COVERAGE)
-        assert {r["doc_id"] for r in got if r["tiling"]["contaminated"]} == set(range(0, 40, 4))
+        assert {r["doc_id"] for r in got if r["tiling"]["contaminated"]} == set(range(0, 40, 4)) | {52, 53}
     clean = decontaminate.clean(docs, bench)
-    assert clean.columns == docs.columns and clean.count() == 32
+    assert clean.columns == docs.columns and clean.count() == 32  # 45 rows, 13 of them contaminated
     assert decontaminate.tiled(docs.limit(0), bench).count() == 0
     assert decontaminate.digest(docs, bench.limit(0)).filter("contaminated").count() == 0
 
@@ -106,7 +107,7 @@ def test_preference(spark):
     other = [(1, 0, "user", "Hi"), (1, 1, "assistant", "Yes."), (1, 2, "user", "More"), (2, 0, "user", None), (2, 1, None, "x"), (4, 0, "user", "a"), (5, 1, "assistant", "only here")]
     schema = "conv_id long, turn long, role string, text string"
     got = {r["pair_id"]: r for r in preference.preferences(spark.createDataFrame(turns, schema).withColumn("side", F.lit(9)), spark.createDataFrame(other, schema)).collect()}
-    assert set(got) == {1, 2, 3, 4, 5, None}
+    assert set(got) == {1, 2, 3, 4, 5, None} and got[None]["chosen"] and not got[None]["rejected"]
     r = got[1]
     assert r["n_common"] == 1 and r["prompt"] == "<|im_start|>user\nHi<|im_end|>\n"
     assert [r["chosen"][m["start"] : m["end"]] for m in r["chosen_mask"]] == ["Yes. No.<|im_end|>\n", "End<|im_end|>\n"]
@@ -119,22 +120,43 @@ def test_preference(spark):
 
 
 # 3
+def brute_likeness(a, b):
+    """Twice the words of the phrases that both have, by plain multisets, over all words; phrases end after words whose hash is divisible by 4, after 15 words, and at line ends."""
+    if a == b:
+        return 1.0
+    sides = []
+    for t in (a, b):
+        c = Counter()
+        for line in t.split("\n"):
+            run = []
+            for w in line.split():
+                run.append(w)
+                if xxhash.xxh32_intdigest(w) % 4 == 0 or len(run) == 15:
+                    c[tuple(run)] += 1
+                    run = []
+            if run:
+                c[tuple(run)] += 1
+        sides.append(c)
+    total = sum(len(p) * n for c in sides for p, n in c.items())
+    return min(2 * sum(len(p) * n for p, n in (sides[0] & sides[1]).items()) / total, 0.999999) if total else 0.0
+
+
 def test_merkle_queries(spark, docs, none):
+    rows = [r[:2] for r in corpus()] + [(None, None)] * 6 + [(None, f"no id {i}") for i in range(5)] + [(7, f"again {i}") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("bucket", F.lit("clash")).withColumn("guest", F.lit("clash"))
+    key = lambda t: (xxhash.xxh64_intdigest((t or "").encode(), 42) + (1 << 63)) % (1 << 64)
+    order = sorted(((k, t or "") for k, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), key(r[1])))
+    want = Counter()
+    for i, (k, own) in enumerate(order):
+        nxt = order[(i + 1) % len(order)][1]
+        half = len(own) // 2
+        edited = own[: len(own) - half] + nxt[:half] if half else own
+        want[k, len(own), hashlib.sha256(edited.encode()).hexdigest(), hashlib.sha256(own.encode()).hexdigest(), round(brute_likeness(own, edited), 9), round(brute_likeness(own, nxt), 9)] += 1
+    roots = {merkle_text.tree(t)[0].hex(): hashlib.sha256(t.encode()).hexdigest() for t in {t or "" for _, t in rows}}
+    assert len(roots) == len({t or "" for _, t in rows})
     for buckets in (1, 7):
-        got = merkle_text.edit_fingerprints(docs, buckets=buckets).collect()
-        order = sorted(texts(), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
-        following = defaultdict(list)
-        for i, (k, t) in enumerate(order):
-            following[k].append((t, order[(i + 1) % len(order)][1]))
-        assert sorted(map(str, (r["doc_id"] for r in got))) == sorted(map(str, (k for k, _ in order)))
-        for r in got:
-            options = []
-            for own, nxt in following[r["doc_id"]]:
-                half = len(own) // 2
-                edited = own[: len(own) - half] + nxt[:half]
-                options.append((len(own), hashlib.sha256(edited.encode()).hexdigest(), merkle_text.fingerprint(own), merkle_text.fingerprint(edited)))
-            assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) in options
-            assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        got = merkle_text.edit_fingerprints(df, buckets=buckets).collect()
+        assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], roots[r["fingerprint"].partition(":")[0]], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == want
     assert merkle_text.edit_fingerprints(none).count() == 0
     assert merkle_text.edit_fingerprints(docs.filter("doc_id = 7")).first()["near_next"] == 1.0
 
@@ -144,10 +166,13 @@ def test_merkle_tree(spark, docs):
     a = "\n".join(prose(rng, 12).replace("\n", " ") for _ in range(40))
     lines = a.split("\n")
     b = "\n".join([*lines[:17], "changed line", *lines[18:]])
-    assert merkle_text.diff(a, a) == [] and merkle_text.likeness(merkle_text.fingerprint(a), merkle_text.fingerprint(a)) == 1
+    prints = {t: merkle_text.fingerprint(t) for t in (a, b, "quite other words", "", " ", "\n\n")}
+    for x in prints:
+        for y in prints:
+            assert merkle_text.likeness(prints[x], prints[y]) == pytest.approx(brute_likeness(x, y))
+    assert merkle_text.diff(a, a) == []
     found = {(side, (a if side == "a" else b)[s:e]) for side, s, e in merkle_text.diff(a, b)}
     assert found == {("a", lines[17]), ("b", "changed line")}
-    assert merkle_text.likeness(merkle_text.fingerprint(a), merkle_text.fingerprint(b)) > 0.8 > 0.2 > merkle_text.likeness(merkle_text.fingerprint(a), merkle_text.fingerprint("quite other words"))
     roots = merkle_text.nodes(docs).filter("level = 'root'").collect()
     assert sorted(r["hash"] for r in roots) == sorted(merkle_text.tree(t)[0].hex() for _, t in texts())
 
@@ -235,17 +260,26 @@ def test_resample(spark):
     bad = [(i, " ".join(w.upper() + "!!" for w in prose(rng, 80).split()), "en", "s", 0) for i in range(160, 200)]
     rows = good + bad + [(300, None, "en", "s", 0), (301, "", "en", "s", 0), good[0]]
     docs = spark.createDataFrame(rows, DOC).withColumn("log_weight", F.lit("clash"))
-    labels = spark.createDataFrame([(i, int(i < 160), 0) for i in range(0, 200, 2)] + [(None, 1, 0), (2, None, 0), (9999, 1, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, int(i < 160), 0) for i in range(0, 200, 2)] + [(None, 1, 0), (2, None, 0), (9999, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
     scored, least, ratio = resample.resampled(docs, labels)
     got = scored.collect()
     # brute force: the same models from plain counts
     raw, target = np.ones(resample.BUCKETS), np.ones(resample.BUCKETS)
-    known = {i for i in range(0, 160, 2) if xxhash.xxh64_intdigest(str(i), 3) % 4}
+    known = {i for i in range(0, 160, 2) if i != 4 and xxhash.xxh64_intdigest(str(i), 3) % 4}
     for k, t, *_ in rows:
         for g in resample.ngrams((t or "").encode(), resample._Hashes()):
             raw[g] += 1
             target[g] += k in known
     assert np.allclose(ratio, np.log(target / target.sum()) - np.log(raw / raw.sum()))
+    weighed = Counter()
+    for k, t, *_ in rows:
+        grams = resample.ngrams((t or "").encode(), resample._Hashes())
+        plain = sum(ratio[g] for g in grams)
+        weight = plain * min(1, resample.TEMPER / len(grams)) if len(grams) else 0.0
+        u = ((xxhash.xxh64_intdigest(f"{k}:{'' if k is not None else xxhash.xxh64_hexdigest((t or '').encode())}".encode(), resample.SEED) >> 11) + 0.5) / 2**53
+        weighed[k, round(plain, 6), round(weight, 6), round(weight - math.log(-math.log(u)), 6)] += 1
+    assert Counter((r["doc_id"], round(r["log_ratio"], 6), round(r["log_weight"], 6), round(r["perturbed"], 6)) for r in got) == weighed
+    assert all(r["log_weight"] == r["log_ratio"] for r in resample.resampled(docs, labels, temper=None)[0].collect())
     keys = sorted((r["perturbed"] for r in got), reverse=True)
     k = sum(r["selected"] for r in got)
     assert 0 < k < len(rows) and all(r["selected"] == (r["perturbed"] >= keys[k - 1]) for r in got)
@@ -284,21 +318,46 @@ def test_toxicity(spark):
         rows.append((i, " ".join(words), "en", "s", 0))
         marks.append((i, 1, int(toxic)))
     rows += [(500, None, "en", "s", 0), (501, "", "en", "s", 0), (None, "no id", "en", "s", 0), rows[0]]
-    docs, labels = spark.createDataFrame(rows, DOC).withColumn("score", F.lit("clash")), spark.createDataFrame(marks + [(1, None, None), (7777, 1, 1)], "doc_id long, quality int, toxic int")
+    docs, labels = spark.createDataFrame(rows, DOC).withColumn("score", F.lit("clash")).withColumn("label", F.lit("clash")), spark.createDataFrame(marks + [(1, None, None), (7777, 1, 1), (2, 1, 1 - marks[2][2])], "doc_id long, quality int, toxic int")
     got = toxicity.digest(docs, labels).collect()
     assert len(got) == len(rows)
     truth = dict((i, t) for i, _, t in marks)
     held = [r for r in got if r["held_out"] and r["doc_id"] in truth]
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got if r["doc_id"] is not None)
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) / len(held) > 0.97
-    # the penalty: a neutral mention of the group moves the score less than without it
-    free, fair = (toxicity.train(docs, labels, counterfactual=c) for c in (0.0, 30.0))
+    # the penalty: neutral mentions of the group are false positives less often than without it, and toxic texts are still found
+    free, fair = (toxicity.train(docs, labels, counterfactual=c) for c in (0.0, toxicity.COUNTERFACTUAL))
     gap = lambda m: abs(m.score("A muslim man came home.") - m.score("A christian man came home."))
     assert gap(fair) < 0.5 * gap(free)
+    neutral, toxic = ([" ".join([prose(rng, 40), "muslim", *extra, prose(rng, 5)]) for _ in range(60)] for extra in ([], bad))
+    wrong = [sum(m.score(t) >= 0.5 for t in neutral) for m in (free, fair)]
+    assert wrong[1] < wrong[0] and all(fair.score(t) >= 0.5 for t in toxic)
     assert toxicity.scored(docs.limit(0), fair).count() == 0
     assert 0 < toxicity.train(docs, labels.limit(0)).score("x") < 1
 
 
+def test_toxicity_fit():
+    """The fit against Newton's method on the same objective, with and without the penalty."""
+    rng = np.random.default_rng(3)
+    n, m = 6, 300
+    x = rng.random((m, n)) < 0.4
+    y = (rng.random(m) < 1 / (1 + np.exp(-(x @ rng.normal(0, 2, n) - 0.5)))).astype(int)
+    pairs = [(np.array([0]), np.array([1]), 3), (np.array([2, 3]), np.array([4]), 1)]
+    swap = np.zeros((2, n))
+    swap[0, [0, 1]], swap[1, [2, 3, 4]] = (1, -1), (1, 1, -1)
+    often = np.array([3, 1]) / 4
+    for c in (0.0, 1.0):
+        penalty = 2 * c * (swap.T * often) @ swap
+        w, ridge = np.zeros(n + 1), np.diag([2 * toxicity.RIDGE] * n + [0])
+        full = np.hstack([x.astype(float), np.ones((m, 1))])
+        ridge[:n, :n] += penalty
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-full @ w))
+            w -= np.linalg.solve(full.T @ (full * (p * (1 - p))[:, None]) / m + ridge, full.T @ (p - y) / m + ridge @ w)
+        got, b = toxicity.fit([(np.flatnonzero(r), int(t)) for r, t in zip(x, y)], n, pairs, counterfactual=c)
+        assert np.allclose(np.append(got, b), w, rtol=0.02)
+
+
 # 7
 def brute_targets(sizes: dict, epochs=1.5, weights=(5, 2, 1)):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
@@ -675,3 +734,28 @@ def test_pipeline(spark, sf):
     whole = corpus_pipeline.run(spark, sf).collect()
     assert sorted(map(tuple, whole)) == sorted(map(tuple, out))
     assert math.isfinite(sum(r["target"] for r in whole))
+
+
+def test_pipeline_hard_cases(spark, sf):
+    """Each stage on null ids, repeated rows and ids, null, empty and very long texts, further columns whose names clash, and on an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    rows = [r for r in corpus(3, 20)] + [(None, prose(rng, 50), None, None, None), (None, prose(rng, 50), "en", "src1", 3), (4, prose(rng, 40), "en", "src1", 3), (900, prose(rng, 30_000), "en", "src0", 1), (901, "write to a.b@mail.example now", "en", "src0", 1)]
+    for extra in ((), ("tiling", "row", "fp", "size", "key", "h1", "__row2", "base")):
+        docs = spark.createDataFrame(rows, DOC)
+        for c in extra:
+            docs = docs.withColumn(c, F.lit("clash"))
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, docs, sf)
+            assert after.columns == docs.columns and after.dtypes == docs.dtypes, name
+            kept = after.collect()
+            assert 0 < len(kept) <= len(rows) and all(r[c] == "clash" for r in kept for c in extra)
+            if name == "near_duplicates":
+                assert Counter((r["doc_id"], r["text"]) for r in kept) == brute_similar([r[:2] for r in rows])
+            if name in ("decontamination", "personal_data"):
+                assert Counter(r["doc_id"] for r in kept) == Counter(r[0] for r in rows)
+            assert stage(spark, docs.limit(0), sf).count() == 0
+        out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+        assert Counter(r["doc_id"] for r in out.collect()) == Counter(r[0] for r in rows)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf).count() == 0

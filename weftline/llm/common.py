@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint, shared_dir  # noqa: F401
+
 #: A key with at least this share of the rows of a join is hot; there are at most 1 / HOT_SHARE such keys, which bounds their broadcast.
 HOT_SHARE = 1 / 1000
 #: Fewer rows than this on one key fit one task whatever their share.
@@ -19,30 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary folder serves a local session; a cluster must set it."""
-    if path := spark.conf.get("spark.checkpoint.dir", None):
-        return path
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="weftline-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read from there: a lost executor costs only its running tasks."""
-    sc = df.sparkSession.sparkContext
-    path = shared_dir(df.sparkSession)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(path)
-    return df.checkpoint()
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: smaller than a checkpoint, and its columns can be pruned."""
-    import uuid
-
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

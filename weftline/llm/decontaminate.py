@@ -200,5 +200,7 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the contaminated rows, with the columns of docs."""
-    return tiled(docs, benchmark, **options).filter(~F.col("tiling.contaminated")).select(*[c for c in docs.columns])
+    """docs without the contaminated rows, with the columns of docs. Each row is judged by its own text: null and empty texts stay, repeated rows stay or go together, null ids matter nothing; an empty benchmark removes nothing."""
+    name = next(n for n in (f"tiling{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    held = docs.withColumnRenamed("tiling", name)  # a column of that name is docs' own
+    return tiled(held, benchmark, **options).filter(~F.col("tiling.contaminated")).drop("tiling").withColumnRenamed(name, "tiling").select(*[F.col(f"`{c}`") for c in docs.columns])
