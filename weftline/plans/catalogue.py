@@ -126,7 +126,7 @@ def noisy_or_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def min_confidence_sort(spark: SparkSession, d: str) -> DataFrame:
-    out = evidence.relationships(observations(spark, d).filter("evidence_type IN ('SQL_LOG_JOIN', 'TARGET_UNIQUE')"), "0.60")
+    out = evidence.relationships(observations(spark, d), "0.60")
     return out.select("src_key", "tgt_key", "relation_type", "subtype", F.col("confidence").cast("double").alias("confidence"), "observations")
 
 
@@ -149,7 +149,7 @@ def subtype_precedence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def conditional_polymorphic(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.conditional(observations(spark, d).filter("ordinal % 7 = 0"))
+    return evidence.conditional(observations(spark, d))
 
 
 # catalog and naming
@@ -202,14 +202,14 @@ def inventory_closure_rules(spark: SparkSession, d: str) -> DataFrame:
 # graph
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     """A sparse graph of suppliers and parts: each supplier points to two numbers below it."""
-    s = _t(spark, d, "supplier").filter("s_suppkey <= 100")
+    s = _t(spark, d, "supplier")
     a = s.select(F.concat(F.lit("n"), F.col("s_suppkey")).alias("src"), F.concat(F.lit("n"), F.floor(F.col("s_suppkey") / 2)).alias("tgt"), F.lit("0.9000").cast("decimal(5,4)").alias("confidence"))
     b = s.filter("s_suppkey % 3 = 0").select(F.concat(F.lit("n"), F.col("s_suppkey")).alias("src"), F.concat(F.lit("n"), F.col("s_suppkey") - 1).alias("tgt"), F.lit("0.6000").cast("decimal(5,4)").alias("confidence"))
     return a.unionByName(b).filter("src <> tgt").withColumn("kind", F.lit("RELATIONSHIP")).withColumn("support", F.lit(2))
 
 
-_EDGES = """e AS (SELECT 'n' || s_suppkey AS src, 'n' || (s_suppkey // 2) AS tgt, 0.9::DECIMAL(38,18) AS c FROM supplier WHERE s_suppkey <= 100
-  UNION ALL SELECT 'n' || s_suppkey, 'n' || (s_suppkey - 1), 0.6::DECIMAL(38,18) FROM supplier WHERE s_suppkey <= 100 AND s_suppkey % 3 = 0)"""
+_EDGES = """e AS (SELECT 'n' || s_suppkey AS src, 'n' || (s_suppkey // 2) AS tgt, 0.9::DECIMAL(38,18) AS c FROM supplier
+  UNION ALL SELECT 'n' || s_suppkey, 'n' || (s_suppkey - 1), 0.6::DECIMAL(38,18) FROM supplier WHERE s_suppkey % 3 = 0)"""
 _PATHS = f"""WITH RECURSIVE {_EDGES},
 p AS (SELECT src, tgt, [src, tgt] AS path, c::DOUBLE AS least, 1 AS hops, 2::BIGINT AS support FROM e WHERE src <> tgt
   UNION ALL SELECT p.src, e.tgt, list_append(p.path, e.tgt), least(p.least, e.c::DOUBLE), hops + 1, support * 2 FROM p JOIN e ON e.src = p.tgt WHERE e.src <> e.tgt AND NOT list_contains(p.path, e.tgt) AND hops < 5 AND least(p.least, e.c::DOUBLE) * pow(0.75, hops) >= 0.1),
@@ -249,7 +249,7 @@ def paths_reverse_bridge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _t(spark, d, "lineitem").filter("l_quantity >= 49").select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("tgt"))
+    pairs = _t(spark, d, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("tgt"))
     return graph.components(pairs, checkpoint=checkpoint)
 
 
@@ -296,10 +296,10 @@ def event_group(spark: SparkSession, d: str) -> DataFrame:
 def _facts(spark: SparkSession, d: str) -> DataFrame:
     s = F.concat(F.lit("p"), F.col("l_partkey") % 20, F.lit(".x"))
     t = F.concat(F.lit("s"), F.col("l_suppkey") % 10, F.lit(".z"))
-    return _t(spark, d, "lineitem").filter("l_linenumber = 1 AND l_quantity > 48").select(s.alias("src_key"), t.alias("tgt_key")).distinct().select(F.concat_ws("->", "src_key", "tgt_key").alias("fact_id"), F.lit("FK_LIKE").alias("relation_type"), F.lit("RELATIONSHIP").alias("fact_type"), "src_key", "tgt_key")
+    return _t(spark, d, "lineitem").select(s.alias("src_key"), t.alias("tgt_key")).distinct().select(F.concat_ws("->", "src_key", "tgt_key").alias("fact_id"), F.lit("FK_LIKE").alias("relation_type"), F.lit("RELATIONSHIP").alias("fact_type"), "src_key", "tgt_key")
 
 
-_FACTS = "facts AS (SELECT DISTINCT 'p' || (l_partkey % 20) || '.x' AS src_key, 's' || (l_suppkey % 10) || '.z' AS tgt_key FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 48)"
+_FACTS = "facts AS (SELECT DISTINCT 'p' || (l_partkey % 20) || '.x' AS src_key, 's' || (l_suppkey % 10) || '.z' AS tgt_key FROM lineitem)"
 
 
 def event_association(spark: SparkSession, d: str) -> DataFrame:
@@ -336,8 +336,10 @@ def kg_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kg_closure(spark: SparkSession, d: str) -> DataFrame:
-    a = (_fact_columns(spark, d), _facts(spark, d), semantic.events(_lineage(spark, d)), _join_paths(spark, d))
-    return semantic.kg_problems(semantic.kg_nodes(*a), semantic.kg_edges(*a))
+    """The closure of a graph whose nodes lack table p3 and its column."""
+    rest = (_facts(spark, d), semantic.events(_lineage(spark, d)), _join_paths(spark, d))
+    columns = _fact_columns(spark, d)
+    return semantic.kg_problems(semantic.kg_nodes(columns.filter("`table` <> 'p3'"), *rest), semantic.kg_edges(columns, *rest))
 
 
 def stable_id_sha256(spark: SparkSession, d: str) -> DataFrame:
@@ -376,11 +378,11 @@ def _examples(spark: SparkSession) -> DataFrame:
 
 
 def sql_relationships(spark: SparkSession, d: str) -> DataFrame:
-    return scan.scan_statements(_examples(spark))["relationships"]
+    return scan.scan_statements(_examples(spark))["relationships"].withColumn("confidence", F.col("confidence").cast("double"))
 
 
 def sql_lineage(spark: SparkSession, d: str) -> DataFrame:
-    return scan.scan_statements(_examples(spark))["lineage"]
+    return scan.scan_statements(_examples(spark))["lineage"].withColumn("sources", F.array_join("sources", ",")).withColumn("confidence", F.col("confidence").cast("double"))
 
 
 def sql_naming(spark: SparkSession, d: str) -> DataFrame:
@@ -391,14 +393,58 @@ def ddl_facts(spark: SparkSession, d: str) -> DataFrame:
     return scan.analysed(_examples(spark)).select(F.explode("ddl").alias("x")).select("x.*")
 
 
+def _cases(spark: SparkSession, cases) -> DataFrame:
+    return scan.analysed(spark.createDataFrame([(name, 0, sql) for name, sql, _ in cases], "source_name string, ordinal int, sql string"))
+
+
+def sql_pair_cases(spark: SparkSession, d: str) -> DataFrame:
+    """The column pairs of a statement of each shape."""
+    return _cases(spark, examples.PAIR_CASES).select(F.col("source_name").alias("name"), F.explode("pairs").alias("p")).select("name", "p.src_key", "p.tgt_key", "p.evidence_type")
+
+
+def sql_lineage_cases(spark: SparkSession, d: str) -> DataFrame:
+    """The flows of a statement of each shape."""
+    return _cases(spark, examples.LINEAGE_CASES).select(F.col("source_name").alias("name"), F.explode("lineage").alias("l")).select("name", "l.flow", "l.transform", F.array_join("l.sources", ",").alias("sources"), "l.target")
+
+
+def _part_statements(spark: SparkSession, d: str) -> DataFrame:
+    """Parts read as statements: a join for each part, and the definition of each table that is joined to."""
+    p = _t(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 40).alias("a"), (F.col("p_size") % 12).alias("b"))
+    joins = p.select(F.lit("q").alias("source_name"), F.col("p_partkey").cast("int").alias("ordinal"), F.format_string("SELECT x.id FROM fact%d x JOIN dim%d y ON y.id = x.dim%d_id", "a", "b", "b").alias("sql"), F.lit("PLAIN_SQL").alias("source_type"))
+    tables = p.select("b").distinct().select(F.lit("ddl").alias("source_name"), F.col("b").alias("ordinal"), F.format_string("CREATE TABLE dim%d (id BIGINT PRIMARY KEY, name VARCHAR(9))", "b").alias("sql"), F.lit("DDL_FILE").alias("source_type"))
+    return joins.unionByName(tables)
+
+
+def sql_part_relationships(spark: SparkSession, d: str) -> DataFrame:
+    """The whole scan over a statement for each part."""
+    out = scan.scan_statements(_part_statements(spark, d))["relationships"]
+    return out.select("src_key", "tgt_key", "relation_type", "subtype", F.col("confidence").cast("double").alias("confidence"), "observations")
+
+
 def script_framing(spark: SparkSession, d: str) -> DataFrame:
     return scripts.framed(spark.createDataFrame(examples.SCRIPTS, "source_name string, text string"), "mysql")
 
 
+def customer_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """Customers read as MySQL scripts with a changed delimiter, framed: the number of statements of each kind, and the lines that they span."""
+    text = F.format_string("-- %s\nCREATE TABLE t%d (a INT);\nDELIMITER //\nCREATE PROCEDURE p%d()\nBEGIN\n  UPDATE t SET a = 1; SELECT ';';\nEND//\nDELIMITER ;\nSELECT %d; SELECT 2\n;", "c_mktsegment", "c_custkey", "c_custkey", "c_nationkey")
+    read = scripts.framed(_t(spark, d, "customer").select(F.col("c_mktsegment").alias("source_name"), text.alias("text")), "mysql")
+    return read.groupBy("source_name", "source_type", "start_line", "end_line").agg(F.count("*").alias("n"), F.countDistinct("object_name").alias("names"))
+
+
 def log_statements(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([("log", x) for x in examples.LOG], "source_name string, line string")
+    """Events read as lines of PostgreSQL and MySQL logs, statements on system tables and connections among them."""
+    e = _t(spark, d, "events").select("event_id", (F.col("user_id") % 40).alias("u"), (F.col("event_id") % 30).alias("v"))
+    line = (
+        F.when(F.col("event_id") % 5 == 0, F.format_string("2024-05-01 10:00:00 UTC [7] LOG:  statement: SELECT a.id FROM u%d a JOIN v%d b ON b.id = a.v_id;", "u", "v"))
+        .when(F.col("event_id") % 5 == 1, F.lit("2024-05-01 10:00:01 UTC [7] LOG:  execute q1: SELECT relname FROM pg_catalog.pg_class"))
+        .when(F.col("event_id") % 5 == 2, F.format_string("2024-05-01T10:00:02.000000Z\t   12 Query\tSELECT * FROM u%d WHERE id = 3", "u"))
+        .when(F.col("event_id") % 5 == 3, F.lit("2024-05-01T10:00:03.000000Z\t   12 Connect\troot@localhost"))
+        .otherwise(F.format_string("2024-05-01T10:00:04.000000Z\t   12 Query\tUPDATE u%d SET n = 1 WHERE k IN (SELECT b.k FROM v%d b)", "u", "v"))
+    )
+    rows = e.select(F.lit("log").alias("source_name"), line.alias("line"))
     read = logs.postgres(rows).unionByName(logs.mysql_general(rows))
-    return logs.without_noise(scan.analysed(read)).select("sql", F.array_join("tables", ",").alias("tables"))
+    return logs.without_noise(scan.analysed(read)).groupBy("sql", F.array_join("tables", ",").alias("tables")).agg(F.count("*").alias("n"), F.sum(F.size("pairs")).alias("pairs"))
 
 
 def _q(*names: str) -> dict:
@@ -410,13 +456,22 @@ QUERIES = relational.QUERIES | _q(
     "min_confidence_sort", "direction_unique_flip", "fold_cooccurrence", "subtype_precedence", "conditional_polymorphic", "unique_columns", "type_compatible_pairs", "naming_stem_join", "naming_user_rules", "inventory_merge_full_outer",
     "inventory_closure_anti", "inventory_closure_rules", "edges_aggregate", "paths_bounded", "path_confidence_decay", "support_combinations", "paths_per_pair_limit", "paths_reverse_bridge", "connected_components", "lineage_merge",
     "lineage_dominant_transform", "event_group", "event_association", "reference_closure", "triplets", "kg_nodes", "kg_edges", "kg_closure", "stable_id_sha256", "token_estimate", "shard_greedy_pack", "input_windows", "asof_local_rowset",
-    "canonical_fingerprint", "sql_relationships", "sql_lineage", "sql_naming", "ddl_facts", "script_framing", "log_statements",
+    "canonical_fingerprint", "sql_relationships", "sql_lineage", "sql_naming", "ddl_facts", "sql_pair_cases", "sql_lineage_cases", "sql_part_relationships", "script_framing", "customer_scripts", "log_statements",
 )
 
 _RANK = "CASE p WHEN 0 THEN 'DECLARED' WHEN 1 THEN 'SQL_PREDICATE' WHEN 2 THEN 'NAMING' ELSE 'CO_OCCURRENCE' END"
 _TOPK = f"WITH c AS ({_CANDIDATES}), r AS (SELECT *, row_number() OVER (PARTITION BY src_key ORDER BY p, observations DESC, src_key, tgt_key) AS i FROM c) SELECT src_key, tgt_key, {_RANK} AS priority, observations FROM r WHERE i <= 3 ORDER BY p, observations DESC, src_key, tgt_key LIMIT "
 _TYPES = "t AS (SELECT table_name || '.' || column_name AS key, data_type AS type FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{t}'" for t in TABLES) + "))"
 _GROUP = "src_key, tgt_key, evidence_type, source_type, source"
+
+
+def _values(rows, columns: str) -> str:
+    """Rows as SQL: what the rules of the texts give, worked out by hand."""
+    text = lambda v: "NULL" if v is None else f"'{v.replace(chr(39), chr(39) * 2)}'" if isinstance(v, str) else str(v)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) v({columns})"
+
+
+_KG = _LIN + f", {_FACTS}, cols AS (SELECT DISTINCT k FROM (SELECT src_key AS k FROM facts UNION ALL SELECT tgt_key FROM facts UNION ALL SELECT unnest(sources) FROM lin UNION ALL SELECT target FROM lin))"
 ORACLES = relational.ORACLES | {
     "ind_metrics": f"WITH m AS ({_METRICS}) SELECT *, greatest(source_distinct - matched, 0) AS missing FROM m",
     "ind_evidence": _DECIDED + f" SELECT src_key, tgt_key, round(containment, 6) AS containment, round(overlap, 6) AS overlap, evidence_type, CASE evidence_type WHEN 'VALUE_CONTAINMENT_HIGH' THEN {_RATIO.format('containment')} WHEN 'VALUE_OVERLAP_HIGH' THEN {_RATIO.format('overlap')} END AS ratio, CASE evidence_type WHEN 'VALUE_CONTAINMENT_HIGH' THEN CASE WHEN neg THEN 0.21 ELSE 0.3 END WHEN 'VALUE_OVERLAP_HIGH' THEN CASE WHEN neg THEN 0.14 ELSE 0.2 END ELSE 0 END::DOUBLE AS confidence FROM (SELECT *, NOT starts_with(src_key, 'events') AND source_distinct >= 20 AND rows >= 100 AND missing >= 0.5 * source_distinct AS neg FROM e)",
@@ -430,11 +485,11 @@ ORACLES = relational.ORACLES | {
     "consensus_attributes": _OBS + f"SELECT {_GROUP}, CASE WHEN count(DISTINCT operator) = 1 THEN min(operator) END AS operator, CASE WHEN count(DISTINCT value) = 1 THEN min(value) END AS value FROM obs GROUP BY {_GROUP}",
     "repeated_observation": _OBS + "SELECT src_key, tgt_key, round(0.1 - 0.1 / n, 8)::DOUBLE AS score, n AS locations FROM (SELECT src_key, tgt_key, count(DISTINCT source || '|' || detail) AS n FROM obs WHERE evidence_type LIKE 'SQL_LOG%' GROUP BY 1, 2) WHERE n > 1",
     "noisy_or_confidence": _OBS + ", k2 AS (SELECT src_key, tgt_key, evidence_type, max(score) AS s FROM obs GROUP BY ALL) SELECT src_key, tgt_key, round(least(0.99, (1 - coalesce(product(1 - s) FILTER (WHERE s > 0), 1)) * coalesce(product(1 + s) FILTER (WHERE s < 0), 1))::DECIMAL(18,12), 4)::DOUBLE AS confidence FROM k2 GROUP BY 1, 2",
-    "min_confidence_sort": _OBS + ", o AS (SELECT * FROM obs WHERE evidence_type IN ('SQL_LOG_JOIN', 'TARGET_UNIQUE')), n AS (SELECT src_key, tgt_key, count(*) AS observations, bool_or(evidence_type = 'SQL_LOG_JOIN') AS j, bool_or(evidence_type = 'TARGET_UNIQUE') AS u, count(DISTINCT CASE WHEN evidence_type = 'SQL_LOG_JOIN' THEN source || '|' || detail END) AS locs FROM o GROUP BY 1, 2), c AS (SELECT *, round((1 - (CASE WHEN j THEN 0.45 ELSE 1 END) * (CASE WHEN u THEN 0.82 ELSE 1 END) * (CASE WHEN locs > 1 THEN 1 - round(0.1 - 0.1 / locs, 10) ELSE 1 END))::DECIMAL(18,12), 4)::DOUBLE AS confidence FROM n) SELECT src_key, tgt_key, 'CO_OCCURRENCE' AS relation_type, 'COLUMN_CO_OCCURRENCE' AS subtype, confidence, observations FROM c WHERE confidence >= 0.6",
+    "min_confidence_sort": _OBS + ", n AS (SELECT src_key, tgt_key, count(*) AS observations, count(DISTINCT CASE WHEN evidence_type LIKE 'SQL_LOG%' THEN source || '|' || detail END) AS locs, bool_or(evidence_type LIKE 'SQL_LOG%') AS q, bool_or(evidence_type = 'NAMING_MATCH') AS nm FROM obs GROUP BY 1, 2), k2 AS (SELECT src_key, tgt_key, evidence_type, max(score) AS s FROM obs GROUP BY ALL), m AS (SELECT src_key, tgt_key, coalesce(product(1 - s) FILTER (WHERE s > 0), 1) AS miss, coalesce(product(1 + s) FILTER (WHERE s < 0), 1) AS damp FROM k2 GROUP BY 1, 2), c AS (SELECT n.*, round(least(0.99, (1 - miss * (CASE WHEN locs > 1 THEN 1 - round(0.1 - 0.1 / locs, 10) ELSE 1 END)) * damp)::DECIMAL(18,12), 4)::DOUBLE AS confidence FROM n JOIN m USING (src_key, tgt_key)) SELECT src_key, tgt_key, 'CO_OCCURRENCE' AS relation_type, CASE WHEN nm AND NOT q THEN 'NAMING_MATCH' ELSE 'COLUMN_CO_OCCURRENCE' END AS subtype, confidence, observations FROM c WHERE confidence >= 0.6",
     "direction_unique_flip": _OBS + ", u AS (SELECT DISTINCT 't' || (s_suppkey % 12) || '.b' AS key FROM supplier), p AS (SELECT src_key, tgt_key, count(*) AS n, bool_or(evidence_type LIKE 'SQL_LOG%') AS sql FROM obs GROUP BY 1, 2) SELECT CASE WHEN sql AND tgt_key IN (FROM u) THEN src_key ELSE least(src_key, tgt_key) END AS src_key, CASE WHEN sql AND tgt_key IN (FROM u) THEN tgt_key ELSE greatest(src_key, tgt_key) END AS tgt_key, CASE WHEN sql AND tgt_key IN (FROM u) THEN 'FK_LIKE' ELSE 'CO_OCCURRENCE' END AS relation_type, n FROM p",
     "fold_cooccurrence": _OBS + "SELECT CASE WHEN src_key IN ('t1.a', 't2.a', 't3.a') THEN tgt_key ELSE src_key END AS src_key, CASE WHEN src_key IN ('t1.a', 't2.a', 't3.a') THEN src_key ELSE tgt_key END AS tgt_key, CASE WHEN src_key IN ('t1.a', 't2.a', 't3.a') THEN 'FK_LIKE' ELSE relation_type END AS relation_type, count(*) + CASE WHEN obs.src_key IN ('t1.a', 't2.a', 't3.a') THEN 1 ELSE 0 END AS n FROM obs GROUP BY obs.src_key, obs.tgt_key, obs.relation_type",
     "subtype_precedence": "SELECT o_custkey % 200 AS k, o_orderstatus, (ARRAY[" + ", ".join(f"'{s}'" for s in scoring.SUBTYPES) + "])[max(o_orderkey % 8) + 1] AS subtype FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2",
-    "conditional_polymorphic": _OBS + ", s AS (SELECT * FROM obs WHERE ordinal % 7 = 0), p AS (SELECT src_key, bool_or(t > 1 AND v > 1) AS poly FROM (SELECT src_key, discriminator, operator, count(DISTINCT tgt_key) AS t, count(DISTINCT value) AS v FROM s WHERE discriminator IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1) SELECT src_key, tgt_key, bool_and(discriminator IS NOT NULL) AS conditional, coalesce(bool_or(poly), false) AND bool_or(discriminator IS NOT NULL) AS polymorphic FROM s LEFT JOIN p USING (src_key) GROUP BY 1, 2",
+    "conditional_polymorphic": _OBS + ", s AS (SELECT * FROM obs), p AS (SELECT src_key, bool_or(t > 1 AND v > 1) AS poly FROM (SELECT src_key, discriminator, operator, count(DISTINCT tgt_key) AS t, count(DISTINCT value) AS v FROM s WHERE discriminator IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1) SELECT src_key, tgt_key, bool_and(discriminator IS NOT NULL) AS conditional, coalesce(bool_or(poly), false) AND bool_or(discriminator IS NOT NULL) AS polymorphic FROM s LEFT JOIN p USING (src_key) GROUP BY 1, 2",
     "unique_columns": " UNION ALL ".join(f"SELECT '{t}.{c}' AS key, count(*) AS rows, count(DISTINCT {c}) AS distinct_values, count(*) = count(DISTINCT {c}) AS is_unique FROM {t}" for t, cs in KEYS.items() for c in cs),
     "naming_stem_join": "WITH n AS (SELECT lower(regexp_replace(n_name, '[^A-Za-z]', '_', 'g')) AS w, n_regionkey AS r FROM nation), t AS (SELECT w || 's' AS tab, CASE WHEN regexp_matches(w || 's', 'ies$') THEN regexp_replace(w || 's', 'ies$', 'y') WHEN regexp_matches(w || 's', '(ss|x|z|ch|sh)es$') THEN regexp_replace(w || 's', 'es$', '') ELSE regexp_replace(w || 's', 's$', '') END AS stem FROM n) SELECT DISTINCT 'naming:fact' || r || '.' || w || '_id->' || tab || '.id:TABLE_ID' AS id, 'fact' || r || '.' || w || '_id' AS src_key, tab || '.id' AS tgt_key, 'TABLE_ID' AS rule, 'SOURCE_TO_TARGET' AS direction_hint FROM n JOIN t ON t.stem = n.w",
     "naming_user_rules": "SELECT table_name || '.' || column_name AS src_key, 'customer.c_custkey' AS tgt_key, 'USER_CONFIGURED:custkey' AS rule, 'SOURCE_TO_TARGET' AS direction_hint FROM information_schema.columns WHERE column_name LIKE '%custkey' AND table_name <> 'customer' UNION ALL SELECT table_name || '.' || column_name, 'nation.n_nationkey', 'USER_CONFIGURED:nationkey', 'SOURCE_TO_TARGET' FROM information_schema.columns WHERE column_name LIKE '%nationkey' AND table_name <> 'nation'",
@@ -445,11 +500,36 @@ ORACLES = relational.ORACLES | {
     "path_confidence_decay": _PATHS + "SELECT array_to_string(path, '>') AS path, round((least * pow(0.75, hops - 1))::DECIMAL(18,12), 4)::DOUBLE AS confidence FROM found",
     "support_combinations": _PATHS + "SELECT array_to_string(path, '>') AS path, support FROM found",
     "paths_per_pair_limit": _PATHS + "SELECT src, tgt, array_to_string(min(path), '>') AS path FROM found GROUP BY 1, 2",
-    "connected_components": "WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_quantity >= 49), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS node, a AS top FROM both_ UNION SELECT both_.b, r.top FROM r JOIN both_ ON both_.a = r.node) SELECT node, min(top) AS component FROM r GROUP BY 1",
+    "connected_components": "WITH RECURSIVE e0 AS (SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem), e AS (SELECT a, b FROM e0 UNION ALL SELECT b, a FROM e0), cc(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM e UNION (SELECT e.b, min(cc.component) FROM cc JOIN e ON e.a = cc.node JOIN recurring.cc AS r ON r.node = e.b WHERE cc.component < r.component GROUP BY e.b)) SELECT node, component FROM cc",
     "lineage_merge": _LIN + "SELECT flow, transform, array_to_string(list_sort(sources), ',') AS sources, target, arg_min(confidence, ordinal) AS confidence, count(*) AS observations, min(ordinal) AS ordinal FROM lin GROUP BY flow, transform, list_sort(sources), target",
     "lineage_dominant_transform": _LIN + f"SELECT src, target AS tgt, (ARRAY[{', '.join(f"'{t}'" for t in scoring.DOMINANCE)}])[max(list_position([{', '.join(f"'{t}'" for t in scoring.DOMINANCE)}], transform))] AS transform, max(confidence) AS confidence FROM (SELECT unnest(sources) AS src, target, transform, confidence FROM lin) GROUP BY 1, 2",
     "event_group": _LIN + "SELECT split_part(k, ':', 1) AS kind, substr(k, strpos(k, ':') + 1) AS subject, operations, array_to_string(inputs, ',') AS inputs, array_to_string(outputs, ',') AS outputs, references_ AS refs, confidence FROM ev",
     "event_association": _LIN + f", {_FACTS}, o AS (SELECT k, unnest(outputs) AS key FROM ev), i AS (SELECT DISTINCT k, split_part(unnest(inputs), '.', 1) AS a FROM ev), pairs AS (SELECT DISTINCT i.k, least(a, split_part(o.key, '.', 1)) AS x, greatest(a, split_part(o.key, '.', 1)) AS y FROM i JOIN o USING (k) WHERE a <> split_part(o.key, '.', 1)) SELECT DISTINCT k AS event, src_key || '->' || tgt_key AS fact_id, 'OUTPUT_ENDPOINT' AS via FROM o JOIN facts ON o.key IN (src_key, tgt_key) UNION SELECT k, src_key || '->' || tgt_key, 'TABLE_PAIR' FROM pairs JOIN facts ON x = least(split_part(src_key, '.', 1), split_part(tgt_key, '.', 1)) AND y = greatest(split_part(src_key, '.', 1), split_part(tgt_key, '.', 1))",
+    "triplets": _KG + """, fed AS (SELECT DISTINCT i, o, k FROM (SELECT k, unnest(inputs) AS i, outputs FROM ev) CROSS JOIN unnest(outputs) t(o)), l AS (SELECT DISTINCT unnest(sources) AS s, target, transform FROM lin)
+        SELECT 'FK_LIKE' AS predicate, count(*) AS n, count(DISTINCT src_key) AS subjects FROM facts UNION ALL SELECT 'NAMED_AS', count(*), count(DISTINCT src_key) FROM facts
+        UNION ALL SELECT 'HAS_DIMENSION', count(DISTINCT (split_part(src_key, '.', 1), split_part(tgt_key, '.', 1))), count(DISTINCT split_part(src_key, '.', 1)) FROM facts
+        UNION ALL SELECT 'FEEDS_VIA', count(*), count(DISTINCT i) FROM fed UNION ALL SELECT 'LINEAGE_' || transform, count(*), count(DISTINCT s) FROM l GROUP BY transform""",
+    "kg_nodes": _KG + """ SELECT 'RELATIONSHIP' AS kind, count(*) AS n, count(*) AS labels FROM facts UNION ALL SELECT 'JoinPath', count(*), count(*) FROM facts UNION ALL SELECT 'PhysicalColumn', count(*), count(*) FROM cols
+        UNION ALL SELECT 'PhysicalTable', count(DISTINCT split_part(k, '.', 1)), count(DISTINCT split_part(k, '.', 1)) FROM cols UNION ALL SELECT 'Event', count(*), count(DISTINCT substr(k, strpos(k, ':') + 1)) FROM ev""",
+    "kg_edges": _KG + """ SELECT 'TABLE_COLUMN' AS kind, count(*) AS n FROM cols UNION ALL SELECT 'RELATIONSHIP_SOURCE', count(*) FROM facts UNION ALL SELECT 'RELATIONSHIP_TARGET', count(*) FROM facts
+        UNION ALL SELECT 'JOIN_PATH_STEP', 2 * count(*) FROM facts UNION ALL SELECT 'EVENT_INPUT', sum(len(inputs))::BIGINT FROM ev UNION ALL SELECT 'EVENT_OUTPUT', sum(len(outputs))::BIGINT FROM ev""",
+    "kg_closure": "SELECT 'DANGLING_END' AS problem, kind || ':' || sha256(strlen(name) || ':' || name || ';') AS id FROM (SELECT DISTINCT 'p' || (l_partkey % 20) || '.x' AS key FROM lineitem) CROSS JOIN (VALUES ('table', 'p3'), ('column', 'p3.x')) v(kind, name) WHERE key = 'p3.x'",
+    "shard_greedy_pack": """WITH RECURSIVE w AS (SELECT 't' || (o_custkey % 60) AS owner, count(*) * 40 AS tokens FROM orders GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY owner) AS i FROM w),
+        p AS (SELECT i, owner, tokens, tokens AS filled, 0 AS shard_id FROM n WHERE i = 1 UNION ALL SELECT n.i, n.owner, n.tokens, CASE WHEN p.filled > 0 AND p.filled + n.tokens > 40000 THEN n.tokens ELSE p.filled + n.tokens END, CASE WHEN p.filled > 0 AND p.filled + n.tokens > 40000 THEN p.shard_id + 1 ELSE p.shard_id END FROM p JOIN n ON n.i = p.i + 1)
+        SELECT owner, tokens, shard_id FROM p""",
+    "canonical_fingerprint": "WITH h AS (SELECT sha256(to_json({n_name: n_name, n_nationkey: n_nationkey, n_regionkey: n_regionkey})::VARCHAR) AS h FROM nation), p AS (SELECT substr(h, 1, 2) AS p, count(*) AS n, " + ", ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT) AS s{i}" for i in range(8)) + " FROM h GROUP BY 1) SELECT sum(n)::BIGINT AS n, sha256(array_to_string(list_sort(array_agg(concat_ws(':', p, n, " + ", ".join(f"s{i}" for i in range(8)) + "))), ',')) AS fingerprint FROM p",
+    "inventory_closure_rules": _values([("UNKNOWN_REFERENCED_TABLE", "fk3"), ("UNKNOWN_CONSTRAINT_COLUMN", "fk2.o_nokey"), ("UNKNOWN_REFERENCED_COLUMN", "fk3.k"), ("FOREIGN_KEY_ARITY", "fk4"), ("INDEX_ORDINALS", "i2")], "rule, subject"),
+    "paths_reverse_bridge": _values([(p.split(">")[0], p.split(">")[-1], p, p.count(">"), c) for p, c in examples.BRIDGED], "src, tgt, path, path_length, confidence"),
+    "sql_relationships": _values(examples.RELATIONSHIPS, "src_key, tgt_key, relation_type, subtype, confidence, n_evidence, observations"),
+    "sql_lineage": _values(examples.LINEAGE, "flow, transform, sources, target, confidence, observations, ordinal"),
+    "sql_naming": _values([(f"naming:{s}->{t}:{r}", s, t, r, "SOURCE_TO_TARGET") for s, t, r in examples.NAMING], "id, src_key, tgt_key, rule, direction_hint"),
+    "ddl_facts": _values(examples.DDL, "event, name, key, other, position, size, detail"),
+    "sql_pair_cases": _values([(name, *p) for name, _, ps in examples.PAIR_CASES for p in ps], "name, src_key, tgt_key, evidence_type"),
+    "sql_lineage_cases": _values([(name, *f) for name, _, fs in examples.LINEAGE_CASES for f in fs], "name, flow, transform, sources, target"),
+    "sql_part_relationships": "WITH p AS (SELECT 'fact' || (p_partkey % 40) || '.dim' || (p_size % 12) || '_id' AS src_key, 'dim' || (p_size % 12) || '.id' AS tgt_key, count(*) AS n FROM part GROUP BY 1, 2) SELECT src_key, tgt_key, 'FK_LIKE' AS relation_type, 'INFERRED_JOIN_FK' AS subtype, round((1 - 0.45 * 0.82 * 0.8 * (CASE WHEN n > 1 THEN 1 - round(0.1 - 0.1 / n, 10) ELSE 1 END))::DECIMAL(18,12), 4)::DOUBLE AS confidence, n + 2 AS observations FROM p",
+    "script_framing": _values(examples.FRAMES, "source_name, ordinal, sql, source_type, object_type, object_name, start_line, end_line, trigger_function, error"),
+    "customer_scripts": "SELECT c_mktsegment AS source_name, source_type, a AS start_line, b AS end_line, count(*) AS n, count(DISTINCT CASE source_type WHEN 'DDL_FILE' THEN 't' || c_custkey WHEN 'PROCEDURE' THEN 'p' || c_custkey END) AS names FROM customer CROSS JOIN (VALUES ('DDL_FILE', 1, 2), ('PROCEDURE', 4, 7), ('PLAIN_SQL', 9, 9), ('PLAIN_SQL', 9, 9)) v(source_type, a, b) GROUP BY 1, 2, 3, 4",
+    "log_statements": "WITH e AS (SELECT event_id % 5 AS k, 'u' || (user_id % 40) AS u, 'v' || (event_id % 30) AS v FROM events), s AS (SELECT CASE k WHEN 0 THEN 'SELECT a.id FROM ' || u || ' a JOIN ' || v || ' b ON b.id = a.v_id' WHEN 2 THEN 'SELECT * FROM ' || u || ' WHERE id = 3' ELSE 'UPDATE ' || u || ' SET n = 1 WHERE k IN (SELECT b.k FROM ' || v || ' b)' END AS sql, CASE WHEN k = 2 THEN u ELSE u || ',' || v END AS tables, CASE WHEN k = 2 THEN 0 ELSE 1 END AS pairs FROM e WHERE k IN (0, 2, 4)) SELECT sql, tables, count(*) AS n, sum(pairs)::BIGINT AS pairs FROM s GROUP BY 1, 2",
     "reference_closure": "SELECT o_custkey AS ref, o_orderkey AS holder FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 7)",
     "stable_id_sha256": "SELECT c_custkey, 'customer:' || sha256(strlen(c_name) || ':' || c_name || ';' || strlen(c_mktsegment) || ':' || c_mktsegment || ';' || CASE WHEN c_nationkey > 3 THEN strlen(c_nationkey::VARCHAR) || ':' || c_nationkey || ';' ELSE '-1:;' END) AS id FROM customer",
     "token_estimate": "SELECT event_id, ceil((ceil(a / 4) + n + 64) * 1.15)::BIGINT AS tokens FROM (SELECT event_id, length(regexp_replace(props || 'é' || event_type, '[^\\x00-\\x7F]', '', 'g')) AS a, length(regexp_replace(props || 'é' || event_type, '[\\x00-\\x7F]', '', 'g')) AS n FROM events)",

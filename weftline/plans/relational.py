@@ -43,7 +43,7 @@ SHAPES: dict[str, str | tuple[str, str]] = {
     "set_union_all": "SELECT c_nationkey AS k FROM {customer} UNION ALL SELECT s_nationkey FROM {supplier}",
     "set_union": "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}",
     "set_intersect": "SELECT l_partkey AS k FROM {lineitem} WHERE l_quantity > 45 INTERSECT SELECT p_partkey FROM {part} WHERE p_size > 25",
-    "set_except": "SELECT p_partkey AS k FROM {part} EXCEPT SELECT l_partkey FROM {lineitem} WHERE l_returnflag = 'R'",
+    "set_except": "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders} WHERE o_orderstatus = 'F'",
     "set_except_all": "SELECT l_suppkey AS k FROM {lineitem} EXCEPT ALL SELECT s_suppkey FROM {supplier}",
     "agg_basic": "SELECT l_returnflag, l_linestatus, count(*) AS n, " + money("l_quantity") + " AS quantity, " + money("l_extendedprice") + " AS price, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship FROM {lineitem} GROUP BY l_returnflag, l_linestatus",
     "agg_count_distinct": "SELECT l_suppkey, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_orderkey) AS orders FROM {lineitem} GROUP BY l_suppkey",
@@ -70,7 +70,7 @@ SHAPES: dict[str, str | tuple[str, str]] = {
     "topk_limit": "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "fetch_first": ("SELECT p_partkey FROM {part} ORDER BY p_retailprice DESC, p_partkey LIMIT 10", "SELECT p_partkey FROM {part} ORDER BY p_retailprice DESC, p_partkey FETCH FIRST 10 ROWS ONLY"),
     "case_when": "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END AS band FROM {customer}",
-    "like_between": "SELECT p_partkey FROM {part} WHERE p_type LIKE '%STEEL%' AND p_size BETWEEN 5 AND 15",
+    "like_between": "SELECT p_partkey FROM {part} WHERE p_type LIKE '%O_O%' AND p_size BETWEEN 5 AND 15",
     "null_fns": "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS segment, round(abs(c_acctbal), 1) AS size FROM {customer}",
     "greatest_least": "SELECT l_orderkey, l_linenumber, greatest(l_discount, l_tax) AS most, least(l_discount, l_tax) AS fewest FROM {lineitem} WHERE l_linenumber = 1",
     "string_fns": "SELECT c_custkey, concat(c_name, '-', c_mktsegment) AS label, lpad(cast(c_custkey AS varchar(10)), 8, '0') AS padded, upper(substring(c_mktsegment, 1, 3)) AS short, replace(c_name, '#', ':') AS renamed, length(trim(c_name)) AS n FROM {customer}",
