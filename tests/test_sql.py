@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from weftline.operators import naming
 from weftline.plans import scan
 from weftline.plans.sqlfacts import analyse
 from weftline.sources import jdbc, logs, results, scripts
@@ -107,7 +108,9 @@ def test_scan_and_sinks(spark, tmp_path):
     assert back.count() == 1
     results.publish(out["relationships"], str(tmp_path / "pub"))
     results.publish(out["relationships"], str(tmp_path / "pub"))
-    assert spark.read.parquet(str(tmp_path / "pub")).count() == 1
+    assert results.published(spark, str(tmp_path / "pub")).count() == 1
+    results.publish_bundle({"a": out["relationships"], "b": out["lineage"]}, str(tmp_path / "two"))
+    assert results.published(spark, str(tmp_path / "two"), name="b").count() == 2
     doc = {"relationships": [{"src_key": "a.x", "tgt_key": "b.y", "relation_type": "FK_LIKE", "subtype": "S", "confidence": 0.5}], "lineage": [], "naming": []}
     (tmp_path / "r.json").write_text(json.dumps(doc, indent=1))
     assert results.read_scan_result(spark, str(tmp_path / "r.json"))["relationships"].first()["tgt_key"] == "b.y"
@@ -116,6 +119,60 @@ def test_scan_and_sinks(spark, tmp_path):
     assert results.text_table(out["relationships"], {"src_key": 20, "tgt_key": 10}).first()[0].startswith("sales.shop_id        | shops.id")
 
 
+def statements(spark, *sqls, name="s"):
+    return spark.createDataFrame([(name, i, q, "PLAIN_SQL") for i, q in enumerate(sqls)], "source_name string, ordinal int, sql string, source_type string")
+
+
+def test_scan_bridges_temporary_tables(spark):
+    rows = statements(
+        spark, "CREATE TEMPORARY TABLE tmp AS SELECT o.id AS oid, o.user_id, upper(o.code) AS c FROM orders o", "SELECT 1 FROM tmp t JOIN users u ON u.id = t.user_id", "SELECT 1 FROM tmp t JOIN codes k ON k.code = t.c",
+        "CREATE TEMP TABLE again AS SELECT t.user_id AS uid FROM tmp t", "SELECT 1 FROM again a JOIN staff s ON s.id = a.uid", "INSERT INTO users (n) SELECT t.oid FROM tmp t",
+    )
+    out = scan.scan_statements(rows, scan.Config(dialect="postgres"))
+    assert {(r["src_key"], r["tgt_key"]) for r in out["relationships"].collect()} == {("orders.user_id", "users.id"), ("orders.user_id", "staff.id")}
+    assert {r["target"] for r in out["lineage"].collect()} == {"users.n"}
+    hashed = statements(spark, "SELECT o.id AS oid INTO #t FROM orders o", "SELECT 1 FROM #t t JOIN lines l ON l.order_id = t.oid")
+    assert {(r["src_key"], r["tgt_key"]) for r in scan.scan_statements(hashed, scan.Config(dialect="sqlserver"))["relationships"].collect()} == {("lines.order_id", "orders.id")}
+
+
+def test_scan_with_catalog(spark):
+    tables = {
+        "users": spark.range(100).selectExpr("id", "cast(id as string) name"), "orders": spark.range(400).selectExpr("id", "id % 100 AS user_id", "id + 50 AS far_id", "id % 30 AS shop_id"),
+        "shops": spark.range(30).selectExpr("id"), "far": spark.range(100).selectExpr("id"),
+    }
+    rows = statements(
+        spark, "CREATE TABLE users (id BIGINT PRIMARY KEY)", "SELECT 1 FROM orders o JOIN users u ON u.id = o.user_id WHERE o.kind = 'a'", "SELECT 1 FROM orders o JOIN far f ON f.id = o.far_id AND o.kind = 'x'",
+        "INSERT INTO orders (id) SELECT u.id FROM users u", "INSERT INTO elsewhere (id) SELECT u.id FROM users u",
+    )
+    rule = naming.UserRule("far", naming.Matcher(column_value="far_id"), naming.Matcher(key="far.id"))
+    out = scan.scan_statements(rows, scan.Config(user_rules=(rule,)), tables=tables)
+    kinds = {}
+    for r in out["evidence"].collect():
+        kinds.setdefault((r["src_key"], r["tgt_key"]), set()).add(r["evidence_type"])
+    assert kinds["orders.user_id", "users.id"] == {"SQL_LOG_JOIN", "NAMING_MATCH", "COLUMN_TYPE_COMPATIBLE", "TARGET_UNIQUE", "VALUE_CONTAINMENT_HIGH"}
+    assert "VALUE_CONTAINMENT_HIGH" not in kinds["orders.far_id", "far.id"] and "NAMING_MATCH" in kinds["orders.far_id", "far.id"]
+    assert kinds["orders.shop_id", "shops.id"] == {"VALUE_CONTAINMENT_HIGH"}  # only its name suggests it
+    got = {(r["src_key"], r["tgt_key"]): (r["conditional"], r["subtype"]) for r in out["relationships"].collect()}
+    assert got["orders.far_id", "far.id"][0] and not got["orders.shop_id", "shops.id"][0] and got["orders.shop_id", "shops.id"][1] == "PROFILE_SUPPORTED_FK"
+    assert {r["target"] for r in out["lineage"].collect()} == {"orders.id"}
+    assert {"USER_CONFIGURED:far", "TABLE_ID"} <= {r["rule"] for r in out["naming"].collect()}
+    assert "derived_naming" not in out and out["derived_naming"].count() >= 0 and "derived_naming" in out
+    few = scan.scan_statements(rows, scan.Config(most_derived=1), tables=tables)
+    assert sum(few[n].count() for n in few.DERIVED) <= 1
+
+
+def test_logs_by_dialect(spark, tmp_path):
+    (tmp_path / "x.sql").write_text("CREATE TABLE a (id INT PRIMARY KEY);")
+    (tmp_path / "pg.log").write_text("2024 [1] LOG:  statement: SELECT 1\n\tFROM b\n\tJOIN a ON a.id = b.a_id;\n2024 [1] LOG:  duration: 3 ms\n2024 [1] LOG:  execute q: SELECT 1 FROM c JOIN a ON a.id = c.a_id\n")
+    (tmp_path / "ms.log").write_text("SELECT 1 FROM b JOIN a ON a.id = b.a_id\nGO\nSELECT 1 FROM c JOIN a ON a.id = c.a_id\nGO\n")
+    (tmp_path / "ora.log").write_text("SELECT 1 FROM b JOIN a ON a.id = b.a_id;\nSELECT 1 FROM c JOIN a ON a.id = c.a_id;\n")
+    (tmp_path / "slow.log").write_text("# Time: x\nSELECT 1 FROM b JOIN a\nON a.id = b.a_id;\n# Time: z\nSELECT 1 FROM c JOIN a ON a.id = c.a_id;\n")
+    for dialect, name in (("postgres", "pg"), ("sqlserver", "ms"), ("oracle", "ora"), ("mysql", "slow")):
+        where = {"slow_logs" if name == "slow" else "logs": (str(tmp_path / f"{name}.log"),)}
+        out = scan.scan(spark, scan.Config(scripts=(str(tmp_path / "x.sql"),), dialect=dialect, **where))
+        assert {(r["src_key"], r["tgt_key"]) for r in out["relationships"].collect()} == {("b.a_id", "a.id"), ("c.a_id", "a.id")}, dialect
+
+
 def test_batch_reports_failures(spark, tmp_path):
     out = scan.batch(spark, {"bad": scan.Config(scripts=(str(tmp_path),), pattern="*.none")}, fail_fast=False)
     assert isinstance(out["bad"], FileNotFoundError)

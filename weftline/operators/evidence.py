@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.scoring import SQL_LIKE, noisy_or, repeat_score, subtype_rank
 
@@ -21,14 +22,15 @@ def exact_fold(evidence: DataFrame, key: tuple[str, ...] = OBSERVATION) -> DataF
 def summaries(evidence: DataFrame, samples: int = 5, keys: tuple[str, ...] = ("src_key", "tgt_key"), attributes: tuple[str, ...] = ()) -> DataFrame:
     """One row for each (keys, evidence_type, source_type, source, score): observation count, first and last detail by ordinal, up to `samples` details, whether there are more, and the attributes on which all observations agree.
 
-    The samples are the first ones: each is kept with a rank inside the group, so a group's rows are never gathered whole.
+    The samples are the first ones by ordinal: rows are ranked inside their group, and only the first `samples` of each are collected, so a group's rows are never gathered whole.
     """
     group = [*keys, "evidence_type", "source_type", "source", "score"]
     folded = exact_fold(evidence.select(*group, "detail", "ordinal", *attributes, *([F.col("occurrences")] if "occurrences" in evidence.columns else [])), tuple(group) + ("detail",) + attributes)
+    folded = folded.withColumn("__i", F.row_number().over(W.partitionBy(*group).orderBy("ordinal", "detail")))
     agree = [F.when((F.min(a) == F.max(a)) & (F.count(a) == F.count("*")), F.min(a)).alias(a) for a in attributes]
     main = folded.groupBy(*group).agg(
         F.sum("occurrences").alias("observations"), F.min_by("detail", "ordinal").alias("first_detail"), F.max_by("detail", "ordinal").alias("last_detail"),
-        F.count("*").alias("__n"), F.slice(F.array_sort(F.collect_list(F.struct("ordinal", "detail"))), 1, samples).alias("__s"), *agree,
+        F.count("*").alias("__n"), F.array_sort(F.collect_list(F.when(F.col("__i") <= samples, F.struct("ordinal", "detail")))).alias("__s"), *agree,
     )
     return main.withColumn("samples", F.transform("__s", lambda s: s["detail"])).withColumn("truncated", F.col("__n") > samples).drop("__n", "__s")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.scoring import lineage_score, transform_rank
 
@@ -44,8 +45,14 @@ def dominant(lineage: DataFrame) -> DataFrame:
 
 
 def bridged(uses: DataFrame, declared: DataFrame) -> DataFrame:
-    """As-of join of local rowsets: a use (stmt, name, line, ...) meets the latest declaration (name, line, source) at or before its line; declarations of equal line that disagree, and blocked ones (source null), give nothing."""
+    """As-of join of local rowsets: a use (name, line, ...) meets the latest declaration (name, line, source) at or before its line; declarations of equal line that disagree, and blocked ones (source null), give nothing.
+
+    Both sides are laid in one order by name and line, and each use takes what was last declared: linear, without pairing a use with the declarations before.
+    """
     d = declared.groupBy("name", F.col("line").alias("decl_line")).agg(F.when(F.countDistinct("source") + F.max(F.col("source").isNull().cast("int")) == 1, F.max("source")).alias("source"))
-    met = uses.withColumn("__id", F.monotonically_increasing_id()).join(d, "name").filter("decl_line <= line")
-    best = met.groupBy("__id", *uses.columns).agg(F.max_by("source", "decl_line").alias("source"), F.max("decl_line").alias("decl_line"))
-    return best.filter("source IS NOT NULL").drop("__id")
+    own = [c for c in uses.columns if c not in ("name", "line")]
+    rows = uses.select("name", "line", F.struct(*own, F.lit(True).alias("__use")).alias("u"), F.lit(None).cast("struct<source:string,decl_line:bigint>").alias("d"))
+    decl = d.select("name", F.col("decl_line").alias("line"), F.lit(None).cast(rows.schema["u"].dataType).alias("u"), F.struct("source", F.col("decl_line").cast("bigint").alias("decl_line")).alias("d"))
+    order = W.partitionBy("name").orderBy("line", F.col("u").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    met = rows.unionByName(decl).withColumn("d", F.last("d", ignorenulls=True).over(order)).filter("u IS NOT NULL AND d.source IS NOT NULL")
+    return met.select("name", "line", *[F.col(f"u.`{c}`").alias(c) for c in own], F.col("d.source").alias("source"), F.col("d.decl_line").cast(dict(declared.dtypes)["line"]).alias("decl_line"))

@@ -11,6 +11,8 @@ from pyspark.sql.window import Window as W
 from ..functions.scoring import singular
 
 RULES = ("TABLE_ID", "ID_SUFFIX_TO_ID", "SELF_ROLE_ID", "USER_CONFIGURED")
+#: Parts of a rule's sources that meet its targets on their own.
+SALT = 32
 OUT = ["src_key", "tgt_key", "rule", "direction_hint"]
 
 
@@ -79,14 +81,21 @@ def _matching(columns: DataFrame, m: Matcher, prefix: str) -> DataFrame:
 
 
 def user_rules(columns: DataFrame, rules: list[UserRule]) -> DataFrame:
-    """Every user rule's matches between different tables. Where both sides match by column suffix, the rest of the names (without a one-letter prefix) must agree, so the join has a key; other rules name one of the two sides exactly."""
+    """Every user rule's matches between different tables. Where both sides match by column suffix, the rest of the names (without a one-letter prefix) must agree, so the join has a key. A side that names one
+    key is a constant, and needs no join. Other rules pair all matches of both sides, as they ask for: the smaller side's (a catalog's columns that one rule names) is spread, the other is split over tasks."""
     out = None
     for r in rules:
-        a, b = _matching(columns, r.source, "src"), _matching(columns, r.target, "tgt")
-        if r.source.column == "suffix" and r.target.column == "suffix":
-            hit = a.join(b, "stem")
+        if r.target.key or r.source.key:
+            fixed, other, at, to = (r.target.key, r.source, "tgt", "src") if r.target.key else (r.source.key, r.target, "src", "tgt")
+            known = columns.filter(F.col("key") == fixed).select("key").distinct()
+            hit = _matching(columns, other, to).withColumn(f"{at}_key", F.lit(fixed)).withColumn(f"{at}_table", F.lit(fixed.rpartition(".")[0])).join(known.select(F.col("key").alias(f"{at}_key")), f"{at}_key", "left_semi")
         else:
-            hit = a.drop("stem").withColumn("__one", F.lit(1)).join(F.broadcast(b.drop("stem").withColumn("__one", F.lit(1)).limit(1000)) if r.target.key else b.drop("stem").withColumn("__one", F.lit(1)), "__one")
+            a, b = _matching(columns, r.source, "src"), _matching(columns, r.target, "tgt")
+            if r.source.column == "suffix" and r.target.column == "suffix":
+                hit = a.join(b, "stem")
+            else:
+                salt = F.pmod(F.xxhash64("src_key"), F.lit(SALT)).cast("int")
+                hit = a.drop("stem").withColumn("__salt", salt).join(b.drop("stem").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), "__salt")
         one = hit.filter("src_table <> tgt_table").select("src_key", "tgt_key", F.lit(f"USER_CONFIGURED:{r.name}").alias("rule"), F.lit("SOURCE_TO_TARGET").alias("direction_hint"))
         out = one if out is None else out.unionByName(one)
     return out.distinct()

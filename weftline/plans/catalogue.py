@@ -421,6 +421,43 @@ def sql_part_relationships(spark: SparkSession, d: str) -> DataFrame:
     return out.select("src_key", "tgt_key", "relation_type", "subtype", F.col("confidence").cast("double").alias("confidence"), "observations")
 
 
+def _order_statements(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(examples.ORDER_STATEMENTS, "source_name string, ordinal int, sql string, source_type string")
+
+
+def _order_scan(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Statements over the folder's tables, with these tables as the catalog: enhanced, bridged over a temporary table, profiled on the data."""
+    M = naming.Matcher
+    rule = naming.UserRule("custkey", M(column="suffix", column_value="_custkey"), M(key="customer.c_custkey"))
+    return scan.scan_statements(_order_statements(spark), scan.Config(dialect="postgres", user_rules=(rule,)), tables={t: _t(spark, d, t) for t in TABLES})
+
+
+def scan_catalog_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return _order_scan(spark, d)["evidence"].select("src_key", "tgt_key", "evidence_type", F.col("score").cast("double").alias("score")).distinct()
+
+
+def scan_catalog_relationships(spark: SparkSession, d: str) -> DataFrame:
+    return _order_scan(spark, d)["relationships"].select("src_key", "tgt_key", "relation_type", "subtype", F.col("confidence").cast("double").alias("confidence"), "conditional", "polymorphic")
+
+
+def scan_catalog_lineage(spark: SparkSession, d: str) -> DataFrame:
+    return _order_scan(spark, d)["lineage"].select("flow", "transform", F.array_join("sources", ",").alias("sources"), "target")
+
+
+def derived_naming(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of naming matches: each nation's table is named by the next one's column."""
+    n = _t(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey", F.lit(".id")).alias("src"), F.concat(F.lit("n"), F.col("n_nationkey") + 1, F.lit(".id")).alias("tgt"))
+    edges = n.withColumn("kind", F.lit("NAMING")).withColumn("confidence", F.lit("0.2000").cast("decimal(5,4)")).withColumn("support", F.lit(1))
+    return graph.paths(edges, naming_graph=True, checkpoint=checkpoint).select("src", "tgt", F.array_join("path", ">").alias("path"), F.col("confidence").cast("double").alias("confidence"))
+
+
+def fact_budget(spark: SparkSession, d: str) -> DataFrame:
+    """The 40 facts of a budget over derived relationships, lineage and naming."""
+    one = lambda t, k, v, name: _t(spark, d, t).select(F.concat(F.lit(name), F.col(k)).alias("src"), F.lit("t").alias("tgt"), F.array(F.lit(name)).alias("path"), (F.col(v) % 7 / 10).alias("confidence"), F.lit(name).alias("kind"))
+    made = graph.fact_budget(one("region", "r_regionkey", "r_regionkey", "r"), one("nation", "n_nationkey", "n_regionkey", "n"), one("supplier", "s_suppkey", "s_nationkey", "s"), 40)
+    return made[0].unionByName(made[1]).unionByName(made[2]).select("kind", "src", F.round("confidence", 2).alias("confidence"))
+
+
 def script_framing(spark: SparkSession, d: str) -> DataFrame:
     return scripts.framed(spark.createDataFrame(examples.SCRIPTS, "source_name string, text string"), "mysql")
 
@@ -456,7 +493,7 @@ QUERIES = relational.QUERIES | _q(
     "min_confidence_sort", "direction_unique_flip", "fold_cooccurrence", "subtype_precedence", "conditional_polymorphic", "unique_columns", "type_compatible_pairs", "naming_stem_join", "naming_user_rules", "inventory_merge_full_outer",
     "inventory_closure_anti", "inventory_closure_rules", "edges_aggregate", "paths_bounded", "path_confidence_decay", "support_combinations", "paths_per_pair_limit", "paths_reverse_bridge", "connected_components", "lineage_merge",
     "lineage_dominant_transform", "event_group", "event_association", "reference_closure", "triplets", "kg_nodes", "kg_edges", "kg_closure", "stable_id_sha256", "token_estimate", "shard_greedy_pack", "input_windows", "asof_local_rowset",
-    "canonical_fingerprint", "sql_relationships", "sql_lineage", "sql_naming", "ddl_facts", "sql_pair_cases", "sql_lineage_cases", "sql_part_relationships", "script_framing", "customer_scripts", "log_statements",
+    "canonical_fingerprint", "sql_relationships", "sql_lineage", "sql_naming", "ddl_facts", "sql_pair_cases", "sql_lineage_cases", "sql_part_relationships", "scan_catalog_evidence", "scan_catalog_relationships", "scan_catalog_lineage", "derived_naming", "fact_budget", "script_framing", "customer_scripts", "log_statements",
 )
 
 _RANK = "CASE p WHEN 0 THEN 'DECLARED' WHEN 1 THEN 'SQL_PREDICATE' WHEN 2 THEN 'NAMING' ELSE 'CO_OCCURRENCE' END"
@@ -471,6 +508,15 @@ def _values(rows, columns: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) v({columns})"
 
 
+#: The evidence of ORDER_STATEMENTS: what the statements show, names suggest, types allow, and the data says.
+_ORDER = """WITH c AS (SELECT * FROM (VALUES ('orders.o_custkey', 'customer.c_custkey', (SELECT count(DISTINCT o_custkey) FROM orders), (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)), (SELECT count(DISTINCT c_custkey) FROM customer)),
+    ('customer.c_nationkey', 'nation.n_nationkey', (SELECT count(DISTINCT c_nationkey) FROM customer), (SELECT count(DISTINCT c_nationkey) FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation)), (SELECT count(DISTINCT n_nationkey) FROM nation)),
+    ('lineitem.l_orderkey', 'orders.o_orderkey', (SELECT count(DISTINCT l_orderkey) FROM lineitem), (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)), (SELECT count(DISTINCT o_orderkey) FROM orders))) v(src_key, tgt_key, s, m, t)),
+  d AS (SELECT *, CASE WHEN s >= 20 AND m / s >= 0.98 THEN 'VALUE_CONTAINMENT_HIGH' WHEN s >= 20 AND m / least(s, t) >= 0.8 THEN 'VALUE_OVERLAP_HIGH' END AS kind FROM c),
+  found AS (SELECT src_key, tgt_key, kind AS evidence_type, CASE kind WHEN 'VALUE_CONTAINMENT_HIGH' THEN 0.3 ELSE 0.2 END::DOUBLE AS score FROM d WHERE kind IS NOT NULL
+    UNION ALL SELECT src_key, tgt_key, k, v::DOUBLE FROM c CROSS JOIN (VALUES ('COLUMN_TYPE_COMPATIBLE', 0.08), ('TARGET_UNIQUE', 0.18)) e(k, v)
+    UNION ALL SELECT * FROM (VALUES ('orders.o_custkey', 'customer.c_custkey', 'SQL_LOG_JOIN', 0.55), ('orders.o_custkey', 'customer.c_custkey', 'NAMING_MATCH', 0.2), ('customer.c_nationkey', 'nation.n_nationkey', 'SQL_LOG_JOIN', 0.55), ('lineitem.l_orderkey', 'orders.o_orderkey', 'SQL_LOG_SUBQUERY_IN', 0.58)) w(a, b, k, v))
+"""
 _KG = _LIN + f", {_FACTS}, cols AS (SELECT DISTINCT k FROM (SELECT src_key AS k FROM facts UNION ALL SELECT tgt_key FROM facts UNION ALL SELECT unnest(sources) FROM lin UNION ALL SELECT target FROM lin))"
 ORACLES = relational.ORACLES | {
     "ind_metrics": f"WITH m AS ({_METRICS}) SELECT *, greatest(source_distinct - matched, 0) AS missing FROM m",
@@ -520,13 +566,18 @@ ORACLES = relational.ORACLES | {
     "canonical_fingerprint": "WITH h AS (SELECT sha256(to_json({n_name: n_name, n_nationkey: n_nationkey, n_regionkey: n_regionkey})::VARCHAR) AS h FROM nation), p AS (SELECT substr(h, 1, 2) AS p, count(*) AS n, " + ", ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT) AS s{i}" for i in range(8)) + " FROM h GROUP BY 1) SELECT sum(n)::BIGINT AS n, sha256(array_to_string(list_sort(array_agg(concat_ws(':', p, n, " + ", ".join(f"s{i}" for i in range(8)) + "))), ',')) AS fingerprint FROM p",
     "inventory_closure_rules": _values([("UNKNOWN_REFERENCED_TABLE", "fk3"), ("UNKNOWN_CONSTRAINT_COLUMN", "fk2.o_nokey"), ("UNKNOWN_REFERENCED_COLUMN", "fk3.k"), ("FOREIGN_KEY_ARITY", "fk4"), ("INDEX_ORDINALS", "i2")], "rule, subject"),
     "paths_reverse_bridge": _values([(p.split(">")[0], p.split(">")[-1], p, p.count(">"), c) for p, c in examples.BRIDGED], "src, tgt, path, path_length, confidence"),
-    "sql_relationships": _values(examples.RELATIONSHIPS, "src_key, tgt_key, relation_type, subtype, confidence, n_evidence, observations"),
+    "sql_relationships": _values([(*r, False, False) for r in examples.RELATIONSHIPS], "src_key, tgt_key, relation_type, subtype, confidence, n_evidence, observations, conditional, polymorphic"),
     "sql_lineage": _values(examples.LINEAGE, "flow, transform, sources, target, confidence, observations, ordinal"),
     "sql_naming": _values([(f"naming:{s}->{t}:{r}", s, t, r, "SOURCE_TO_TARGET") for s, t, r in examples.NAMING], "id, src_key, tgt_key, rule, direction_hint"),
     "ddl_facts": _values(examples.DDL, "event, name, key, other, position, size, detail"),
     "sql_pair_cases": _values([(name, *p) for name, _, ps in examples.PAIR_CASES for p in ps], "name, src_key, tgt_key, evidence_type"),
     "sql_lineage_cases": _values([(name, *f) for name, _, fs in examples.LINEAGE_CASES for f in fs], "name, flow, transform, sources, target"),
     "sql_part_relationships": "WITH p AS (SELECT 'fact' || (p_partkey % 40) || '.dim' || (p_size % 12) || '_id' AS src_key, 'dim' || (p_size % 12) || '.id' AS tgt_key, count(*) AS n FROM part GROUP BY 1, 2) SELECT src_key, tgt_key, 'FK_LIKE' AS relation_type, 'INFERRED_JOIN_FK' AS subtype, round((1 - 0.45 * 0.82 * 0.8 * (CASE WHEN n > 1 THEN 1 - round(0.1 - 0.1 / n, 10) ELSE 1 END))::DECIMAL(18,12), 4)::DOUBLE AS confidence, n + 2 AS observations FROM p",
+    "scan_catalog_evidence": _ORDER + "SELECT src_key, tgt_key, evidence_type, score FROM found",
+    "scan_catalog_relationships": _ORDER + ", p AS (SELECT src_key, tgt_key, coalesce(product(1 - score) FILTER (WHERE score > 0), 1) AS miss, coalesce(product(1 + score) FILTER (WHERE score < 0), 1) AS damp, bool_or(evidence_type = 'SQL_LOG_JOIN') AS j, bool_or(evidence_type = 'SQL_LOG_SUBQUERY_IN') AS q FROM found GROUP BY 1, 2), z AS (SELECT *, round(((1 - miss) * damp)::DECIMAL(18,12), 4)::DOUBLE AS confidence FROM p) SELECT src_key, tgt_key, 'FK_LIKE' AS relation_type, CASE WHEN j THEN 'INFERRED_JOIN_FK' WHEN q THEN 'INFERRED_SUBQUERY_FK' ELSE 'PROFILE_SUPPORTED_FK' END AS subtype, confidence, src_key = 'customer.c_nationkey' AS conditional, false AS polymorphic FROM z WHERE confidence >= 0.3",
+    "scan_catalog_lineage": _values([("VALUE", "DIRECT", "staged.s_custkey", "customer.c_custkey"), ("VALUE", "AGGREGATE", "orders.o_totalprice", "customer.c_acctbal")], "flow, transform, sources, target"),
+    "derived_naming": "WITH RECURSIVE e AS (SELECT n_nationkey AS a FROM nation), p AS (SELECT a AS src, a + 1 AS tgt, 'n' || a || '.id>n' || (a + 1) || '.id' AS path, 1 AS hops FROM e UNION ALL SELECT src, tgt + 1, path || '>n' || (tgt + 1) || '.id', hops + 1 FROM p JOIN e ON e.a = p.tgt WHERE hops < 5 AND 0.2 * pow(0.75, hops) >= 0.1) SELECT 'n' || src || '.id' AS src, 'n' || tgt || '.id' AS tgt, path, round((0.2 * pow(0.75, hops - 1))::DECIMAL(18,12), 4)::DOUBLE AS confidence FROM p WHERE hops >= 2",
+    "fact_budget": "WITH f AS (SELECT 1 AS o, 'r' AS kind, 'r' || r_regionkey AS src, r_regionkey % 7 / 10 AS confidence FROM region UNION ALL SELECT 2, 'n', 'n' || n_nationkey, n_regionkey % 7 / 10 FROM nation UNION ALL SELECT 3, 's', 's' || s_suppkey, s_nationkey % 7 / 10 FROM supplier) SELECT kind, src, round(confidence, 2)::DOUBLE AS confidence FROM f ORDER BY o, confidence DESC, src LIMIT 40",
     "script_framing": _values(examples.FRAMES, "source_name, ordinal, sql, source_type, object_type, object_name, start_line, end_line, trigger_function, error"),
     "customer_scripts": "SELECT c_mktsegment AS source_name, source_type, a AS start_line, b AS end_line, count(*) AS n, count(DISTINCT CASE source_type WHEN 'DDL_FILE' THEN 't' || c_custkey WHEN 'PROCEDURE' THEN 'p' || c_custkey END) AS names FROM customer CROSS JOIN (VALUES ('DDL_FILE', 1, 2), ('PROCEDURE', 4, 7), ('PLAIN_SQL', 9, 9), ('PLAIN_SQL', 9, 9)) v(source_type, a, b) GROUP BY 1, 2, 3, 4",
     "log_statements": "WITH e AS (SELECT event_id % 5 AS k, 'u' || (user_id % 40) AS u, 'v' || (event_id % 30) AS v FROM events), s AS (SELECT CASE k WHEN 0 THEN 'SELECT a.id FROM ' || u || ' a JOIN ' || v || ' b ON b.id = a.v_id' WHEN 2 THEN 'SELECT * FROM ' || u || ' WHERE id = 3' ELSE 'UPDATE ' || u || ' SET n = 1 WHERE k IN (SELECT b.k FROM ' || v || ' b)' END AS sql, CASE WHEN k = 2 THEN u ELSE u || ',' || v END AS tables, CASE WHEN k = 2 THEN 0 ELSE 1 END AS pairs FROM e WHERE k IN (0, 2, 4)) SELECT sql, tables, count(*) AS n, sum(pairs)::BIGINT AS pairs FROM s GROUP BY 1, 2",

@@ -19,6 +19,14 @@ SCRIPTS = [
     ("a.sql", "-- tables\nCREATE TABLE t (id INT);\nINSERT INTO t VALUES (1);\nDELIMITER //\nCREATE PROCEDURE p()\nBEGIN\n  UPDATE t SET id = 2;\n  SELECT 'a;b//c';\nEND//\nDELIMITER ;\nSELECT 1;\n"),
     ("b.sql", "CREATE VIEW v AS SELECT id FROM t;\nSELECT ';' AS x -- no; end\n;\n"),
 ]
+#: Over the folder's tables: a join through a temporary table, one under a condition, a subquery; writes to known, unknown and temporary tables.
+ORDER_STATEMENTS = [
+    ("o.ddl", 0, "CREATE TABLE customer (c_custkey BIGINT PRIMARY KEY)", "DDL_FILE"), ("o.ddl", 1, "CREATE TABLE nation (n_nationkey INT PRIMARY KEY)", "DDL_FILE"), ("o.ddl", 2, "CREATE TABLE orders (o_orderkey BIGINT PRIMARY KEY)", "DDL_FILE"),
+    ("o.sql", 0, "CREATE TEMPORARY TABLE recent AS SELECT o.o_custkey AS k, o.o_totalprice * 2 AS twice FROM orders o", "PLAIN_SQL"), ("o.sql", 1, "SELECT 1 FROM recent r JOIN customer c ON c.c_custkey = r.k", "PLAIN_SQL"),
+    ("o.sql", 2, "SELECT 1 FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey AND c.c_mktsegment = 'BUILDING'", "PLAIN_SQL"), ("o.sql", 3, "SELECT 1 FROM lineitem l WHERE l.l_orderkey IN (SELECT o.o_orderkey FROM orders o)", "PLAIN_SQL"),
+    ("o.sql", 4, "INSERT INTO customer (c_custkey) SELECT s.s_custkey FROM staged s", "PLAIN_SQL"), ("o.sql", 5, "INSERT INTO elsewhere (k) SELECT c.c_custkey FROM customer c", "PLAIN_SQL"),
+    ("o.sql", 6, "INSERT INTO customer (c_acctbal) SELECT sum(o.o_totalprice) FROM orders o", "PLAIN_SQL"),
+]
 #: What the rules give for STATEMENTS, worked out by hand: confidence is 1 minus the product of 1 minus the scores, repeats included.
 RELATIONSHIPS = [
     ("sales.shop_id", "shops.id", "FK_LIKE", "DDL_DECLARED_FK", 0.972, 5, 5), ("shop_totals.shop_id", "shops.id", "FK_LIKE", "INFERRED_JOIN_FK", 0.8822, 5, 4), ("sales.clerk_id", "clerks.id", "FK_LIKE", "INFERRED_JOIN_FK", 0.7476, 5, 5),

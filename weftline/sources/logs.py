@@ -29,11 +29,17 @@ def mysql_slow(files: DataFrame) -> DataFrame:
 
 
 def postgres(rows: DataFrame) -> DataFrame:
-    """The text after `statement:` or `execute name:` of each line."""
-    sql = F.regexp_extract("line", r"(?:statement|execute\s+[^:]+):\s+(.*)$", 1)
+    """The text after `statement:` or `execute name:` of each line; `line` may hold the lines that belong to a statement, see postgres_entries()."""
+    sql = F.regexp_extract("line", r"(?s)(?:statement|execute\s+[^:]+):\s+(.*)$", 1)
     return rows.withColumn("sql", F.regexp_replace(F.trim(sql), r";\s*$", "")).filter("sql <> ''").select("source_name", "sql", F.lit("NATIVE_LOG").alias("source_type"))
 
 
+def postgres_entries(files: DataFrame) -> DataFrame:
+    """(source_name, line) of whole log files (source_name, text): an entry begins at a line with a severity after its prefix, and the lines up to the next such line, indented or not, belong to it."""
+    entry = r"(?m)\n(?=[^\n]*\b(?:LOG|ERROR|DETAIL|HINT|WARNING|STATEMENT|FATAL|NOTICE|CONTEXT):\s)"
+    return files.select("source_name", F.explode(F.split("text", entry)).alias("line"))
+
+
 def is_noise(sql: Column, tables: Column, schemas: tuple[str, ...] = SYSTEM_SCHEMAS, markers: tuple[str, ...] = MARKERS) -> Column:
     """All physical rowsets lie in system schemas; or there is none and a marker occurs."""
     system = F.forall(tables, lambda t: F.regexp_extract(t, r"(?:^|\.)([^.]+)\.[^.]+$", 1).isin(*schemas))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -34,31 +36,56 @@ def read_sections(spark: SparkSession, path: str, schemas: dict[str, StructType]
     return {name: spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path}/{name}") for name, schema in schemas.items()}
 
 
-def publish(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Written aside and renamed, so that readers see the old result or the new one, whole."""
-    spark = df.sparkSession
+def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
-    aside, target = jvm.org.apache.hadoop.fs.Path(f"{path}.__aside"), jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    df.write.mode("overwrite").format(fmt).save(f"{path}.__aside")
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(aside, target):
-        raise OSError(f"{path} couldn't be published")
+    return jvm.org.apache.hadoop.fs, jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _commit(spark: SparkSession, path: str, version: str) -> None:
+    """path/CURRENT names the version that readers take; it is replaced by one rename, which on a local or HDFS folder is atomic. Versions before the last are then removed."""
+    fs_, fs = _fs(spark, path)
+    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/__next")
+    part = next(f.getPath() for f in fs.listStatus(fs_.Path(f"{path}/__next")) if f.getPath().getName().startswith("part-"))
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs_.Path(path).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    option = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    old = current(spark, path)
+    options = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = option
+    context.rename(part, context.makeQualified(fs_.Path(f"{path}/CURRENT")), options)
+    fs.delete(fs_.Path(f"{path}/__next"), True)
+    for f in fs.listStatus(fs_.Path(path)):
+        if f.isDirectory() and f.getPath().getName() not in (version, old):
+            fs.delete(f.getPath(), True)
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The published version of path, if any."""
+    fs_, fs = _fs(spark, path)
+    if not fs.exists(fs_.Path(f"{path}/CURRENT")):
+        return None
+    return spark.read.text(f"{path}/CURRENT").first()[0]
+
+
+def publish(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Written to a folder of its own under path, to which path/CURRENT then points: readers (see published) see the old result or the new one, whole, and a failed write changes nothing."""
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.format(fmt).save(f"{path}/{version}")
+    _commit(df.sparkSession, path, version)
+
+
+def published(spark: SparkSession, path: str, fmt: str = "parquet", name: str = "") -> DataFrame:
+    """The published result; `name` is a result of a bundle."""
+    if (version := current(spark, path)) is None:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return spark.read.format(fmt).load(f"{path}/{version}/{name}".rstrip("/"))
 
 
 def publish_bundle(results: dict[str, DataFrame], path: str) -> None:
-    """Several results published together: all are written before any is renamed."""
+    """Several results published together, by one rename after all are written."""
+    version = f"v-{uuid.uuid4().hex}"
     for name, df in results.items():
-        df.write.mode("overwrite").parquet(f"{path}.__aside/{name}")
-    spark = next(iter(results.values())).sparkSession
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(f"{path}.__aside"), target):
-        raise OSError(f"{path} couldn't be published")
+        df.write.parquet(f"{path}/{version}/{name}")
+    _commit(next(iter(results.values())).sparkSession, path, version)
 
 
 def write_shards(bundle: DataFrame, path: str, shard_col: str = "shard_id") -> None:
@@ -82,7 +109,3 @@ def canonical_fingerprint(df: DataFrame, volatile: tuple[str, ...] = ("generated
     parts = df.select(row.alias("h")).groupBy(F.substring("h", 1, 2).alias("p")).agg(F.count("*").alias("n"), *[F.sum(number(1 + 8 * i)).alias(f"s{i}") for i in range(8)])
     line = F.concat_ws(":", "p", "n", *[F.col(f"s{i}").cast("string") for i in range(8)])
     return parts.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ","), 256).alias("fingerprint"))
-
-
-def json_field(column: Column) -> Column:
-    return F.to_json(column)
