@@ -103,6 +103,9 @@ def test_scan_and_sinks(spark, tmp_path):
     assert [(r["src_key"], r["tgt_key"], r["relation_type"], r["subtype"]) for r in rel] == [("sales.shop_id", "shops.id", "FK_LIKE", "INFERRED_JOIN_FK")]
     assert {(r["target"], *r["sources"]) for r in out["lineage"].collect()} == {("t.a", "sales.id"), ("u.b", "t.a")}
     assert [(r["src"], r["tgt"]) for r in out["derived_lineage"].collect()] == [("sales.id", "u.b")]
+    counts = results.write_document({k: out[k] for k in ("relationships", "lineage")}, str(tmp_path / "doc.json"))
+    doc = json.loads((tmp_path / "doc.json").read_text())
+    assert counts == doc["summary"] == {"relationships": 1, "lineage": 2} and doc["relationships"][0]["src_key"] == "sales.shop_id"
     results.write_scan_result({k: out[k] for k in ("relationships", "lineage")}, str(tmp_path / "out"))
     back = results.read_sections(spark, str(tmp_path / "out"), {"relationships": out["relationships"].schema})["relationships"]
     assert back.count() == 1

@@ -160,6 +160,37 @@ def pack(weights: DataFrame, target: int = TARGET_TOKENS, most: int = MOST_TOKEN
     return weights.select("component", "owner", "tokens").coalesce(1).mapInPandas(each, "owner string, tokens long, shard_id int")
 
 
+def planned(items: DataFrame, target: int = TARGET_TOKENS, most: int = MOST_TOKENS, shards: int = MOST_SHARDS, checkpoint=None) -> DataFrame:
+    """(owner, tokens, shard_id) of items (item_id, tables, payload): each item belongs to the first of its tables; tables that items touch together form a component, and components are packed in order."""
+    from .graph import components
+
+    own = owners(items)
+    stars = own.select("owner", F.explode("tables").alias("table")).distinct()
+    groups = components(stars, "owner", "table", checkpoint=checkpoint)
+    weights = own.groupBy("owner").agg(F.sum("tokens").cast("long").alias("tokens"))
+    return pack(weights.join(groups.withColumnRenamed("node", "owner"), "owner", "left").withColumn("component", F.coalesce("component", "owner")), target, most, shards)
+
+
+def evidence_graph(sections: dict[str, DataFrame]) -> DataFrame:
+    """(fact_id, fact_type, payload): the rows of all sections as typed facts; equal rows of a section are one fact, whose id depends on nothing but its content."""
+    out = None
+    for name, df in sections.items():
+        payload = F.to_json(F.struct(*sorted(df.columns)))
+        one = df.select(stable_id(name, payload).alias("fact_id"), F.lit(name).alias("fact_type"), payload.alias("payload")).distinct()
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def invalid_references(documents: DataFrame, facts: DataFrame, known: tuple[str, ...] = SECTIONS) -> DataFrame:
+    """(section, item_id, problem) of extracted items (section, item_id, refs): unknown sections, repeated ids, items without a reference, and references that no fact of the evidence has. Empty for a valid document."""
+    made = lambda df, problem: df.select("section", "item_id", F.lit(problem).alias("problem"))
+    refs = documents.select("section", "item_id", F.explode("refs").alias("fact_id"))
+    return (
+        made(documents.filter(~F.col("section").isin(*known)), "UNKNOWN_SECTION").unionByName(made(documents.groupBy("section", "item_id").count().filter("count > 1"), "REPEATED_ID"))
+        .unionByName(made(documents.filter(F.coalesce(F.size("refs"), F.lit(0)) < 1), "NO_REFERENCE")).unionByName(made(refs.join(facts.select("fact_id").distinct(), "fact_id", "left_anti"), "UNKNOWN_REFERENCE")).distinct()
+    )
+
+
 def owned_and_overlap(items: DataFrame, packed: DataFrame) -> DataFrame:
     """(item_id, shard_id, owned): an item is owned by its owner's shard, and an overlap in the other shards whose tables it touches."""
     own = items.join(packed.select("owner", "shard_id"), "owner").select("item_id", "shard_id", F.lit(True).alias("owned"))

@@ -9,7 +9,7 @@ from ..functions import scoring
 from ..operators import catalog, evidence, graph, lineage, naming, profile, semantic
 from ..session import checkpoint
 from ..sources import logs, results, scripts
-from . import examples, relational, scan
+from . import examples, profiles, relational, scan
 
 KEYS = {
     "orders": ["o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"], "customer": ["c_nationkey", "c_custkey"], "supplier": ["s_nationkey", "s_suppkey"],
@@ -458,6 +458,46 @@ def fact_budget(spark: SparkSession, d: str) -> DataFrame:
     return made[0].unionByName(made[1]).unionByName(made[2]).select("kind", "src", F.round("confidence", 2).alias("confidence"))
 
 
+def profile_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The grammar profile of a dialect and version."""
+    rows = [(a, b, p.id if p else None, why) for a, b, *_ in examples.VERSIONS for p, why in [profiles.select(a, b)]]
+    return spark.createDataFrame(rows, "dialect string, version string, profile string, reason string")
+
+
+def profile_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """Statements with a newer feature, read with an older profile."""
+    out = None
+    for i, (dialect, version, sql, _) in enumerate(examples.FEATURE_CASES):
+        one = scan.analysed(spark.createDataFrame([(sql,)], "sql string"), dialect, version=version).select(F.lit(i).alias("i"), "diagnostic")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def routine_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs and flows of routines of each dialect."""
+    read = scan.analysed(spark.createDataFrame([(name, 0, sql, "PROCEDURE") for name, sql, _ in examples.ROUTINE_CASES], "source_name string, ordinal int, sql string, source_type string"))
+    pairs = read.select(F.col("source_name").alias("name"), F.explode("pairs").alias("p")).select("name", F.lit("PAIR").alias("kind"), F.col("p.src_key").alias("src"), F.col("p.tgt_key").alias("tgt"))
+    flows = read.select(F.col("source_name").alias("name"), F.explode("lineage").alias("l")).filter("l.flow = 'VALUE'").select("name", F.lit("FLOW").alias("kind"), F.array_join("l.sources", ",").alias("src"), F.col("l.target").alias("tgt"))
+    return pairs.unionByName(flows).distinct()
+
+
+def owner_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Orders read as items that touch two tables each, planned into shards by component."""
+    a = F.col("o_custkey") % 40
+    items = _t(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"), F.array(F.concat(F.lit("t"), a), F.concat(F.lit("u"), a % 7)).alias("tables"), F.col("o_orderpriority").alias("payload"))
+    return semantic.planned(items, target=60_000, checkpoint=checkpoint)
+
+
+def evidence_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The facts of nations, customers' segments and parts' brands as an evidence graph, and what refers to none of them."""
+    n = _t(spark, d, "nation").select("n_nationkey", "n_name")
+    facts = semantic.evidence_graph({"tables": n, "columns": _t(spark, d, "customer").select("c_mktsegment", "c_nationkey"), "events": _t(spark, d, "part").select("p_brand")})
+    tables = facts.filter("fact_type = 'tables'").select(F.lit("triplets").alias("section"), "fact_id", F.get_json_object("payload", "$.n_nationkey").cast("int").alias("k"))
+    documents = tables.select("section", F.concat(F.lit("i"), F.col("k") % 20).alias("item_id"), F.when(F.col("k") % 6 > 0, F.array(F.when(F.col("k") % 5 == 0, F.lit("gone")).otherwise(F.col("fact_id")))).alias("refs"))
+    problems = semantic.invalid_references(documents, facts).groupBy(F.col("problem").alias("kind")).agg(F.count("*").alias("n"))
+    return facts.groupBy(F.col("fact_type").alias("kind")).agg(F.count("*").alias("n")).unionByName(problems)
+
+
 def script_framing(spark: SparkSession, d: str) -> DataFrame:
     return scripts.framed(spark.createDataFrame(examples.SCRIPTS, "source_name string, text string"), "mysql")
 
@@ -493,7 +533,7 @@ QUERIES = relational.QUERIES | _q(
     "min_confidence_sort", "direction_unique_flip", "fold_cooccurrence", "subtype_precedence", "conditional_polymorphic", "unique_columns", "type_compatible_pairs", "naming_stem_join", "naming_user_rules", "inventory_merge_full_outer",
     "inventory_closure_anti", "inventory_closure_rules", "edges_aggregate", "paths_bounded", "path_confidence_decay", "support_combinations", "paths_per_pair_limit", "paths_reverse_bridge", "connected_components", "lineage_merge",
     "lineage_dominant_transform", "event_group", "event_association", "reference_closure", "triplets", "kg_nodes", "kg_edges", "kg_closure", "stable_id_sha256", "token_estimate", "shard_greedy_pack", "input_windows", "asof_local_rowset",
-    "canonical_fingerprint", "sql_relationships", "sql_lineage", "sql_naming", "ddl_facts", "sql_pair_cases", "sql_lineage_cases", "sql_part_relationships", "scan_catalog_evidence", "scan_catalog_relationships", "scan_catalog_lineage", "derived_naming", "fact_budget", "script_framing", "customer_scripts", "log_statements",
+    "canonical_fingerprint", "sql_relationships", "sql_lineage", "sql_naming", "ddl_facts", "sql_pair_cases", "sql_lineage_cases", "sql_part_relationships", "scan_catalog_evidence", "scan_catalog_relationships", "scan_catalog_lineage", "derived_naming", "fact_budget", "profile_selection", "profile_diagnostics", "routine_bodies", "owner_plan", "evidence_graph", "script_framing", "customer_scripts", "log_statements",
 )
 
 _RANK = "CASE p WHEN 0 THEN 'DECLARED' WHEN 1 THEN 'SQL_PREDICATE' WHEN 2 THEN 'NAMING' ELSE 'CO_OCCURRENCE' END"
@@ -578,6 +618,16 @@ ORACLES = relational.ORACLES | {
     "scan_catalog_lineage": _values([("VALUE", "DIRECT", "staged.s_custkey", "customer.c_custkey"), ("VALUE", "AGGREGATE", "orders.o_totalprice", "customer.c_acctbal")], "flow, transform, sources, target"),
     "derived_naming": "WITH RECURSIVE e AS (SELECT n_nationkey AS a FROM nation), p AS (SELECT a AS src, a + 1 AS tgt, 'n' || a || '.id>n' || (a + 1) || '.id' AS path, 1 AS hops FROM e UNION ALL SELECT src, tgt + 1, path || '>n' || (tgt + 1) || '.id', hops + 1 FROM p JOIN e ON e.a = p.tgt WHERE hops < 5 AND 0.2 * pow(0.75, hops) >= 0.1) SELECT 'n' || src || '.id' AS src, 'n' || tgt || '.id' AS tgt, path, round((0.2 * pow(0.75, hops - 1))::DECIMAL(18,12), 4)::DOUBLE AS confidence FROM p WHERE hops >= 2",
     "fact_budget": "WITH f AS (SELECT 1 AS o, 'r' AS kind, 'r' || r_regionkey AS src, r_regionkey % 7 / 10 AS confidence FROM region UNION ALL SELECT 2, 'n', 'n' || n_nationkey, n_regionkey % 7 / 10 FROM nation UNION ALL SELECT 3, 's', 's' || s_suppkey, s_nationkey % 7 / 10 FROM supplier) SELECT kind, src, round(confidence, 2)::DOUBLE AS confidence FROM f ORDER BY o, confidence DESC, src LIMIT 40",
+    "profile_selection": _values(examples.VERSIONS, "dialect, version, profile, reason"),
+    "profile_diagnostics": _values([(i, d) for i, (*_, d) in enumerate(examples.FEATURE_CASES)], "i, diagnostic"),
+    "routine_bodies": _values([(name, *f) for name, _, fs in examples.ROUTINE_CASES for f in fs], "name, kind, src, tgt"),
+    "owner_plan": """WITH RECURSIVE i AS (SELECT o_custkey % 40 AS a, ceil((ceil(length(o_orderpriority) / 4) + 64) * 1.15)::BIGINT AS tokens FROM orders), w AS (SELECT a, 't' || a AS owner, sum(tokens)::BIGINT AS tokens FROM i GROUP BY 1), g AS (SELECT a % 7 AS c, min('t' || a) AS component FROM w GROUP BY 1),
+        n AS (SELECT owner, tokens, row_number() OVER (ORDER BY component, owner) AS i FROM w JOIN g ON g.c = w.a % 7),
+        p AS (SELECT i, owner, tokens, tokens AS filled, 0 AS shard_id FROM n WHERE i = 1 UNION ALL SELECT n.i, n.owner, n.tokens, CASE WHEN p.filled > 0 AND p.filled + n.tokens > 60000 THEN n.tokens ELSE p.filled + n.tokens END, CASE WHEN p.filled > 0 AND p.filled + n.tokens > 60000 THEN p.shard_id + 1 ELSE p.shard_id END FROM p JOIN n ON n.i = p.i + 1)
+        SELECT owner, tokens, shard_id FROM p""",
+    "evidence_graph": """WITH d AS (SELECT 'i' || (n_nationkey % 20) AS item, n_nationkey % 6 > 0 AS has, n_nationkey % 5 = 0 AS gone FROM nation)
+        SELECT 'tables' AS kind, count(*) AS n FROM (SELECT DISTINCT n_nationkey, n_name FROM nation) UNION ALL SELECT 'columns', count(*) FROM (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer) UNION ALL SELECT 'events', count(DISTINCT p_brand) FROM part
+        UNION ALL SELECT 'REPEATED_ID', count(*) FROM (SELECT item FROM d GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'NO_REFERENCE', count(DISTINCT item) FROM d WHERE NOT has UNION ALL SELECT 'UNKNOWN_REFERENCE', count(DISTINCT item) FROM d WHERE has AND gone""",
     "script_framing": _values(examples.FRAMES, "source_name, ordinal, sql, source_type, object_type, object_name, start_line, end_line, trigger_function, error"),
     "customer_scripts": "SELECT c_mktsegment AS source_name, source_type, a AS start_line, b AS end_line, count(*) AS n, count(DISTINCT CASE source_type WHEN 'DDL_FILE' THEN 't' || c_custkey WHEN 'PROCEDURE' THEN 'p' || c_custkey END) AS names FROM customer CROSS JOIN (VALUES ('DDL_FILE', 1, 2), ('PROCEDURE', 4, 7), ('PLAIN_SQL', 9, 9), ('PLAIN_SQL', 9, 9)) v(source_type, a, b) GROUP BY 1, 2, 3, 4",
     "log_statements": "WITH e AS (SELECT event_id % 5 AS k, 'u' || (user_id % 40) AS u, 'v' || (event_id % 30) AS v FROM events), s AS (SELECT CASE k WHEN 0 THEN 'SELECT a.id FROM ' || u || ' a JOIN ' || v || ' b ON b.id = a.v_id' WHEN 2 THEN 'SELECT * FROM ' || u || ' WHERE id = 3' ELSE 'UPDATE ' || u || ' SET n = 1 WHERE k IN (SELECT b.k FROM ' || v || ' b)' END AS sql, CASE WHEN k = 2 THEN u ELSE u || ',' || v END AS tables, CASE WHEN k = 2 THEN 0 ELSE 1 END AS pairs FROM e WHERE k IN (0, 2, 4)) SELECT sql, tables, count(*) AS n, sum(pairs)::BIGINT AS pairs FROM s GROUP BY 1, 2",

@@ -91,3 +91,23 @@ LINEAGE_CASES = [
     ("upsert", "INSERT INTO t (k, a) SELECT s.k, s.a FROM s ON DUPLICATE KEY UPDATE a = a + VALUES(a)", [(V, "DIRECT", "s.k", "t.k"), (V, "DIRECT", "s.a", "t.a"), (V, "ARITHMETIC", "s.a,t.a", "t.a")]),
     ("view", "CREATE VIEW v AS SELECT s.x AS y, upper(s.z) AS w FROM s", [(V, "DIRECT", "s.x", "v.y"), (V, "FUNCTION_CALL", "s.z", "v.w")]),
 ]
+#: (dialect, version, profile, reason)
+VERSIONS = [
+    ("mysql", "8.0", "mysql-8.0", "EXACT"), ("mysql", "8.4.3", "mysql-8.0", "SAME_MAJOR"), ("mysql", "9.1", "mysql-8.0", "OLDER_MAJOR"), ("mysql", "5.5", "mysql-5.7", "SAME_MAJOR"), ("mysql", "4.1", None, "TOO_OLD"), ("postgres", "PostgreSQL 17.2", "postgres-17", "SAME_MAJOR"),
+    ("postgres", "14", None, "TOO_OLD"), ("oracle", "19c", "oracle-19c", "EXACT"), ("oracle", "23.4", "oracle-21c", "OLDER_MAJOR"), ("sqlserver", "15.0.2000", "sqlserver-2019", "SAME_MAJOR"), ("sqlserver", "2022", "sqlserver-2022", "EXACT"), ("common", "1", None, "NO_DIALECT"), ("mysql", "", None, "NO_VERSION"),
+]
+FEATURE_CASES = [
+    ("mysql", "5.7", "WITH v AS (SELECT c.id FROM c) SELECT 1 FROM a JOIN v ON v.id = a.c_id", "FEATURE_NOT_IN_mysql-5.7: cte"), ("mysql", "8.0", "WITH v AS (SELECT c.id FROM c) SELECT 1 FROM a JOIN v ON v.id = a.c_id", None),
+    ("mysql", "5.7", "SELECT row_number() OVER (ORDER BY a.x) AS n FROM a", "FEATURE_NOT_IN_mysql-5.7: window"), ("sqlserver", "2016", "SELECT string_agg(a.x, ',') AS s FROM a WHERE a.y = 'greatest(1)'", "FEATURE_NOT_IN_sqlserver-2016: string_agg"),
+]
+#: (name, routine, [(kind, source, target)])
+ROUTINE_CASES = [
+    ("plpgsql", "CREATE FUNCTION f() RETURNS void AS $$ DECLARE r RECORD; n INT := 0; BEGIN FOR r IN (SELECT o.id FROM orders o JOIN users u ON u.id = o.user_id) LOOP INSERT INTO totals (k) SELECT l.amount FROM lines l WHERE l.note <> 'a;b'; END LOOP; IF EXISTS (SELECT 1 FROM a JOIN b ON b.a_id = a.id) THEN UPDATE c SET v = d.w FROM d WHERE d.c_id = c.id; END IF; RETURN QUERY SELECT 1 FROM x JOIN y ON y.x_id = x.id; END $$ LANGUAGE plpgsql",
+     [("PAIR", "orders.user_id", "users.id"), ("FLOW", "lines.amount", "totals.k"), ("PAIR", "a.id", "b.a_id"), ("PAIR", "c.id", "d.c_id"), ("FLOW", "d.w", "c.v"), ("PAIR", "x.id", "y.x_id")]),
+    ("plsql", "CREATE OR REPLACE PROCEDURE p IS CURSOR c IS SELECT o.id FROM orders o JOIN users u ON u.id = o.user_id; v NUMBER; BEGIN OPEN c; SELECT s.total INTO v FROM sums s JOIN kinds k ON k.id = s.kind_id; MERGE INTO t USING s2 ON (t.k = s2.k) WHEN MATCHED THEN UPDATE SET t.v = s2.v; END;",
+     [("PAIR", "orders.user_id", "users.id"), ("PAIR", "kinds.id", "sums.kind_id"), ("PAIR", "s2.k", "t.k"), ("FLOW", "s2.v", "t.v")]),
+    ("tsql", "CREATE PROCEDURE p AS BEGIN DECLARE @n INT = 1; IF @n > 0 BEGIN DELETE FROM a WHERE a.k IN (SELECT b.id FROM b); END ELSE INSERT INTO t (x) SELECT s.y FROM s; END",
+     [("PAIR", "a.k", "b.id"), ("FLOW", "s.y", "t.x")]),
+    ("mysql", "CREATE PROCEDURE p() BEGIN DECLARE done INT DEFAULT 0; DECLARE c CURSOR FOR SELECT o.id FROM orders o JOIN users u ON u.id = o.user_id; WHILE done < 3 DO UPDATE t SET a = 'x;y' WHERE EXISTS (SELECT 1 FROM q WHERE q.t_id = t.id); SET done = done + 1; END WHILE; END",
+     [("PAIR", "orders.user_id", "users.id"), ("PAIR", "q.t_id", "t.id")]),
+]

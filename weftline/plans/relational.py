@@ -86,6 +86,7 @@ SHAPES: dict[str, str | tuple[str, str]] = {
     "delete_exists": "SELECT o.o_orderkey FROM {orders} o WHERE NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')",
     "map_build": ("SELECT n_regionkey, array_join(map_keys(map_from_entries(array_sort(collect_list(struct(n_name, n_nationkey))))), ',') AS ks FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, array_to_string(list_sort(map_keys(map_from_entries(array_agg((n_name, n_nationkey))))), ',') AS ks FROM {nation} GROUP BY n_regionkey"),
 }
+SHAPES["tablesample_whole"] = ("SELECT l_returnflag, count(*) AS n FROM {lineitem} TABLESAMPLE (100 PERCENT) GROUP BY l_returnflag", "SELECT l_returnflag, count(*) AS n FROM {lineitem} GROUP BY l_returnflag")
 SHAPES["kpi_union"] = " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {{{t}}}" for t in TABLES)
 SHAPES["margin"] = "SELECT p.p_brand, count(*) AS lines, cast(sum(cast(l.l_extendedprice AS decimal(18,4)) * (1 - cast(l.l_discount AS decimal(18,4)))) AS double) AS revenue FROM {lineitem} l JOIN {part} p ON p.p_partkey = l.l_partkey JOIN {supplier} s ON s.s_suppkey = l.l_suppkey JOIN {nation} n ON n.n_nationkey = s.s_nationkey WHERE n.n_regionkey IN (1, 2) GROUP BY p.p_brand"
 

@@ -14,6 +14,7 @@ from ..functions.scoring import evidence_score
 from ..operators import catalog, evidence, graph, lineage, naming, profile
 from ..session import checkpoint
 from ..sources import logs, scripts
+from . import profiles
 from .sqlfacts import analyse
 
 _COND = pa.struct([("discriminator", pa.string()), ("operator", pa.string()), ("value", pa.string())])
@@ -29,7 +30,7 @@ TEMPORARY = r"(?i)^\s*CREATE\s+(?:OR\s+REPLACE\s+)?(?:GLOBAL\s+|LOCAL\s+)?TEMP(?
 #: A chain of temporary tables is followed for so many steps.
 CHAIN = 5
 ROUTINES = ("PROCEDURE", "FUNCTION", "TRIGGER", "PACKAGE", "PACKAGE_BODY", "EVENT")
-DML = re.compile(r"\b(?:INSERT\s+INTO|UPDATE|DELETE|MERGE\s+INTO|WITH|SELECT)\b", re.I)
+STARTS = frozenset(("INSERT", "UPDATE", "DELETE", "MERGE", "WITH", "SELECT"))
 
 
 @dataclass(frozen=True)
@@ -40,6 +41,7 @@ class Config:
     pattern: str = "*.sql"
     logs: tuple[str, ...] = ()
     dialect: str = "common"
+    version: str = ""
     min_confidence: str = "0.30"
     longest_path: int = 5
     profile: profile.Options = field(default_factory=profile.Options)
@@ -49,19 +51,51 @@ class Config:
 
 
 def body_statements(sql: str) -> list[str]:
-    """The data statements in a routine's body: text from a leading INSERT, UPDATE, DELETE, MERGE, WITH or SELECT to its semicolon."""
+    """The data statements in a routine's body, of any of the dialects' languages.
+
+    The body is cut at semicolons, and before a statement that follows THEN, ELSE, LOOP, DO or BEGIN, outside strings, comments and brackets. Of each piece, what begins with INSERT, UPDATE, DELETE, MERGE, WITH or
+    SELECT is a statement (of cursors, loops and RETURN QUERY as well), and so is a query in brackets of what stands before it, such as that of a loop or a condition.
+    """
     body = re.sub(r"--[^\n]*|/\*.*?\*/", "", sql, flags=re.S)
     m = re.search(r"\bBEGIN\b|\bAS\s+\$\w*\$|\bIS\b|\bAS\b", body, re.I)
+    body = re.sub(r"\$\w*\$", " ", body[m.end() :] if m else body)
+    pieces, start, depth, opener, merging = [], 0, 0, False, False
+    for t in scripts.TOKEN.finditer(body):
+        word = t.group().upper()
+        if word.isspace():
+            continue
+        if depth == 0 and opener and word in STARTS and not merging:  # a MERGE has its own THEN
+            pieces.append(body[start : t.start()])
+            start = t.start()
+        merging = merging or depth == 0 and word == "MERGE"
+        depth += (word == "(") - (word == ")")
+        if word == ";" and depth <= 0:
+            pieces.append(body[start : t.start()])
+            start, depth, merging = t.end(), 0, False
+        opener = word in ("THEN", "ELSE", "LOOP", "DO", "BEGIN")
     out = []
-    for piece in re.split(r";", body[m.end() :] if m else body):
-        if hit := DML.search(piece):
-            before = piece[: hit.start()]
-            if not re.search(r"\b(?:IN|AS|FOR|CURSOR|IS)\s*\(?\s*$", before, re.I) or hit.group().upper() in ("SELECT", "WITH"):
-                out.append(piece[hit.start() :].strip())
+    for piece in [*pieces, body[start:]]:
+        depth, inside, at = 0, 0, None
+        for t in scripts.TOKEN.finditer(piece):
+            word = t.group().upper()
+            if word == "(":
+                depth += 1
+                inside = t.end() if depth == 1 else inside
+            elif word == ")":
+                depth -= 1
+                if depth == 0 and re.match(r"\s*(?:SELECT|WITH)\b", piece[inside : t.start()], re.I):
+                    out.append(piece[inside : t.start()].strip())
+            elif depth == 0 and word in STARTS:
+                at = t.start()
+                break
+        if at is not None and not re.match(r"(?:UPDATE|DELETE|INSERT)\s+(?:OF|ON|OR)\b", piece[at:], re.I):
+            out.append(re.sub(r"\bEND\b(?:\s+(?:LOOP|IF|WHILE|REPEAT))?\s*$", "", piece[at:], flags=re.I).strip())
     return out
 
 
-def _analysed(dialect: str, keep: tuple[str, ...]):
+def _analysed(dialect: str, keep: tuple[str, ...], version: str = ""):
+    profile = profiles.select(dialect, version)[0]
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("tables", "diagnostic", "pairs", "lineage", "ddl")}
@@ -69,7 +103,7 @@ def _analysed(dialect: str, keep: tuple[str, ...]):
                 made = [analyse(s, dialect, kind or "") for s in (body_statements(sql or "") if kind in ROUTINES else [sql or ""])]
                 facts = [f for f, _ in made]
                 out["tables"].append(sorted({t for f in facts for t in f.tables}))
-                said = [d for _, d in made if d]
+                said = [d for _, d in made if d] + [f"FEATURE_NOT_IN_{profile.id}: {f}" for f in profiles.unknown_features(sql or "", profile)]
                 out["diagnostic"].append("; ".join(said) or None)
                 for k in ("pairs", "lineage", "ddl"):
                     out[k].append([x for f in facts for x in getattr(f, k)])
@@ -83,13 +117,13 @@ def _analysed(dialect: str, keep: tuple[str, ...]):
     return each
 
 
-def analysed(statements: DataFrame, dialect: str = "common", keep: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each statement (sql; source_name, ordinal, source_type, object_name if there) with its tables, pairs, lineage, DDL and diagnostic. Statements are read where they are; a failing one costs only a diagnostic."""
+def analysed(statements: DataFrame, dialect: str = "common", keep: tuple[str, ...] = (), version: str = "") -> DataFrame:
+    """A row for each statement (sql; source_name, ordinal, source_type, object_name if there) with its tables, pairs, lineage, DDL and diagnostic. Statements are read where they are; a failing one costs only a diagnostic, and so does what the version (see profiles.select) doesn't know."""
     kinds = {"source_name": "string", "ordinal": "int", "source_type": "string", "object_name": "string"}
     rows = statements.select("sql", *[(F.col(c) if c in statements.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()], *keep)
     extra = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in statements.schema if f.name in keep)
     head, tail = ANALYSED.split("tables array", 1)
-    return rows.mapInArrow(_analysed(dialect, keep), f"{head}{extra}tables array{tail}")
+    return rows.mapInArrow(_analysed(dialect, keep, version), f"{head}{extra}tables array{tail}")
 
 
 def pair_evidence(read: DataFrame) -> DataFrame:
@@ -181,7 +215,7 @@ def scan_statements(statements: DataFrame, config: Config = Config(), extra_evid
     tables: the catalog, by name. With it, evidence is enhanced by equal types, naming rules see all of its columns, lineage is kept for its tables only, and pairs are profiled on the data (config.profile).
     Derived results are planned when they are asked for; config.most_derived limits them in all (0: no limit).
     """
-    read = checkpoint(logs.without_noise(analysed(statements, config.dialect)))
+    read = checkpoint(logs.without_noise(analysed(statements, config.dialect, version=config.version)))
     found = checkpoint(bridge(pair_evidence(read), read))
     if extra_evidence is not None:
         found = found.unionByName(extra_evidence, allowMissingColumns=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,25 @@ def write_scan_result(facts: dict[str, DataFrame], path: str) -> None:
     spark.createDataFrame(counts, "section string, n long").coalesce(1).write.mode("overwrite").json(f"{path}/summary")
 
 
+def write_document(facts: dict[str, DataFrame], path: str) -> dict[str, int]:
+    """One JSON document of all sections and a summary of their numbers, at a local path; rows come partition by partition, so the driver never holds a section, and the file appears whole by a rename."""
+    import os
+
+    counts: dict[str, int] = {}
+    with open(f"{path}.part", "w", encoding="utf-8") as f:
+        f.write("{")
+        for name, df in facts.items():
+            f.write(f"{json.dumps(name)}: [")
+            n = 0
+            for n, row in enumerate(df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).toLocalIterator(), 1):
+                f.write(("," if n > 1 else "") + "\n" + row[0])
+            counts[name] = n
+            f.write("],\n")
+        f.write(f'"summary": {json.dumps(counts)}}}\n')
+    os.replace(f"{path}.part", path)
+    return counts
+
+
 def read_sections(spark: SparkSession, path: str, schemas: dict[str, StructType]) -> dict[str, DataFrame]:
     return {name: spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path}/{name}") for name, schema in schemas.items()}
 
