@@ -18,8 +18,8 @@ from .components import components
 PIVOTS = tuple(xxhash.xxh64_intdigest(f"pivot {i}".encode(), 0) for i in range(16))
 RADIUS = 2
 BLOCKS = 4
-#: Bands with more fingerprints than this aren't joined pair by pair.
-DENSE = 64
+#: Pivots whose distances cut a band into cells; cells with more fingerprints than DENSE aren't joined pair by pair.
+CELL_PIVOTS, DENSE = 2, 64
 
 
 def fingerprint(text: bytes) -> int:
@@ -75,34 +75,49 @@ def bands(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> Data
     return prints.select("fp", F.explode(keys).alias("k")).select("k.band", "k.key", "k.free", "fp")
 
 
+def cells(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """rows with the pivot table (p, q), once for each cell c of the first CELL_PIVOTS pivot distances in which the fingerprint is looked for; own marks the one that it lies in.
+
+    A cell is 2 radius + 1 distances wide, so what lies within radius of a distance is in its cell or in one other: of two fingerprints within radius, each is looked for in the cell of the other.
+    """
+    width = 2 * radius + 1
+    p, q = pivot_table(F.col("fp"))
+    out = rows.withColumns({"p": p, "q": q, "c": F.lit(0), "own": F.lit(True)})
+    for i in range(CELL_PIVOTS):
+        d = F.shiftright("p", 8 * i).bitwiseAND(255) + radius
+        here = F.floor(d / width).cast("int")
+        around = F.explode(F.array_distinct(F.array(*[F.floor((d + x) / width).cast("int") for x in (-radius, 0, radius)])))
+        out = out.withColumn("here", here).withColumn("near", around).withColumns({"c": F.col("c") * 64 + F.col("near"), "own": F.col("own") & (F.col("near") == F.col("here"))}).drop("here", "near")
+    return out
+
+
 def links(prints: DataFrame, dense: int = DENSE) -> DataFrame:
     """(a, b): edges between distinct fingerprints whose components are those of all pairs within 2 bits.
 
-    Sparse bands (at most `dense` fingerprints): self-join on the band, so at most dense**2 / 2 pairs each; a pair survives if no pivot distance differs by more than 2, and
-    then is verified. Dense bands: all pairs would be quadratic. There, each fingerprint is tied to itself and to the 1-bit changes of its free bits; two fingerprints of a band
+    Candidates agree on a lossless band and meet in a cell of the pivot table (see bands() and cells()). In cells of at most `dense` fingerprints, a pair survives if no pivot distance differs by more than 2, and
+    then is verified: at most dense**2 pairs a cell. In fuller ones that would be quadratic: there, each fingerprint is tied to itself and to the 1-bit changes of its free bits; two fingerprints of a band
     lie within 2 bits exactly if they share such a midpoint, and a midpoint has at most 65 fingerprints. This is exact and linear, so no cap is needed.
     """
-    rows = common.checkpoint(bands(prints))
-    counts = common.checkpoint(rows.groupBy("band", "key").count().filter(F.col("count") > 1))
+    rows = cells(bands(prints)).select("band", "key", "free", "fp", "p", "q", "c", "own")
+    rows, at = common.checkpoint(rows), ["band", "key", "c"]
+    counts = common.checkpoint(rows.groupBy(*at).agg(F.count("*").alias("n"), F.max("own").alias("some")).filter("n > 1 AND some"))
     if counts.isEmpty():
         return prints.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    few = rows.join(counts.filter(F.col("count") <= dense).select("band", "key"), ["band", "key"], "left_semi")
-    p, q = pivot_table(F.col("fp"))
-    tabled = few.select("band", "key", "fp", p.alias("p"), q.alias("q"))
-    x, y = tabled.alias("x"), tabled.alias("y")
+    few = common.checkpoint(rows.join(counts.filter(F.col("n") <= dense).select(*at), at, "left_semi"))
+    x, y = few.filter("own").alias("x"), few.alias("y")
     survive = pivots_allow([F.col("x.p"), F.col("x.q")], [F.col("y.p"), F.col("y.q")])
     pairs = (
-        x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & survive)
+        x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.c") == F.col("y.c")) & (F.col("x.fp") != F.col("y.fp")) & survive)
         .filter(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS)
-        .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+        .select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
     )
-    many = counts.filter(F.col("count") > dense)
+    many = counts.filter(F.col("n") > dense)
     if many.isEmpty():
         return pairs.distinct()
     flips = [F.when(F.col("free").bitwiseAND(F.lit(_signed(1 << i))) != 0, F.col("fp").bitwiseXOR(F.lit(_signed(1 << i)))) for i in range(64)]
     near = F.filter(F.array(F.col("fp"), *flips), lambda v: v.isNotNull())
-    # A hot band is spread over tasks before its rows multiply: the join streams `rows`, and AQE splits a skewed partition of it.
-    spread = rows.join(many.select("band", "key"), ["band", "key"], "left_semi").select("fp", F.explode(near).alias("mid")).distinct()
+    # A hot cell is spread over tasks before its rows multiply: the join streams `rows`, and AQE splits a skewed partition of it.
+    spread = rows.join(many.select(*at), at, "left_semi").select("fp", F.explode(near).alias("mid")).distinct()
     centre = spread.groupBy("mid").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1")
     stars = spread.join(centre.drop("n"), "mid").filter("fp <> a").select("a", F.col("fp").alias("b"))
     return pairs.unionByName(stars).distinct()
