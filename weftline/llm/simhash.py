@@ -98,8 +98,9 @@ def links(prints: DataFrame, dense: int = DENSE) -> DataFrame:
     then is verified: at most dense**2 pairs a cell. In fuller ones that would be quadratic: there, each fingerprint is tied to itself and to the 1-bit changes of its free bits; two fingerprints of a band
     lie within 2 bits exactly if they share such a midpoint, and a midpoint has at most 65 fingerprints. This is exact and linear, so no cap is needed.
     """
-    rows = cells(bands(prints)).select("band", "key", "free", "fp", "p", "q", "c", "own")
-    rows, at = common.checkpoint(rows), ["band", "key", "c"]
+    banded, at = common.checkpoint(bands(prints)), ["band", "key", "c"]
+    shared = banded.groupBy("band", "key").count().filter("count > 1").select("band", "key")  # most fingerprints have their bands alone, and need no cells
+    rows = common.checkpoint(cells(banded.join(shared, ["band", "key"], "left_semi")).select("band", "key", "free", "fp", "p", "q", "c", "own"))
     counts = common.checkpoint(rows.groupBy(*at).agg(F.count("*").alias("n"), F.max("own").alias("some")).filter("n > 1 AND some"))
     if counts.isEmpty():
         return prints.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
