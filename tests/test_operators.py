@@ -102,6 +102,13 @@ def test_evidence_hooks(spark):
     assert {(r["src_key"], r["tgt_key"]): (r["conditional"], r["polymorphic"]) for r in evidence.conditional(rows).collect()} == {("a.x", "b.y"): (True, True), ("a.x", "c.y"): (True, True), ("d.x", "b.y"): (False, False)}
 
 
+def test_direction_of_a_hot_pair(spark):
+    rows = spark.createDataFrame([("a.x", "b.id", "CO_OCCURRENCE", "SQL_LOG_JOIN")] * 300 + [(f"c{i}.x", "b.id", "CO_OCCURRENCE", "SQL_LOG_JOIN") for i in range(40)], "src_key string, tgt_key string, relation_type string, evidence_type string")
+    unique = spark.createDataFrame([("b.id",)], "key string")
+    plain, hot = (sorted(map(tuple, evidence.directed(rows, unique, floor=f).collect())) for f in (1_000_000, 5))
+    assert plain == hot and len(hot) == 340 and {r[2] for r in map(tuple, hot)} == {"FK_LIKE"}
+
+
 def test_noise_and_names(spark):
     rows = spark.createDataFrame([("SELECT 1 FROM x.pg_catalog.t", ["pg_catalog.pg_class"]), ("select version()", []), ("SELECT 1", []), ("q", ["sys.t", "shop.t"])], "sql string, tables array<string>")
     assert [r["sql"] for r in logs.without_noise(rows).collect()] == ["SELECT 1", "q"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scoring import SQL_LIKE, noisy_or, repeat_score, subtype_rank
+from .hot import HOT_ROWS, hot_join
 
 OBSERVATION = ("src_key", "tgt_key", "relation_type", "evidence_type", "source_type", "source", "score", "detail", "conditions")
 PREDICATES = ("SQL_LOG_JOIN", "SQL_LOG_SUBQUERY_IN", "SQL_LOG_EXISTS", "VIEW_JOIN", "TRIGGER_REFERENCE", "PROCEDURE_JOIN")
@@ -62,28 +63,28 @@ def fold_co_occurrence(evidence: DataFrame) -> DataFrame:
     }).drop("__u", "__k")
 
 
-def directed(evidence: DataFrame, unique: DataFrame, hints: DataFrame | None = None) -> DataFrame:
+def directed(evidence: DataFrame, unique: DataFrame, hints: DataFrame | None = None, floor: int = HOT_ROWS) -> DataFrame:
     """Evidence under its relationship's direction.
 
     A key without declared or profiled direction becomes co-occurrence first. Column co-occurrence with SQL predicate evidence becomes FK_LIKE if exactly one endpoint is unique (that one is the
-    target), else if the naming hints (src_key, tgt_key) of the pair all agree. unique: (key). Co-occurrence of a column with itself is dropped.
+    target), else if the naming hints (src_key, tgt_key) of the pair all agree. unique: (key). Co-occurrence of a column with itself is dropped. The rows of a pair that has very many aren't brought to one task (hot_join).
     """
     u = evidence.withColumn("__u", unordered(F.col("src_key"), F.col("tgt_key")))
     facts = u.groupBy("__u").agg(
         F.min(F.least("src_key", "tgt_key")).alias("__a"), F.max(F.greatest("src_key", "tgt_key")).alias("__b"), F.bool_or(F.col("evidence_type").isin(*PREDICATES)).alias("__sql"),
-        F.min(F.when(F.col("evidence_type").isin("METADATA_FOREIGN_KEY", "DDL_FOREIGN_KEY"), F.struct("src_key", "tgt_key"))).alias("__fk"),
+        F.min(F.when(F.col("evidence_type").isin("METADATA_FOREIGN_KEY", "DDL_FOREIGN_KEY"), F.struct("src_key", "tgt_key"))).alias("__fk"), F.count("*").alias("__n"),
     )
     keys = unique.select(F.col("key")).distinct()
     facts = facts.join(keys.select(F.col("key").alias("__a"), F.lit(True).alias("__ua")), "__a", "left").join(keys.select(F.col("key").alias("__b"), F.lit(True).alias("__ub")), "__b", "left")
     if hints is not None:
-        told = hints.groupBy(unordered(F.col("src_key"), F.col("tgt_key")).alias("__u")).agg(F.countDistinct("src_key").alias("__n"), F.min("src_key").alias("__hint"))
-        facts = facts.join(told.filter("__n = 1").drop("__n"), "__u", "left")
+        told = hints.groupBy(unordered(F.col("src_key"), F.col("tgt_key")).alias("__u")).agg(F.countDistinct("src_key").alias("__m"), F.min("src_key").alias("__hint"))
+        facts = facts.join(told.filter("__m = 1").drop("__m"), "__u", "left")
     else:
         facts = facts.withColumn("__hint", F.lit(None).cast("string"))
     one = F.coalesce("__ua", F.lit(False)) != F.coalesce("__ub", F.lit(False))
     columns = ~F.col("__a").endswith("*") & ~F.col("__b").endswith("*") & (F.col("__a") != F.col("__b"))
     source = F.when(F.col("__fk").isNotNull(), F.col("__fk.src_key")).when(columns & F.col("__sql") & one, F.when(F.col("__ub"), F.col("__a")).otherwise(F.col("__b"))).when(columns & F.col("__sql"), F.col("__hint"))
-    out = u.join(facts.select("__u", "__a", "__b", source.alias("__src")), "__u")
+    out = hot_join(u, facts.select("__u", "__a", "__b", source.alias("__src"), "__n"), ["__u"], "__n", evidence.count(), floor=floor)
     known = F.col("__src").isNotNull()
     out = out.withColumns({
         "src_key": F.when(known, F.col("__src")).otherwise(F.col("__a")), "tgt_key": F.when(known, F.when(F.col("__src") == F.col("__a"), F.col("__b")).otherwise(F.col("__a"))).otherwise(F.col("__b")),
