@@ -3,19 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.hot import HOT_ROWS, HOT_SHARE, hot_join  # noqa: F401
 from ..session import checkpoint, shared_dir  # noqa: F401
 
-#: A key with at least this share of the rows of a join is hot; there are at most 1 / HOT_SHARE such keys, which bounds their broadcast.
-HOT_SHARE = 1 / 1000
-#: Fewer rows than this on one key fit one task whatever their share.
-HOT_ROWS = 1_000_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,30 +36,6 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def map_rows(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(each, schema)
-
-
 def named(df: DataFrame, id_col: str, text_col: str, **more: str) -> DataFrame:
     """Only what an operator reads, under fixed names (more: name=column), so further columns of df can't clash with its own."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(k) for k, c in more.items()])
-
-
-def hot_join(left: DataFrame, right: DataFrame, key: list[str], weight: str, total: int, how: str = "inner", floor: int = HOT_ROWS, share: float = HOT_SHARE) -> DataFrame:
-    """left joined to right, whose rows are unique by key; `weight` of right is the number of left rows with that key, of `total` in all.
-
-    Keys with at least max(floor, share * total) rows are joined by broadcasting their right rows, at most 1 / share of them, so that no task gets a hot key's rows;
-    all others are shuffled. Both inputs should be cheap to read twice. `weight` isn't returned.
-    """
-    least = max(floor, int(share * total))
-    if total < least:
-        return left.join(right.drop(weight), key, how)
-    hot = right.filter(F.col(weight) >= least)
-    keys = hot.select(*key)
-    return left.join(F.broadcast(hot.drop(weight)), key, "inner").unionByName(
-        left.join(F.broadcast(keys), key, "left_anti").join(right.filter(F.col(weight) < least).drop(weight), key, how), allowMissingColumns=False
-    )
-
-
-def by_hash(*cols: str) -> Column:
-    return F.xxhash64(*cols)
