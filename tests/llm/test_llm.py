@@ -411,6 +411,23 @@ def test_mixing(spark, docs, none, task_rows, floor):
     assert mixing.mixed(none)[0].count() == 0
 
 
+def test_mixing_spreads_a_source(spark):
+    """Slots of one source are made in many tasks, also where its row can't be broadcast; a draw's argument is computed once or twice, not for each of its places in the formula."""
+    sources = spark.createDataFrame([("s", "s", 0, 50, 100_000, 150_000.0)], "key string, source string, rank long, n long, source_size long, target double")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = mixing.slots(sources, block=16, shard=64).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(r["words"] for r in got) == 150_000 and len({r["slot"] + f" {r['shard']}" for r in got}) == len(got)
+    assert len({r["task"] for r in got}) > 1
+    assert spark.range(9).select(mixing.mix(F.col("id")).alias("u"))._jdf.queryExecution().analyzed().toString().split("Range")[0].count("id#") < 10
+
+
 def test_permutation(spark):
     """Every size gives a permutation, and neighbours don't keep one distance."""
     sizes = [1, 2, 3, 10, 1024]

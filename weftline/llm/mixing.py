@@ -21,10 +21,14 @@ CELLS = 4096
 
 
 def mix(x: Column) -> Column:
-    """A pseudorandom number in [0, P) from a non-negative long, by three quadratic rounds modulo a prime."""
+    """A pseudorandom number in [0, P) from a non-negative long, by three quadratic rounds modulo a prime.
+
+    Each round is a one-element array's transform, so that its argument is computed once: written out, the last round would hold the first 27 times.
+    """
     x = (x % P + F.floor(x / F.lit(P)).cast("long") * 7919 + 104729) % P
+    turn = lambda a, c: lambda v: (v * v + v * a + c) % P
     for a, c in ((48271, 12345), (69621, 67890), (39373, 13579)):
-        x = (x * x + x * a + c) % P
+        x = F.element_at(F.transform(F.array(x), turn(a, c)), 1)
     return x
 
 
@@ -95,7 +99,8 @@ def draws(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, repeats: i
     # A draw is a place on the line of all slots; cells of it find the source by an equi-join.
     cell = max(1, -(-total // CELLS))
     cells = per.select("key", "low", (F.col("low") + F.col("slots")).alias("high"), F.explode(F.sequence(F.floor(F.col("low") / cell), F.floor((F.col("low") + F.col("slots") - 1) / cell))).alias("cell"))
-    slots = per.sparkSession.range(0, shards * shard).select(F.floor(F.col("id") / shard).alias("shard"), (F.floor(mix(F.col("id") + seed * 1_000_003) / P * total)).cast("long").alias("u")).withColumn("cell", F.floor(F.col("u") / cell))
+    tasks = max(per.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_SLOTS))
+    slots = per.sparkSession.range(0, shards * shard, 1, tasks).select(F.floor(F.col("id") / shard).alias("shard"), (F.floor(mix(F.col("id") + seed * 1_000_003) / P * total)).cast("long").alias("u")).withColumn("cell", F.floor(F.col("u") / cell))
     drawn = slots.join(cells, "cell").filter("u >= low AND u < high").groupBy("shard", "key").agg(F.count("*").alias("c"))
     # What a source's earlier shards have drawn is summed up in two levels, so that a source's shards aren't one task.
     drawn = common.checkpoint(drawn.withColumn("range", F.floor(F.col("shard") / SHARD_RANGE)))
@@ -122,15 +127,17 @@ def permuted(pos: Column, size: Column, keys: Column, tag: Column) -> Column:
 def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, repeats: int = REPEATS, seed: int = 1) -> DataFrame:
     """(shard, slot, key, block, words): every slot with the index of the block that it takes and how many of the block's first words.
 
-    A source's epochs each go through its full blocks in their own pseudorandom order, see permuted(); the short last block comes last. Draws are spread over tasks of about TASK_SLOTS slots before they become rows.
+    A source's epochs each go through its full blocks in their own pseudorandom order, see permuted(); the short last block comes last. Draws meet their epoch while they are a row for each shard and source, and are
+    spread over tasks of about TASK_SLOTS slots before they become a row for each slot: joined later, a source's slots would all be in one task.
     """
     modulus, tag = F.greatest(F.col("full"), F.lit(1)).cast("long"), F.concat_ws(":", F.lit(seed), "rank", "epoch")
     keys = F.transform(F.sequence(F.lit(1), F.lit(ROUNDS)), lambda r: F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", tag, r)), 1, 12), 16, 10).cast("long"), modulus))
     orders = common.checkpoint(_orders(sources, block, repeats).filter("slots > 0").withColumn("keys", keys).withColumn("tag", tag))
     drawn = draws(sources, block, shard, repeats, seed).select("shard", "key", "start", "n")
     tasks = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(orders.agg(F.sum("slots")).first()[0] or 0) // TASK_SLOTS))
-    each = drawn.repartition(tasks, "shard", "key").select("shard", "key", F.posexplode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("i", "q"))
-    found = each.join(orders, "key").filter((F.col("q") >= F.col("at")) & (F.col("q") < F.col("at") + F.col("slots"))).withColumn("pos", F.col("q") - F.col("at"))
+    low, high = F.greatest("start", "at"), F.least(F.col("start") + F.col("n"), F.col("at") + F.col("slots"))
+    due = drawn.join(orders.drop("n"), "key").withColumns({"low": low, "high": high}).filter("high > low").repartition(tasks, "shard", "key", "epoch")
+    found = due.withColumn("q", F.explode(F.sequence(F.col("low"), F.col("high") - 1))).withColumns({"i": F.col("q") - F.col("start"), "pos": F.col("q") - F.col("at")})
     at = F.when(F.col("pos") < F.col("full"), permuted(F.col("pos"), modulus, F.col("keys"), F.col("tag"))).otherwise(F.col("full"))
     return found.select("shard", F.concat_ws(":", "key", "i").alias("slot"), "key", at.cast("long").alias("block"), F.when(F.col("pos") < F.col("whole"), F.lit(block)).otherwise(F.col("rest")).cast("long").alias("words"))
 
