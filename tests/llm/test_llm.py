@@ -599,6 +599,18 @@ def test_representatives_of_large_groups(spark):
     assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == brute_similar(rows)
 
 
+def test_representatives_far_from_centres(spark):
+    """Texts made of passages that many have, so that no rare hash finds a pair of near copies, and no few centres are near to all."""
+    rng = random.Random(15)
+    blocks = [" ".join(prose(rng, 40).split()[:40]) + " and so it goes on" for _ in range(16)]
+    rows = []
+    for i in range(60):
+        own = [blocks[j] for j in sorted(rng.sample(range(16), 8))]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own, f"edited{i}"]))]
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string"), hot=4)
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == brute_similar(rows)
+
+
 def test_representatives(spark, docs, none):
     rng = random.Random(11)
     rows = [r[:2] for r in corpus()]

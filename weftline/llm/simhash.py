@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -142,12 +143,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return common.hot_join(own, named, ["fp"], "n", total).select("doc_id", "fp", "component_id")
 
 
-#: Words in a shingle, least Jaccard similarity and most differing bits of texts that similar() links. Texts of similarity 0.8 differ in 10 of 64 bits on average (deviation 2.9), so 24 loses none in practice.
-WORDS, SIMILARITY, FAR = 5, 0.8, 24
-#: Smallest shingle hashes kept of a text; how many of them find candidates; a hash that more texts than HOT have in their sketch finds none by itself.
-SKETCH, PROBES, HOT = 32, 8, 64
-#: Texts of a hot hash that all others with it are held against.
-CENTRES = 5
+#: Words in a shingle, and least Jaccard similarity of texts that similar() links.
+WORDS, SIMILARITY = 5, 0.8
+#: A hash that more texts than HOT have in their prefixes isn't joined pair by pair at first; texts and most hashes of the sample that says which hashes come last in the order.
+HOT, SAMPLE, LAST = 64, 20_000, 100_000
 
 
 def shingle_hashes(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -159,21 +158,38 @@ def shingle_hashes(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), dtype="<u8"))
 
 
-def _majority(h: np.ndarray) -> int:
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(h), 16384):
-        ones += np.unpackbits(h[at : at + 16384].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return _signed(int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]))
+def prefix(n: int) -> int:
+    """Of two sets of similarity SIMILARITY or more, one with n hashes has at least n - prefix(n) + 1 in common with the other; so their first prefix(n) hashes in any common order meet."""
+    return n - math.ceil(SIMILARITY * n - 1e-6) + 1 if n else 0
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        own = [shingle_hashes(t) for t in common.raw(batch, "text")]
-        same = [_signed(xxhash.xxh3_64_intdigest(h.tobytes())) for h in own]
-        yield pa.RecordBatch.from_arrays(
-            [common.column(batch, "row"), common.column(batch, "doc_id"), pa.array(same, pa.int64()), pa.array([_majority(h) for h in own], pa.int64()), pa.array([len(h) for h in own], pa.int32()), pa.array([h[:SKETCH].view("<i8") for h in own], pa.list_(pa.int64()))],
-            names=["row", "doc_id", "same", "fp", "n", "sketch"],
-        )
+        parts = [h[: 2 * prefix(len(h))] for h in map(shingle_hashes, common.raw(batch, "text"))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, dtype="<u8"), *parts]).view("<i8"))], names=["g"])
+
+
+def _often(keyed: DataFrame, hot: int) -> np.ndarray:
+    """Frequent hashes, sorted, at most LAST: by a sample of about SAMPLE rows. They come last in the order of the hashes. What is in here decides how many candidates there are, never which links are found."""
+    total = max(1, keyed.count())
+    share = min(1.0, SAMPLE / total)
+    some = keyed.filter(F.pmod(F.xxhash64("row"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
+    counts = some.mapInArrow(_sampled, "g long").groupBy("g").count().filter(F.col("count") > max(4, hot * share))
+    return np.sort(np.array([r["g"] for r in counts.orderBy(F.desc("count"), "g").limit(LAST).collect()], dtype="<i8").view("<u8"))
+
+
+def _sketches(often: np.ndarray):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingle_hashes(t) for t in common.raw(batch, "text")]
+            same = [_signed(xxhash.xxh3_64_intdigest(h.tobytes())) for h in own]
+            late = [np.isin(h, often, assume_unique=True) for h in own]
+            first = [np.concatenate([h[~x], h[x]])[: prefix(len(h))].view("<i8") for h, x in zip(own, late)]
+            yield pa.RecordBatch.from_arrays(
+                [common.column(batch, "row"), common.column(batch, "doc_id"), pa.array(same, pa.int64()), pa.array([len(h) for h in own], pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["row", "doc_id", "same", "n", "first"]
+            )
+
+    return run
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,42 +202,64 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
 
 
-def similar(keyed: DataFrame, hot: int = HOT) -> DataFrame:
-    """(row, doc_id, root): root is equal for texts that are linked, directly or by others. keyed: (row, doc_id, text), row unique.
+def _near(m: Column, n: Column) -> Column:
+    return F.least(m, n) >= SIMILARITY * F.greatest(m, n) - 1e-6
+
 
-    Texts with equal sets of 5-word shingles are one. Others are linked if the Jaccard similarity of their sets is 0.8 or more, counted exactly. Candidates share one of their PROBES smallest shingle hashes (a pair
-    of similarity 0.8 has none in common once in 390,000 times), differ in at most FAR bits of their SimHash fingerprints and have sizes that allow the similarity. Hashes that more than `hot` texts
-    have in their sketches (shared passages, large groups of near copies) are passed over for the next smallest; a text with too few others meets, for each hot one, CENTRES of the texts that have it (one of
-    them with as many shingles as it): a group of more than `hot` different near copies is linked through these, without all of its pairs, so a copy that is near to none of them (at most 40) is missed. Texts without words are all equal.
+def _met(x: DataFrame, y: DataFrame, unlike: bool) -> DataFrame:
+    """(a, b) that can be similar, of rows (g, same, n, rest[, root]) that share hashes g; rest: the hashes of a text's prefix that aren't looked at here. unlike: only of different roots.
+
+    Whichever prefix ends first in the order, its hashes that aren't in common aren't in the other text at all; that bounds what the texts can have in common. The bound holds whatever the hashes of `rest` do.
     """
-    own = common.written(keyed.mapInArrow(_sketches, "row long, doc_id long, same long, fp long, n int, sketch array<long>"), "sketches")
-    texts = common.checkpoint(own.groupBy("same").agg(F.min("row").alias("row"), F.min_by(F.struct("fp", "n", "sketch"), "row").alias("s"), F.count("*").alias("rows")).select("same", "row", "s.*", "rows"))
-    marks = texts.select("same", "row", "fp", "n", F.posexplode("sketch").alias("i", "g"))
-    often = common.checkpoint(marks.groupBy("g").agg(F.count("*").alias("m")).filter(F.col("m") > hot))
-    flagged = marks.join(often.select("g", F.lit(True).alias("hot")), "g", "left")
-    chosen = flagged.groupBy("same").agg(
-        F.slice(F.array_sort(F.collect_list(F.when(F.col("hot").isNull(), F.struct("i", "g")))), 1, PROBES).alias("free"), F.slice(F.array_sort(F.collect_list(F.when(F.col("hot"), F.struct("i", "g")))), 1, PROBES).alias("held"),
-    )  # a sketch at most
-    probes = common.checkpoint(texts.join(chosen, "same").select("same", "fp", "n", "free", F.when(F.size("free") < F.least(F.lit(PROBES), F.size("sketch")), F.col("held")).alias("held")))
-    rare = probes.select("same", "fp", "n", F.explode("free").alias("p")).select("same", "fp", "n", "p.g")
-    near = lambda m, n: (F.least(m, n) >= SIMILARITY * F.greatest(m, n))
-    x, y = rare.alias("x"), rare.alias("y")
-    met = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.same") < F.col("y.same")) & near(F.col("x.n"), F.col("y.n")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= FAR))
-    pairs = met.select(F.col("x.same").alias("a"), F.col("y.same").alias("b"))
-    total = texts.count()
-    held = probes.select("same", "fp", "n", F.explode("held").alias("p")).select("same", "fp", "n", "p.g")
-    for turn in range(CENTRES):
-        by = ["g", "n"] if turn == 0 else ["g"]
-        centre = held.groupBy(*by).agg(F.min(F.struct(F.xxhash64("same", F.lit(turn)).alias("order"), "same", "fp", "n")).alias("c"), F.count("*").alias("m"))
-        star = common.hot_join(held.select("same", "fp", F.col("n").alias("size"), *by), centre, by, "m", total)
-        pairs = pairs.unionByName(star.filter((F.col("same") != F.col("c.same")) & near(F.col("size"), F.col("c.n")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("c.fp"))) <= FAR)).select(F.least("same", "c.same").alias("a"), F.greatest("same", "c.same").alias("b")))
+    x, y = x.alias("x"), y.alias("y")
+    on = (F.col("x.g") == F.col("y.g")) & (F.col("x.same") < F.col("y.same")) & _near(F.col("x.n"), F.col("y.n"))
+    both = x.join(y, on & (F.col("x.root") != F.col("y.root")) if unlike else on)
+    common_ = both.groupBy(F.col("x.same").alias("a"), F.col("y.same").alias("b")).agg(F.count("*").alias("c"), *[F.first(f"{t}.{v}").alias(f"{t}{v}") for t in "xy" for v in ("n", "rest")])
+    least = F.ceil((F.col("xn") + F.col("yn")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6)
+    spare = lambda n: F.ceil(F.col(n) * SIMILARITY - 1e-6) - 1  # noqa: E731  # n less the length of its prefix
+    return common_.filter(F.col("c") + F.least("xrest", "yrest") >= least - F.greatest(spare("xn"), spare("yn"))).select("a", "b")
+
+
+def _links(pairs: DataFrame, texts: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Those of pairs whose texts are similar, counted exactly."""
     pairs = common.checkpoint(pairs.distinct())
     needed = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("same")).distinct(), "same", "left_semi").select("same", "row")
     found = common.written(keyed.select("row", "text").join(needed, "row").select("same", "text"), "candidates")
-    links = common.checkpoint(
+    return common.checkpoint(
         pairs.join(found.select(F.col("same").alias("a"), F.col("text").alias("x")), "a").join(found.select(F.col("same").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
     )
+
+
+def similar(keyed: DataFrame, hot: int = HOT) -> DataFrame:
+    """(row, doc_id, root): root is equal for texts that are linked, directly or by others. keyed: (row, doc_id, text), row unique.
+
+    Texts with equal sets of 5-word shingles are one. Others are linked if the Jaccard similarity of their sets is 0.8 or more, counted exactly. Candidates share a hash of their prefixes, see prefix(), and as many
+    as _met() asks for, which loses no pair. The order of the hashes is by value, frequent ones last, so that shared passages find no candidates unless a text is hardly anything else. Hashes that more than `hot`
+    texts still have (large groups of near copies) first link the texts to two centres each; then all pairs with such a hash that these links don't join yet are looked at. So components are those of all pairs;
+    the cost of a hash is quadratic only in texts that have it and aren't near to each other. Texts without words are all equal.
+    """
+    own = common.written(keyed.mapInArrow(_sketches(_often(keyed, hot)), "row long, doc_id long, same long, n int, first array<long>"), "sketches")
+    texts = common.written(own.groupBy("same").agg(F.min("row").alias("row"), F.min_by(F.struct("n", "first"), "row").alias("s"), F.count("*").alias("rows")).select("same", "row", "s.*", "rows"), "texts")
+    marks = texts.select("same", "n", F.explode("first").alias("g")).repartition("g")
+    shared = common.written(marks.join(marks.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1"), "g"), "shared")
+    parts = shared.groupBy("same").agg(F.count_if(F.col("m") <= hot).alias("few"), F.count_if(F.col("m") > hot).alias("many"))
+    rows = common.written(shared.join(parts, "same"), "prefixes")
+    few = rows.filter(F.col("m") <= hot).select("g", "same", "n", F.col("many").alias("rest"))
+    pairs = _met(few, few, False)
+    many = rows.filter(F.col("m") > hot).select("g", "same", "n", F.col("few").alias("rest"))
+    total = many.count()
+    for by in (["g", "n"], ["g"]) if total else ():
+        centre = many.groupBy(*by).agg(F.min(F.struct(F.xxhash64("same").alias("order"), "same", "n")).alias("c"), F.count("*").alias("m"))
+        star = common.hot_join(many.select("same", F.col("n").alias("size"), *by), centre, by, "m", total)
+        pairs = pairs.unionByName(star.filter((F.col("same") != F.col("c.same")) & _near(F.col("size"), F.col("c.n"))).select(F.least("same", "c.same").alias("a"), F.greatest("same", "c.same").alias("b")))
+    links = _links(pairs, texts, keyed)
     labels = components(links).select(F.col("node").alias("same"), F.col("root"))
+    if total:
+        placed = common.checkpoint(many.join(labels, "same", "left").withColumn("root", F.coalesce("root", "same")))
+        left = placed.join(placed.groupBy("g").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p <> q").select("g"), "g", "left_semi")
+        more = common.checkpoint(_met(left, left, True))
+        if not more.isEmpty():
+            labels = components(links.unionByName(_links(more, texts, keyed))).select(F.col("node").alias("same"), F.col("root"))
     named = texts.select("same", "rows").join(labels, "same", "left").select("same", "rows", F.coalesce("root", "same").alias("root"))
     return common.hot_join(own.select("row", "doc_id", "same"), named, ["same"], "rows", own.count()).select("row", "doc_id", "root")
 
