@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, merkle_text, mixing, pii, preference, queries, resample, simhash, spans, toxicity, warc
+from weftline.llm import common, decontaminate, merkle_text, mixing, pii, preference, queries, resample, simhash, spans, toxicity, warc
 from weftline.llm.components import components
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -788,3 +788,26 @@ def test_pipeline_hard_cases(spark, sf):
         out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
         assert Counter(r["doc_id"] for r in out.collect()) == Counter(r[0] for r in rows)
         assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf).count() == 0
+
+
+def test_representatives_move_no_texts(spark, tmp_path, monkeypatch):
+    """The rows that stay, and the texts to verify, are found by bitmaps and not by shuffling all texts; tables that nothing reads any more are deleted."""
+    rows = [(i, f"w{i % 300} x{i % 300} " + " ".join(f"t{i % 300}v{k}" for k in range(40)) + (" more" if i >= 300 else "")) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.representatives(docs)
+        assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == brute_similar(rows)
+        assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert not [p for p in os.listdir(tmp_path) if p.startswith(("sketches-", "shared-", "candidates-"))]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_only(spark):
+    df = spark.createDataFrame([(x, x % 3) for x in (0, 1, 7, 32767, 32768, 32769, 1 << 33, (1 << 33) + 1, (5 << 33) + 40000)], "row long, v long")
+    ids = spark.createDataFrame([(x,) for x in (0, 32768, (1 << 33) + 1, (5 << 33) + 40000, 99)], "row long")
+    for most in (16_384, 1):
+        assert {tuple(r) for r in common.only(df, ids, "row", most).collect()} == {(x, x % 3) for x in (0, 32768, (1 << 33) + 1, (5 << 33) + 40000)}

@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import common
 from .components import components
@@ -224,10 +225,14 @@ def _links(pairs: DataFrame, texts: DataFrame, keyed: DataFrame) -> DataFrame:
     """Those of pairs whose texts are similar, counted exactly."""
     pairs = common.checkpoint(pairs.distinct())
     needed = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("same")).distinct(), "same", "left_semi").select("same", "row")
-    found = common.written(keyed.select("row", "text").join(needed, "row").select("same", "text"), "candidates")
-    return common.checkpoint(
+    needed = common.checkpoint(needed)
+    found = common.written(common.only(keyed.select("row", "text"), needed, "row").join(needed, "row").select("same", "text"), "candidates")
+    out = common.checkpoint(
         pairs.join(found.select(F.col("same").alias("a"), F.col("text").alias("x")), "a").join(found.select(F.col("same").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
     )
+    common.removed(found)
+    common.swept(out.sparkSession)
+    return out
 
 
 def similar(keyed: DataFrame, hot: int = HOT) -> DataFrame:
@@ -238,12 +243,18 @@ def similar(keyed: DataFrame, hot: int = HOT) -> DataFrame:
     texts still have (large groups of near copies) first link the texts to two centres each; then all pairs with such a hash that these links don't join yet are looked at. So components are those of all pairs;
     the cost of a hash is quadratic only in texts that have it and aren't near to each other. Texts without words are all equal.
     """
-    own = common.written(keyed.mapInArrow(_sketches(_often(keyed, hot)), "row long, doc_id long, same long, n int, first array<long>"), "sketches")
-    texts = common.written(own.groupBy("same").agg(F.min("row").alias("row"), F.min_by(F.struct("n", "first"), "row").alias("s"), F.count("*").alias("rows")).select("same", "row", "s.*", "rows"), "texts")
-    marks = texts.select("same", "n", F.explode("first").alias("g")).repartition("g")
-    shared = common.written(marks.join(marks.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1"), "g"), "shared")
+    often = _often(keyed, hot)
+    common.swept(keyed.sparkSession)
+    sketches = common.written(keyed.mapInArrow(_sketches(often), "row long, doc_id long, same long, n int, first array<long>"), "sketches")
+    own = common.written(sketches.select("row", "doc_id", "same"), "own")
+    texts = common.written(own.groupBy("same").agg(F.min("row").alias("row"), F.count("*").alias("rows")), "texts")
+    marks = common.only(sketches, texts, "row").select("same", "n", F.explode("first").alias("g"))
+    shared = common.written(marks.withColumn("m", F.count("*").over(W.partitionBy("g"))).filter("m > 1"), "shared")
+    common.removed(sketches)
+    common.swept(own.sparkSession)
     parts = shared.groupBy("same").agg(F.count_if(F.col("m") <= hot).alias("few"), F.count_if(F.col("m") > hot).alias("many"))
     rows = common.written(shared.join(parts, "same"), "prefixes")
+    common.removed(shared)
     few = rows.filter(F.col("m") <= hot).select("g", "same", "n", F.col("many").alias("rest"))
     pairs = _met(few, few, False)
     many = rows.filter(F.col("m") > hot).select("g", "same", "n", F.col("few").alias("rest"))
@@ -269,10 +280,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A row is known by its own number, not by its id: rows of equal or null ids with texts of their own all stay. Null, empty and white texts are one group. The rows are written to the shared folder once, with their numbers.
     """
-    keyed = common.written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    keyed = common.written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered", "zstd")
     found = similar(common.named(keyed, id_col, text_col, row="__row"), hot)
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")).alias("m")).select(F.col("m.row").alias("__row"))
-    return keyed.join(best, "__row", "left_semi").drop("__row")
+    return common.only(keyed, best, "__row").drop("__row")
 
 
 def digest(result: DataFrame) -> DataFrame:
