@@ -97,6 +97,11 @@ def test_semantic(spark):
         semantic.within_budget(items, "payload", 100)
 
 
+def test_plan_of_a_large_owner(spark):
+    items = spark.createDataFrame([(i, ["a", "u"], "é" * 20_000) for i in range(50)] + [(99, ["b", "u"], "x")], "item_id int, tables array<string>, payload string")
+    assert [(r["owner"], r["shard_id"]) for r in semantic.planned(items, checkpoint=checkpoint).orderBy("owner").collect()] == [("a", 0), ("b", 1)]
+
+
 def test_evidence_hooks(spark):
     rows = spark.createDataFrame([("a.x", "b.y", "k", "EQUALS", "1"), ("a.x", "c.y", "k", "EQUALS", "2"), ("d.x", "b.y", None, None, None)], "src_key string, tgt_key string, discriminator string, operator string, value string")
     assert {(r["src_key"], r["tgt_key"]): (r["conditional"], r["polymorphic"]) for r in evidence.conditional(rows).collect()} == {("a.x", "b.y"): (True, True), ("a.x", "c.y"): (True, True), ("d.x", "b.y"): (False, False)}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import stable_id, token_estimate
 
+#: Tokens in a shard; and, for shards that a model reads, most tokens of one owner and most shards.
 TARGET_TOKENS, MOST_TOKENS, MOST_SHARDS = 240_000, 800_000, 128
 SECTIONS = (
     "tables", "columns", "constraints", "indexes", "relationships", "lineage", "naming", "derived_relationships", "derived_lineage", "derived_naming",
@@ -136,10 +137,11 @@ def owners(items: DataFrame) -> DataFrame:
     return items.withColumn("owner", F.array_min("tables")).withColumn("tokens", token_estimate(F.col("payload")))
 
 
-def pack(weights: DataFrame, target: int = TARGET_TOKENS, most: int = MOST_TOKENS, shards: int = MOST_SHARDS) -> DataFrame:
+def pack(weights: DataFrame, target: int = TARGET_TOKENS, most: int | None = None, shards: int | None = None) -> DataFrame:
     """(owner, tokens, shard_id): owners in order of (component, owner) are packed greedily into shards: a shard is closed when the next owner would pass `target`.
 
-    Greedy packing depends on what came before, so it is one ordered pass over one row an owner (a table name and a number, not the items). An owner above `most`, or more than `shards` shards, is an error.
+    Greedy packing depends on what came before, so it is one ordered pass over one row an owner (a table name and a number, not the items). An owner above `target` is a
+    shard of its own. A caller whose shards go to a model gives its limits (MOST_TOKENS, MOST_SHARDS): then an owner above `most`, or more than `shards` shards, is an error.
     """
     def each(frames):
         import pandas as pd
@@ -147,12 +149,12 @@ def pack(weights: DataFrame, target: int = TARGET_TOKENS, most: int = MOST_TOKEN
         rows = pd.concat(list(frames) or [pd.DataFrame(columns=["component", "owner", "tokens"])]).sort_values(["component", "owner"])
         shard, filled, out = 0, 0, []
         for owner, tokens in zip(rows["owner"], rows["tokens"]):
-            if tokens > most:
+            if most is not None and tokens > most:
                 raise ValueError(f"{owner} alone has {tokens} tokens")
             if filled and filled + tokens > target:
                 shard, filled = shard + 1, 0
             filled += tokens
-            if shard >= shards:
+            if shards is not None and shard >= shards:
                 raise ValueError(f"more than {shards} shards")
             out.append((owner, tokens, shard))
         yield pd.DataFrame(out, columns=["owner", "tokens", "shard_id"]).astype({"tokens": "int64", "shard_id": "int32"})
@@ -160,7 +162,7 @@ def pack(weights: DataFrame, target: int = TARGET_TOKENS, most: int = MOST_TOKEN
     return weights.select("component", "owner", "tokens").coalesce(1).mapInPandas(each, "owner string, tokens long, shard_id int")
 
 
-def planned(items: DataFrame, target: int = TARGET_TOKENS, most: int = MOST_TOKENS, shards: int = MOST_SHARDS, checkpoint=None) -> DataFrame:
+def planned(items: DataFrame, target: int = TARGET_TOKENS, most: int | None = None, shards: int | None = None, checkpoint=None) -> DataFrame:
     """(owner, tokens, shard_id) of items (item_id, tables, payload): each item belongs to the first of its tables; tables that items touch together form a component, and components are packed in order."""
     from .graph import components
 
