@@ -97,6 +97,13 @@ def test_semantic(spark):
         semantic.within_budget(items, "payload", 100)
 
 
+def test_pack_without_limits(spark):
+    w = spark.createDataFrame([("c", f"t{i:03}", 10_000_000 if i == 7 else 300_000) for i in range(150)], "component string, owner string, tokens long")
+    assert {r["owner"]: r["shard_id"] for r in semantic.pack(w).collect()} == {f"t{i:03}": i for i in range(150)}
+    with pytest.raises(Exception, match="more than 128 shards"):
+        semantic.pack(w.filter("tokens < 800000"), most=semantic.MOST_TOKENS, shards=semantic.MOST_SHARDS).collect()
+
+
 def test_plan_of_a_large_owner(spark):
     items = spark.createDataFrame([(i, ["a", "u"], "é" * 20_000) for i in range(50)] + [(99, ["b", "u"], "x")], "item_id int, tables array<string>, payload string")
     assert [(r["owner"], r["shard_id"]) for r in semantic.planned(items, checkpoint=checkpoint).orderBy("owner").collect()] == [("a", 0), ("b", 1)]
