@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import random
 import shutil
 import subprocess
 import sys
@@ -62,6 +63,28 @@ def test_paths_rules(spark):
     assert facts.count() == 6
 
 
+def test_components(spark):
+    """Chains, a hub, loops, nulls and repeated edges, contracted whole, or in small pieces and then by rounds."""
+    rng = random.Random(3)
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(300)] + [("hub", f"h{i}") for i in range(200)] + [(f"r{rng.randrange(400)}", f"r{rng.randrange(400)}") for _ in range(260)] + [("x", "x"), ("x", "x"), ("é", "z")]
+    rng.shuffle(pairs)
+    root = {n: n for p in pairs for n in p}
+    moved = True
+    while moved:
+        moved = False
+        for u, v in pairs:
+            least = min(root[u], root[v])
+            moved |= root[u] != least or root[v] != least
+            root[u] = root[v] = least
+    df = spark.createDataFrame([*pairs, (None, "w"), (None, None)], "src string, tgt string")
+    want = sorted([*root.items(), ("w", "w"), (None, None)], key=str)
+    for local in (None, 40):
+        assert sorted((tuple(r) for r in graph.components(df, checkpoint=checkpoint, local=local).collect()), key=str) == want
+    numbers = spark.createDataFrame([(10, 9), (9, 100), (7, 7)], "src long, tgt long")
+    assert {tuple(r) for r in graph.components(numbers, checkpoint=checkpoint).collect()} == {(9, 9), (10, 9), (100, 9), (7, 7)}
+    assert graph.components(numbers.limit(0), checkpoint=checkpoint).count() == 0
+
+
 def test_fact_budget(spark):
     one = lambda n: spark.createDataFrame([(f"s{i}", "t", ["s", "t"], 1 - i / 10) for i in range(n)], "src string, tgt string, path array<string>, confidence double")
     assert [x.count() for x in graph.fact_budget(one(3), one(4), one(5), 5)] == [3, 2, 0]
