@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 import pytest
 
 from weftline.operators import naming
@@ -195,3 +196,17 @@ def test_mysql_slow_and_jdbc(spark):
     got = logs.mysql_slow(spark.createDataFrame([("s", text)], "source_name string, text string")).collect()
     assert [r["sql"] for r in got] == ["SELECT 1\nFROM t", "SELECT 2"]
     assert "'o''k'" in jdbc.catalog_query("mysql", "columns", "o'k")
+
+
+def test_equal_statements_are_read_once(monkeypatch):
+    """The facts of equal statements are those of one reading, for each row; statements that differ in their kind are read apart."""
+    calls = []
+    monkeypatch.setattr(scan, "analyse", lambda sql, dialect, kind: calls.append((sql, kind)) or analyse(sql, dialect, kind))
+    texts = [("SELECT a.id FROM u a JOIN v b ON b.id = a.v_id", "PLAIN_SQL"), ("SELECT a.id FROM u a JOIN v b ON b.id = a.v_id", "VIEW"), (None, None), ("SELECT (", "PLAIN_SQL")]
+    rows = [texts[i % 4] for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(400)]), pa.array(range(400), pa.int32()), pa.array([k for _, k in rows], pa.string()), pa.nulls(400, pa.string()), pa.array([t for t, _ in rows], pa.string())], names=["source_name", "ordinal", "source_type", "object_name", "sql"])
+    out = pa.Table.from_batches(scan._analysed("common", ())(iter([batch, batch, batch.slice(0, 0)]))).to_pylist()
+    assert len(calls) == 4 and len(out) == 800 and [r["ordinal"] for r in out[:400]] == list(range(400))
+    for r, (text, kind) in zip(out, rows + rows):
+        facts, said = analyse(text or "", "common", kind or "")
+        assert r["tables"] == sorted(facts.tables) and [p["evidence_type"] for p in r["pairs"]] == [p["evidence_type"] for p in facts.pairs] and r["diagnostic"] == said

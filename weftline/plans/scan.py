@@ -29,6 +29,8 @@ ANALYSED = (
 TEMPORARY = r"(?i)^\s*CREATE\s+(?:OR\s+REPLACE\s+)?(?:GLOBAL\s+|LOCAL\s+)?TEMP(?:ORARY)?\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?([\w.$]+)"
 #: A chain of temporary tables is followed for so many steps.
 CHAIN = 5
+#: Statements whose facts a task remembers; bytes of input, as the optimizer estimates them, for which a task of its own pays.
+KNOWN, PIECE = 20_000, 16_384
 ROUTINES = ("PROCEDURE", "FUNCTION", "TRIGGER", "PACKAGE", "PACKAGE_BODY", "EVENT")
 STARTS = frozenset(("INSERT", "UPDATE", "DELETE", "MERGE", "WITH", "SELECT"))
 
@@ -96,34 +98,50 @@ def body_statements(sql: str) -> list[str]:
 def _analysed(dialect: str, keep: tuple[str, ...], version: str = ""):
     profile = profiles.select(dialect, version)[0]
 
+    def one(sql: str | None, kind: str | None) -> tuple:
+        made = [analyse(s, dialect, kind or "") for s in (body_statements(sql or "") if kind in ROUTINES else [sql or ""])]
+        facts = [f for f, _ in made]
+        said = [d for _, d in made if d] + [f"FEATURE_NOT_IN_{profile.id}: {f}" for f in profiles.unknown_features(sql or "", profile)]
+        return sorted({t for f in facts for t in f.tables}), "; ".join(said) or None, *([x for f in facts for x in getattr(f, k)] for k in ("pairs", "lineage", "ddl"))
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, tuple] = {}
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("tables", "diagnostic", "pairs", "lineage", "ddl")}
-            for sql, kind in zip(batch.column(batch.schema.get_field_index("sql")).to_pylist(), batch.column(batch.schema.get_field_index("source_type")).to_pylist()):
-                made = [analyse(s, dialect, kind or "") for s in (body_statements(sql or "") if kind in ROUTINES else [sql or ""])]
-                facts = [f for f, _ in made]
-                out["tables"].append(sorted({t for f in facts for t in f.tables}))
-                said = [d for _, d in made if d] + [f"FEATURE_NOT_IN_{profile.id}: {f}" for f in profiles.unknown_features(sql or "", profile)]
-                out["diagnostic"].append("; ".join(said) or None)
-                for k in ("pairs", "lineage", "ddl"):
-                    out[k].append([x for f in facts for x in getattr(f, k)])
+            at: dict[tuple, int] = {}
+            texts, kinds = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("sql", "source_type"))
+            rows = pa.array([at.setdefault(k, len(at)) for k in zip(texts, kinds)], pa.int32())
+            if len(known) > KNOWN:
+                known.clear()
+            for k in at:
+                if k not in known:
+                    known[k] = one(*k)
+            out = list(zip(*(known[k] for k in at))) or [()] * 5
             own = ["source_name", "ordinal", "source_type", "object_name", "sql", *keep]
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in own]
-            yield pa.RecordBatch.from_arrays(
-                arrays + [pa.array(out["tables"], pa.list_(pa.string())), pa.array(out["diagnostic"], pa.string()), pa.array(out["pairs"], pa.list_(_PAIR)), pa.array(out["lineage"], pa.list_(_LINE)), pa.array(out["ddl"], pa.list_(_DDL))],
-                names=own + ["tables", "diagnostic", "pairs", "lineage", "ddl"],
-            )
+            types = (pa.list_(pa.string()), pa.string(), pa.list_(_PAIR), pa.list_(_LINE), pa.list_(_DDL))
+            yield pa.RecordBatch.from_arrays(arrays + [pa.array(v, t).take(rows) for v, t in zip(out, types)], names=own + ["tables", "diagnostic", "pairs", "lineage", "ddl"])
 
     return each
 
 
+def spread(rows: DataFrame, piece: int = PIECE) -> DataFrame:
+    """rows in several tasks for each core, where a file of few bytes, and so of few tasks, may hold very many: one task for `piece` bytes at most. Streams, and what has enough tasks as it is, stay."""
+    if rows.isStreaming:
+        return rows
+    spark = rows.sparkSession
+    tasks = 3 * spark.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    whole = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return rows.repartition(min(tasks, size // piece)) if 2 * piece <= size < tasks * whole else rows
+
+
 def analysed(statements: DataFrame, dialect: str = "common", keep: tuple[str, ...] = (), version: str = "") -> DataFrame:
-    """A row for each statement (sql; source_name, ordinal, source_type, object_name if there) with its tables, pairs, lineage, DDL and diagnostic. Statements are read where they are; a failing one costs only a diagnostic, and so does what the version (see profiles.select) doesn't know."""
+    """A row for each statement (sql; source_name, ordinal, source_type, object_name if there) with its tables, pairs, lineage, DDL and diagnostic. Equal statements are read once in a task, and tasks are evened out, see spread(); a failing statement costs only a diagnostic, and so does what the version (see profiles.select) doesn't know."""
     kinds = {"source_name": "string", "ordinal": "int", "source_type": "string", "object_name": "string"}
     rows = statements.select("sql", *[(F.col(c) if c in statements.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()], *keep)
     extra = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in statements.schema if f.name in keep)
     head, tail = ANALYSED.split("tables array", 1)
-    return rows.mapInArrow(_analysed(dialect, keep, version), f"{head}{extra}tables array{tail}")
+    return spread(rows).mapInArrow(_analysed(dialect, keep, version), f"{head}{extra}tables array{tail}")
 
 
 def pair_evidence(read: DataFrame) -> DataFrame:
