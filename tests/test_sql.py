@@ -4,6 +4,7 @@ import json
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.operators import naming
 from weftline.plans import scan
@@ -210,3 +211,14 @@ def test_equal_statements_are_read_once(monkeypatch):
     for r, (text, kind) in zip(out, rows + rows):
         facts, said = analyse(text or "", "common", kind or "")
         assert r["tables"] == sorted(facts.tables) and [p["evidence_type"] for p in r["pairs"]] == [p["evidence_type"] for p in facts.pairs] and r["diagnostic"] == said
+
+
+def test_statements_of_one_small_file_are_spread(spark, tmp_path):
+    """A file of one task is read in several where its rows pay for that, and few rows are not."""
+    spark.range(60_000).coalesce(1).write.parquet(f"{tmp_path}/ids")
+    ids = spark.read.parquet(f"{tmp_path}/ids")
+    statements = ids.select(F.format_string("SELECT * FROM u%d WHERE id = 3", F.col("id") % 9).alias("sql"))
+    assert ids.rdd.getNumPartitions() == 1 and scan.spread(statements).rdd.getNumPartitions() > 2
+    assert scan.spread(statements, 1 << 40).rdd.getNumPartitions() == 1
+    read = scan.analysed(statements)
+    assert read.count() == 60_000 and read.select(F.explode("tables")).distinct().count() == 9
