@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import catalog, evidence, graph, lineage, naming, profile, semantic
+from weftline.plans import catalogue
 from weftline.session import checkpoint
 from weftline.sources import logs
 
@@ -144,6 +145,14 @@ def test_direction_of_a_hot_pair(spark):
     assert plain == hot and len(hot) == 340 and {r[2] for r in map(tuple, hot)} == {"FK_LIKE"}
 
 
+def test_graph_inputs_are_worked_out_once(spark, sf):
+    """Nodes, edges and checks read what was worked out once, not the line items again and again."""
+    for name in ("kg_closure", "kg_nodes", "kg_edges", "event_association"):
+        df = catalogue.QUERIES[name](spark, sf)
+        assert "parquet" not in df._jdf.queryExecution().executedPlan().toString().lower(), name
+    assert catalogue.QUERIES["triplets"](spark, sf)._jdf.queryExecution().executedPlan().toString().lower().count("filescan parquet") == 1
+
+
 def test_noise_and_names(spark):
     rows = spark.createDataFrame([("SELECT 1 FROM x.pg_catalog.t", ["pg_catalog.pg_class"]), ("select version()", []), ("SELECT 1", []), ("q", ["sys.t", "shop.t"])], "sql string, tables array<string>")
     assert [r["sql"] for r in logs.without_noise(rows).collect()] == ["SELECT 1", "q"]

@@ -303,8 +303,8 @@ _FACTS = "facts AS (SELECT DISTINCT 'p' || (l_partkey % 20) || '.x' AS src_key,
 
 
 def event_association(spark: SparkSession, d: str) -> DataFrame:
-    e = semantic.events(_lineage(spark, d)).withColumn("event_id", F.concat_ws(":", "kind", "subject"))
-    return semantic.associations(e, _facts(spark, d)).withColumnRenamed("event_id", "event")
+    e = checkpoint(semantic.events(_lineage(spark, d))).withColumn("event_id", F.concat_ws(":", "kind", "subject"))
+    return semantic.associations(e, checkpoint(_facts(spark, d))).withColumnRenamed("event_id", "event")
 
 
 def reference_closure(spark: SparkSession, d: str) -> DataFrame:
@@ -313,32 +313,31 @@ def reference_closure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def triplets(spark: SparkSession, d: str) -> DataFrame:
-    e = semantic.events(_lineage(spark, d))
-    n = _facts(spark, d).select("src_key", "tgt_key", F.lit("TABLE_ID").alias("rule"))
-    return semantic.triplets(_facts(spark, d), e, _lineage(spark, d), n).groupBy(F.regexp_extract("predicate", "^[A-Z_]*", 0).alias("predicate")).agg(F.count("*").alias("n"), F.countDistinct("subject").alias("subjects"))
-
-
-def _join_paths(spark: SparkSession, d: str) -> DataFrame:
-    return _facts(spark, d).select(F.concat(F.lit("path:"), "fact_id").alias("path_id"), F.array("src_key", "tgt_key").alias("path"))
+    e, facts = checkpoint(semantic.events(_lineage(spark, d))), checkpoint(_facts(spark, d))
+    n = facts.select("src_key", "tgt_key", F.lit("TABLE_ID").alias("rule"))
+    return semantic.triplets(facts, e, _lineage(spark, d), n).groupBy(F.regexp_extract("predicate", "^[A-Z_]*", 0).alias("predicate")).agg(F.count("*").alias("n"), F.countDistinct("subject").alias("subjects"))
 
 
-def _fact_columns(spark: SparkSession, d: str) -> DataFrame:
-    keys = _facts(spark, d).select(F.explode(F.array("src_key", "tgt_key")).alias("key")).unionByName(_lineage(spark, d).select(F.explode(F.concat("sources", F.array("target"))).alias("key"))).distinct()
-    return keys.select("key", F.substring_index("key", ".", 1).alias("table"), F.lit(1).alias("ordinal"))
+def _kg(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(columns, facts, events, join paths) of the line items, each worked out once: nodes, edges and their checks read them many times."""
+    facts, lines = checkpoint(_facts(spark, d)), _lineage(spark, d)
+    ends = lines.select("sources", "target").distinct().select(F.explode(F.concat("sources", F.array("target"))).alias("key"))
+    keys = facts.select(F.explode(F.array("src_key", "tgt_key")).alias("key")).unionByName(ends).distinct()
+    columns = checkpoint(keys.select("key", F.substring_index("key", ".", 1).alias("table"), F.lit(1).alias("ordinal")))
+    return columns, facts, checkpoint(semantic.events(lines)), facts.select(F.concat(F.lit("path:"), "fact_id").alias("path_id"), F.array("src_key", "tgt_key").alias("path"))
 
 
 def kg_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return semantic.kg_nodes(_fact_columns(spark, d), _facts(spark, d), semantic.events(_lineage(spark, d)), _join_paths(spark, d)).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels"))
+    return semantic.kg_nodes(*_kg(spark, d)).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels"))
 
 
 def kg_edges(spark: SparkSession, d: str) -> DataFrame:
-    return semantic.kg_edges(_fact_columns(spark, d), _facts(spark, d), semantic.events(_lineage(spark, d)), _join_paths(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
+    return semantic.kg_edges(*_kg(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 def kg_closure(spark: SparkSession, d: str) -> DataFrame:
     """The closure of a graph whose nodes lack table p3 and its column."""
-    rest = (_facts(spark, d), semantic.events(_lineage(spark, d)), _join_paths(spark, d))
-    columns = _fact_columns(spark, d)
+    columns, *rest = _kg(spark, d)
     return semantic.kg_problems(semantic.kg_nodes(columns.filter("`table` <> 'p3'"), *rest), semantic.kg_edges(columns, *rest))
 
 
